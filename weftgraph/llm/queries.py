@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import pii
+from weftgraph.llm import pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards of near-equal bytes."""
+    return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -19,6 +24,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op3_sharding": op3_sharding,
         "op10_pii": op10_pii,
     }
 
