@@ -50,27 +50,33 @@ def _canonical(words):
     )
 
 
-def _hashes(df: DataFrame, words: str) -> DataFrame:
-    """Adds ``__w_h``: the hash of each window of WIDTH template tokens, of all tokens where there are fewer."""
-    n = F.size(words)
-    pair = lambda a, b: F.xxhash64(a, b)
-    h = df.withColumn("__w_1", F.transform(words, lambda w: F.xxhash64(w)))
-    width, name = 1, "__w_1"
-    while width < WIDTH:
-        h = h.withColumn(f"__w_{2 * width}", F.zip_with(name, F.slice(name, F.lit(width + 1), n), pair))
-        width, name = 2 * width, f"__w_{2 * width}"
-    some = F.slice(name, F.lit(1), F.greatest(n - (WIDTH - 1), F.lit(0)))
+def _let(value, body):
+    """``body`` of a value that is computed once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _hashes(words):
+    """The hash of each window of WIDTH template tokens; of all tokens where there are fewer."""
+
+    def wider(h, width):
+        if width == WIDTH:
+            return F.slice(h, F.lit(1), F.size(h) - (WIDTH - 1))
+        pairs = F.zip_with(h, F.slice(h, F.lit(width + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return _let(pairs, lambda g: wider(g, 2 * width))
+
+    some = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: wider(h, 1))
     whole = F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))
-    windows = F.when(n >= WIDTH, some).when(n > 0, whole).otherwise(F.array().cast("array<bigint>"))
-    return h.withColumn("__w_h", windows).drop("__w_1", "__w_2", "__w_4", "__w_8")
+    return F.when(F.size(words) >= WIDTH, some).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+
+
+def _words(body):
+    # numbers and units are looked at only in texts that have a digit
+    return F.when(body.rlike("[0-9]"), _let(_template(body), _canonical)).otherwise(_template(body))
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
     """Rows ``keep``, pos, h: one for each window of the column ``body``."""
-    # numbers and units are looked at only in texts that have a digit
-    words = F.when(F.col("body").rlike("[0-9]"), _canonical(F.col("words"))).otherwise(F.col("words"))
-    hashed = _hashes(df.withColumn("words", _template(F.col("body"))).withColumn("words", words), "words")
-    return hashed.select(*keep, F.posexplode("__w_h").alias("pos", "h"))
+    return df.select(*keep, F.posexplode(_let(_words(F.col("body")), _hashes)).alias("pos", "h"))
 
 
 def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -82,7 +88,7 @@ def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
 
 def _values(rows: DataFrame, keep: list[str], value: str) -> DataFrame:
     """Slots of the texts ``body``: at, kind and value."""
-    split = rows.withColumn("words", _canonical(_template(F.col("body")))).withColumn("values", F.regexp_extract_all(F.lower("body"), F.lit(VALUE), F.lit(0)))
+    split = rows.withColumn("words", _let(_template(F.col("body")), _canonical)).withColumn("values", F.regexp_extract_all(F.lower("body"), F.lit(VALUE), F.lit(0)))
     slots = split.select(*keep, F.posexplode(F.arrays_zip("words", "values")).alias("at", "slot"))
     return slots.filter(F.col("slot.words").isin("#", "@", "^")).select(*keep, "at", F.concat(F.col("slot.words"), F.col("slot.values")).alias(value))
 
@@ -100,7 +106,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     body = text_or_empty(docs, text)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     items = Staged(_items(bench, item_id, item_text), "bench-items").df
-    marks = _windows(items, ["item_id", "body", "words"])
+    marks = _windows(items.withColumn("words", _words(F.col("body"))), ["item_id", "words"])
     inside = F.when(F.size("words") >= WIDTH, F.slice("words", F.col("pos") + 1, F.lit(WIDTH))).otherwise(F.col("words"))
     literals = F.size(F.filter(inside, lambda w: ~w.isin("#", "@", "^")))
     marks = marks.select("item_id", F.col("pos").alias("item_pos"), "h", (literals < F.size(inside)).alias("slots"), ((literals >= LEAST_LITERALS) | (F.size("words") < WIDTH)).alias("telling"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import pii, sharding
+from weftgraph.llm import decontaminate, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,12 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of contaminated document and benchmark item, over all documents."""
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    return decontaminate.contaminated(docs, bench).drop("text_hash")
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -25,6 +31,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_sharding": op3_sharding,
+        "op4_decontaminate": op4_decontaminate,
         "op10_pii": op10_pii,
     }
 
