@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, pii, sharding
+from weftgraph.llm import decontaminate, exact_dedup, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document, with the copy of its text that stays."""
+    return exact_dedup.dedup(_table(spark, sf_dir, "documents"))
+
+
+OP1_SQL = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+       doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
+"""
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near-equal bytes."""
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
@@ -30,6 +42,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_exact_dedup": op1_exact_dedup,
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
         "op10_pii": op10_pii,
@@ -37,4 +50,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_exact_dedup": OP1_SQL}
