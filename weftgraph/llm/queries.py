@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, exact_dedup, line_dedup, pii, sharding
+from weftgraph.llm import decontaminate, exact_dedup, line_dedup, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,17 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 1024 tokens."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path(), window=1024)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +74,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
         "op8_line_dedup": op8_line_dedup,
+        "op9_packing": op9_packing,
         "op10_pii": op10_pii,
     }
 

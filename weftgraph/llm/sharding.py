@@ -133,7 +133,8 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.conv(F.substring(F.sha2(body.cast("binary"), 256), 1, KEY_BITS // 4), 16, 10).cast("bigint").alias("key"),
     )
-    rows = Staged(rows, "shard-rows").df
+    # stored, the rows' numbers no longer change
+    rows = Staged(rows.withColumn("row", F.monotonically_increasing_id()), "shard-rows").df
     groups = Staged(rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "shard-groups")
     capacity, ranges = capacity_and_ranges(groups.df, shards)
     n_rows = groups.df.agg(F.sum("n")).first()[0] or 0
@@ -142,11 +143,11 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
     for key in cut_keys(capacity, ranges, shards) if ranges.rows else []:
         number = number + (F.col("key") >= F.lit(key)).cast("int")
     buckets = max(64, n_rows // (shards * ROWS_A_BUCKET))
-    placed = rows.withColumn("shard", number).withColumn("bucket", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(buckets)))
+    placed = rows.withColumn("shard", number).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     counts = placed.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "text_crc32", "size")
+    within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "row")
     return placed.join(starts, ["shard", "bucket"]).select(
         "doc_id",
         "size",
