@@ -13,8 +13,8 @@ each bucket's ranks start, so no task orders more than a bucket.
 from __future__ import annotations
 
 import json
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +32,6 @@ CACHED_WORDS = 300_000
 
 # Fixed value: how the byte-level vocabulary splits text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-# White space other than single spaces and line feeds between words: such texts are encoded whole.
-IRREGULAR = re.compile(r"[^\S \n]|[ \n]{2}|[ \n]\Z|\A[ \n]")
 
 
 def byte_vocabulary(path: str) -> dict[bytes, int]:
@@ -54,13 +52,13 @@ class Encoder:
         import tiktoken
 
         coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=byte_vocabulary(path), special_tokens={})
-        whole = lambda text: np.array(coder.encode_ordinary(text), "<u4").tobytes()
+        whole = lambda text: array("I", coder.encode_ordinary(text)).tobytes()
 
         class Words(dict):
             def __missing__(self, word: str) -> bytes:
-                if len(self) >= CACHED_WORDS:
-                    self.clear()
-                found = self[word] = whole(word)
+                found = whole(word)
+                if len(self) < CACHED_WORDS:
+                    self[word] = found
                 return found
 
         self.whole, self.words = whole, Words()
@@ -68,14 +66,12 @@ class Encoder:
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""
-        if IRREGULAR.search(text):
-            return self.whole(text)
+        lines = [line.split(" ") for line in text.split("\n")]
+        if [w for line in lines for w in line] != text.split():
+            return self.whole(text)  # other white space than single spaces and line feeds between words
         # a token never spans the space before a word or a line feed between words
-        get, lines = self.words.__getitem__, []
-        for line in text.split("\n"):
-            head, *rest = line.split(" ")
-            lines.append(get(head) + b"".join([get(" " + w) for w in rest]))
-        return get("\n").join(lines)
+        get = self.words.__getitem__
+        return get("\n").join([get(line[0]) + b"".join([get(" " + w) for w in line[1:]]) for line in lines])
 
 
 def _tokenised(path: str, window: int):
