@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, exact_dedup, line_dedup, packing, pii, sharding, warc
+from weftgraph.llm import decontaminate, exact_dedup, line_dedup, packing, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +67,11 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -90,6 +95,7 @@ def queries() -> dict:
         "op2_warc": op2_warc,
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
+        "op5_quality": op5_quality,
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
