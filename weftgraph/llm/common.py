@@ -1,67 +1,13 @@
-"""Shared pieces: the shared folder, staged tables and hidden column names."""
+"""Shared pieces of the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LOCAL_CHECKPOINTS = "/tmp/checkpoints"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    Read from ``spark.checkpoint.dir``; one of our own is chosen only where the
-    session names none, as in tests on a single machine.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        sc = spark.sparkContext
-        found = sc.getCheckpointDir()
-        if not found:
-            sc.setCheckpointDir(LOCAL_CHECKPOINTS)
-            found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through the file system that owns it."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_quietly(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # the session is gone already; the folder is the cluster's to clean
-        pass
-
-
-class Staged:
-    """A table written to the shared folder: lineage ends here and lost executors cost nothing."""
-
-    def __init__(self, df: DataFrame, name: str, partition_by: list[str] | None = None):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        writer = df.write.option("compression", "zstd")
-        if partition_by:
-            writer = writer.partitionBy(*partition_by)
-        writer.parquet(self.path)
-        self.schema = df.schema
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        atexit.register(_remove_quietly, self.spark, self.path)
-
-    def drop(self) -> None:
-        """Give the space back; only when no later plan reads the table."""
-        _remove_quietly(self.spark, self.path)
-
+from weftgraph.staging import Staged, shared_dir
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    return Staged(df, name).df
+__all__ = ["Staged", "shared_dir", "text_or_empty"]
 
 
 def text_or_empty(df: DataFrame, column: str = "text"):
