@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftgraph.llm import decontaminate, exact_dedup, html_text, line_dedup, packing, pii, quality, sharding, warc
+from weftgraph.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, pii, quality, sharding, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,11 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near copies among all documents."""
+    return jaccard.join(_table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -101,6 +106,7 @@ def queries() -> dict:
         "op3_sharding": op3_sharding,
         "op4_decontaminate": op4_decontaminate,
         "op5_quality": op5_quality,
+        "op6_jaccard": op6_jaccard,
         "op7_html_text": op7_html_text,
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
