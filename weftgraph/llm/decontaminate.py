@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.common import Staged, text_or_empty
 
 WIDTH = 8
+PLACEHOLDERS = ("#", "@", "^")
 LEAST_WINDOWS = 6
 LEAST_LITERALS = 5
 # Up to so many benchmark windows (24 bytes each) are broadcast; beyond, both sides are shuffled.
@@ -75,8 +76,23 @@ def _words(body):
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows ``keep``, pos, h: one for each window of the column ``body``."""
-    return df.select(*keep, F.posexplode(_let(_words(F.col("body")), _hashes)).alias("pos", "h"))
+    """Rows ``keep``, pos, h, slots: one for each window of the column ``body``.
+
+    slots has kind and value of the window's placeholders and nulls for its other
+    tokens; it is null in texts without any placeholder.
+    """
+    body = F.col("body")
+    values = F.regexp_extract_all(F.lower(body), F.lit(VALUE), F.lit(0))
+    none = F.lit(None).cast("array<string>")
+    entry = lambda h, slots: F.struct(h.alias("h"), slots.alias("slots"))
+
+    def windows(words, hashes):
+        slots = F.zip_with(words, values, lambda w, v: F.when(w.isin(*PLACEHOLDERS), F.concat(w, v)))
+        open_ = _let(slots, lambda s: F.transform(hashes, lambda h, i: entry(h, F.slice(s, i + 1, F.lit(WIDTH)))))
+        return F.when(F.arrays_overlap(words, F.array(*[F.lit(p) for p in PLACEHOLDERS])), open_).otherwise(F.transform(hashes, lambda h: entry(h, none)))
+
+    found = _let(_words(body), lambda w: _let(_hashes(w), lambda h: windows(w, h)))
+    return df.select(*keep, F.posexplode(found).alias("pos", "w")).select(*keep, "pos", "w.h", "w.slots")
 
 
 def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -86,13 +102,6 @@ def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.groupBy("body").agg(F.min("item_id").alias("item_id"), F.count("*").alias("item_copies"))
 
 
-def _values(rows: DataFrame, keep: list[str], value: str) -> DataFrame:
-    """Slots of the texts ``body``: at, kind and value."""
-    split = rows.withColumn("words", _let(_template(F.col("body")), _canonical)).withColumn("values", F.regexp_extract_all(F.lower("body"), F.lit(VALUE), F.lit(0)))
-    slots = split.select(*keep, F.posexplode(F.arrays_zip("words", "values")).alias("at", "slot"))
-    return slots.filter(F.col("slot.words").isin("#", "@", "^")).select(*keep, "at", F.concat(F.col("slot.words"), F.col("slot.values")).alias(value))
-
-
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of contaminated document and benchmark item.
 
@@ -108,27 +117,21 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     items = Staged(_items(bench, item_id, item_text), "bench-items").df
     marks = _windows(items.withColumn("words", _words(F.col("body"))), ["item_id", "words"])
     inside = F.when(F.size("words") >= WIDTH, F.slice("words", F.col("pos") + 1, F.lit(WIDTH))).otherwise(F.col("words"))
-    literals = F.size(F.filter(inside, lambda w: ~w.isin("#", "@", "^")))
-    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "h", (literals < F.size(inside)).alias("slots"), ((literals >= LEAST_LITERALS) | (F.size("words") < WIDTH)).alias("telling"))
+    literals = F.size(F.filter(inside, lambda w: ~w.isin(*PLACEHOLDERS)))
+    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "h", F.when(literals < F.size(inside), F.col("slots")).alias("item_slots"), ((literals >= LEAST_LITERALS) | (F.size("words") < WIDTH)).alias("telling"))
     marks = Staged(marks.filter("telling").drop("telling"), "bench-windows").df
     sizes = marks.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
     small = marks.count() <= BROADCAST_WINDOWS
     side = F.broadcast(marks) if small else marks
-    hits = Staged(_windows(rows, ["doc_id", "text_hash"]).join(side, "h").select("doc_id", "text_hash", "item_id", "pos", "item_pos", "slots").distinct(), "bench-hits").df
+    found = _windows(rows, ["doc_id", "text_hash"]).join(side, "h")
+    hits = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
+    hits = Staged(hits.distinct(), "bench-hits").df
     key = ["doc_id", "text_hash", "item_id", "shift"]
-    hits = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
-
-    # slots: only documents and items that have them are read again
-    open_ = hits.filter("slots")
-    wanted = open_.select("doc_id", "text_hash").distinct()
-    same = rows["doc_id"].eqNullSafe(wanted["doc_id"]) & (rows["text_hash"] == wanted["text_hash"])
-    doc_slots = _values(rows.join(wanted, same, "left_semi").distinct(), ["doc_id", "text_hash"], "doc_value")
-    item_slots = _values(items.join(open_.select("item_id").distinct(), "item_id", "left_semi"), ["item_id"], "item_value")
-    places = open_.select(*key, "item_pos", F.explode(F.sequence(F.col("item_pos"), F.col("item_pos") + WIDTH - 1)).alias("item_at")).drop("item_pos").distinct()
-    places = places.join(item_slots.withColumnRenamed("at", "item_at"), ["item_id", "item_at"])
-    d = doc_slots.select(F.col("doc_id").alias("d_id"), F.col("text_hash").alias("d_hash"), F.col("at"), "doc_value")
-    filled = places.join(d, places["doc_id"].eqNullSafe(d["d_id"]) & (places["text_hash"] == d["d_hash"]) & (places["item_at"] + places["shift"] == d["at"]))
-    pairs = filled.groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
+
+    at = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("at", "slot")
+    filled = hits.filter("item_slots is not null").select(*key, "item_pos", at).filter("slot.item_slots is not null")
+    filled = filled.select(*key, (F.col("item_pos") + F.col("at")).alias("item_at"), F.col("slot.item_slots").alias("item_value"), F.col("slot.slots").alias("doc_value"))
+    pairs = filled.distinct().groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
     judged = pairs.groupBy(*key).agg(
         (F.count("*") > F.least(F.countDistinct("item_value"), F.countDistinct("doc_value"))).alias("inconsistent"),
         F.max(F.col("item_value") != F.col("doc_value")).alias("changed"),
