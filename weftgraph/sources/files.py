@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import fnmatch
 import re
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,17 +88,48 @@ def classify(files: DataFrame, rules: list[tuple[str, bool]] = (), own_rules: li
     return files.withColumn("language", language).withColumn("file_type", kind).withColumn("skip_reason", reason)
 
 
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """uri, path (relative), size_bytes of every file below ``root``, hidden ones too.
+
+    Spark's own readers pass over names that begin with a dot or an underscore,
+    such as ``__init__.py``, so the file system is asked. Only names and sizes
+    come to the driver.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    base = fs.makeQualified(top).toString().rstrip("/") + "/"
+    rows, found = [], fs.listFiles(top, True)
+    while found.hasNext():
+        status = found.next()
+        uri = status.getPath().toString()
+        rows.append((uri, uri.removeprefix(base), status.getLen()))
+    return spark.createDataFrame(rows, "uri string, path string, size_bytes long")
+
+
+def _contents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    from pyarrow import fs
+
+    for batch in batches:
+        found = []
+        for uri in batch:
+            data = None
+            if uri is not None:
+                store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+                with store.open_input_stream(path) as f:
+                    data = f.read()
+            found.append(data)
+        yield pd.Series(found, dtype=object)
+
+
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), ignore_file: str = ".graphignore", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, size_bytes, language, file_type, skip_reason, content (null where skipped) of all files below ``root``, in path order by ``seq``."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file:"))
-    full = F.regexp_replace("path", "^file:/+", "/")
-    rel = F.substring(full, F.length(base) + 2, F.length(full))
-    rows = files.select(rel.alias("path"), F.col("length").alias("size_bytes"), "content")
-    small = rows.filter(F.col("path").isin(".gitignore", ignore_file)).select("path", F.decode("content", "UTF-8").alias("text")).collect()  # two files at most
-    texts = {r["path"]: r["text"] for r in small}
+    """path, size_bytes, language, file_type, skip_reason, content (null where skipped) of all files below ``root``."""
+    rows = listing(spark, root)
+    read = F.pandas_udf(_contents, "binary")
+    rules = rows.filter(F.col("path").isin(".gitignore", ignore_file)).select("path", F.decode(read("uri"), "UTF-8").alias("text")).collect()  # two files at most
+    texts = {r["path"]: r["text"] for r in rules}
     out = classify(rows, ignore_rules(texts.get(".gitignore", "")), ignore_rules(texts.get(ignore_file, "")), patterns, most_bytes)
-    return out.withColumn("content", F.when(F.col("skip_reason").isNull(), F.col("content")))
+    return out.withColumn("content", read(F.when(F.col("skip_reason").isNull(), F.col("uri")))).drop("uri")
 
 
 def manifest(files: DataFrame) -> DataFrame:
