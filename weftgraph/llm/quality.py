@@ -90,7 +90,8 @@ def count_lines(texts: list[str], powers: np.ndarray) -> tuple[np.ndarray, np.nd
                 found[-1][-1] += got[0]
                 found[-1][-1, -1] = ends
                 got = got[1:]
-            found.append(got)
+            if len(got):
+                found.append(got)
             parts, size = [], 0
 
     carried = False
@@ -110,7 +111,7 @@ def count_lines(texts: list[str], powers: np.ndarray) -> tuple[np.ndarray, np.nd
             flush()
             carried = False
     flush()
-    counts = np.concatenate([f for f in found if len(f)]) if found else np.zeros((0, len(COUNTS)))
+    counts = np.concatenate(found) if found else np.zeros((0, len(COUNTS)))
     return counts, np.array([t.count("\n") + 1 for t in texts], np.int64)
 
 
