@@ -1,10 +1,13 @@
 """Exact Jaccard join of word-shingle sets with a count-vector R-tree.
 
-Shingles are 64-bit hashes. Two sets that reach the threshold share a shingle among
-the first ``n - ceil(t n) + 1`` of each in any common order, so documents are dealt
-out by those; shingles that very many documents have come last in the order. Runs
-of one shingle, cut where neighbouring sizes differ too much, connect documents to
-clusters: every true link lies inside one cluster. Each cluster is joined exactly
+Shingles are 64-bit hashes. Two sets that reach the threshold share at least k
+shingles among the first ``n - ceil(t n) + k`` of each, in any common order, so
+documents are dealt out by those; shingles that very many documents have come last
+in the order. k grows with n (``shared``): a document with fewer repeated shingles
+in its prefix than any link needs is linked with nothing and leaves, which leaves
+shingles of one document only, and so on for some rounds. Runs of one shingle, cut
+where neighbouring sizes differ too much, connect what stays to clusters: every
+true link lies inside one cluster. Each cluster is joined exactly
 as a unit (a large one as pairs of hash chunks): shingles are hashed to groups, the
 counts by group are points, points are packed to leaves, the sum of coordinate
 minima of a point and a leaf's upper corner bounds every overlap in the leaf, then
@@ -36,8 +39,11 @@ CHUNK = 1 << 20
 # A shingle in one of HOT_SHARE documents or more is hot: at most HOT_SHARE times the mean set size can be.
 HOT_SHARE = 1_000
 BLOCK_SHINGLES = 1 << 22
-UNIT_SHINGLES = 1 << 21
+UNIT_SHINGLES = 1 << 22
+# Bits of the filter of texts that are read again: 8 MB at any size of the input.
+FILTER_BITS = 1 << 26
 LEAF = 32
+PEELS = 1
 
 _U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -139,8 +145,13 @@ class Shingler:
         yield from flush(len(texts))
 
 
+def shared(n):
+    """Shingles that the prefixes of two linked sets have in common, the smaller of n shingles; also for columns."""
+    return 1 + n // 10 if isinstance(n, int) else 1 + F.floor(n / 10)
+
+
 def prefix_length(n: int, percent: int = PERCENT) -> int:
-    return n - (percent * n + 99) // 100 + 1
+    return n - (percent * n + 99) // 100 + shared(n)
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
@@ -210,6 +221,25 @@ def _prefixes(hot: np.ndarray):
     return run
 
 
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by token and tid: those of tokens with two tids or more, each tid once."""
+    row = None  # the row before; held while it may be its token's only one
+    held = False
+    for batch in batches:
+        out = []
+        for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            if row is None or r[0] != row[0]:
+                row, held = r, True
+            elif r[1] != row[1]:
+                if held:
+                    out.append(row)
+                out.append(r)
+                row, held = r, False
+        if out:
+            token, tid, n = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(tid, pa.int64()), pa.array(n, pa.int32())], names=["token", "tid", "n"])
+
+
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by token, n, tid: (a, na, b, nb, alone) from each chain's head to its members.
 
@@ -355,6 +385,17 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose tid may be in ``ids``: a bitmap of FILTER_BITS hash values, so most others never meet the join's shuffle."""
+    key = F.pmod(F.xxhash64("tid"), F.lit(FILTER_BITS))
+    bits = ids.select(key.alias("k")).groupBy(F.expr("bitmap_bucket_number(k)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("bits"))
+    place = F.expr("bitmap_bit_position(k)")
+    byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    on = F.expr("bitmap_bucket_number(k)") == F.col("bucket")
+    joined = df.withColumn("k", key).join(F.broadcast(bits), on)  # FILTER_BITS / 8 bytes at most
+    return joined.filter((byte.bitwiseAND(F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int"))) != 0).select(*df.columns)
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, tid (xxhash64 of the text), n_shingles, label for every row.
 
@@ -371,18 +412,26 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("docs") >= least).select("token").collect()], np.int64).view(_U))
 
     tokens = base.select("tid", "body").mapInArrow(_prefixes(hot), "token bigint, tid bigint, n int")
-    runs = tokens.repartition("token").sortWithinPartitions("token", "n", "tid")
+    runs = tokens.repartition("token").sortWithinPartitions("token", "tid")
+    rows_left = Staged(runs.mapInArrow(_repeated, "token bigint, tid bigint, n int"), "jaccard-tokens")
+    for _ in range(PEELS):
+        least_n = F.ceil(F.col("n") * PERCENT / 100)  # of a linked partner
+        enough = rows_left.df.groupBy("tid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= shared(least_n)).select("tid")
+        kept = rows_left.df.join(enough, "tid", "left_semi")
+        again = kept.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+        peeled = Staged(kept.join(again, "token", "left_semi"), "jaccard-tokens")
+        rows_left.drop()
+        rows_left = peeled
+    runs = rows_left.df.repartition("token").sortWithinPartitions("token", "n", "tid")
     edges = runs.mapInArrow(_chains, "a bigint, na bigint, b bigint, nb bigint, alone bigint")
     summed = edges.groupBy("a", "na", "b", "nb").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("more"))
     summed = Staged(summed, "jaccard-chains").df
-    # a pair seen only alone has exactly that many common tokens, but for runs of three and more
+    # a pair seen only alone has that many common tokens, but for runs of three and more
     ends = summed.filter("more > 0")
     others = ends.select(F.col("a").alias("t"), "more").unionByName(ends.select(F.col("b").alias("t"), "more")).groupBy("t").agg(F.sum("more").alias("others"))
     joined = summed.join(others.select(F.col("t").alias("a"), F.col("others").alias("oa")), "a", "left").join(others.select(F.col("t").alias("b"), F.col("others").alias("ob")), "b", "left")
-    overlap = F.ceil((F.col("na") + F.col("nb")) * PERCENT / (100 + PERCENT))
-    suffix = F.ceil(F.greatest("na", "nb") * PERCENT / 100) - 1
     common = F.col("alone") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
-    coarse = joined.filter((F.col("more") > 0) | (common >= overlap - suffix))
+    coarse = joined.filter((F.col("more") > 0) | (common >= shared(F.least("na", "nb"))))
     sizes = coarse.select(F.col("a").alias("tid"), F.col("na").alias("n")).unionByName(coarse.select(F.col("b").alias("tid"), F.col("nb").alias("n"))).distinct()
     sizes = Staged(sizes, "jaccard-sizes").df
     cluster = components(coarse.select("a", "b")).withColumnsRenamed({"node": "tid", "component": "cluster"})
@@ -391,7 +440,7 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     total = member.groupBy("cluster").agg(F.ceil(F.sum("n") / (UNIT_SHINGLES // 2)).cast("int").alias("chunks"))
     member = member.join(total, "cluster").select("tid", "cluster", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks"))
 
-    some = base.select("tid", "body").join(member, "tid").select("tid", "body", "cluster", "chunks")
+    some = _maybe(base.select("tid", "body"), member).join(member, "tid").select("tid", "body", "cluster", "chunks")
     sets = some.mapInArrow(_set_rows, "tid bigint, cluster bigint, chunks int, n int, tokens binary")
     own = F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int")
     sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
