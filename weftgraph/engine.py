@@ -53,8 +53,8 @@ def build_graph_store(spark: SparkSession, source_dir: str, store_dir: str, incr
         nodes = nodes.unionByName(kept)
         edges = edges.unionByName(old_edges.join(kept.select("file_seq").distinct(), "file_seq", "left_semi"))
     parsed = todo.count()
-    store.save("raw_nodes", nodes)
-    store.save("raw_edges", edges)
+    store.save("raw_nodes", nodes, tidy=False)
+    store.save("raw_edges", edges, tidy=False)
     full_nodes, full_edges = build.merge_small(*build.build(store.load("raw_nodes"), store.load("raw_edges")))
     log = gitlog.read_log(source_dir.removeprefix("file://"))
     if log:
@@ -66,9 +66,9 @@ def build_graph_store(spark: SparkSession, source_dir: str, store_dir: str, incr
         to = lambda c: owner.select(F.col("file_path").alias(c), F.col("id").alias(f"{c}_id"))
         pairs = pairs.join(to("a"), "a").join(to("b"), "b").select(F.col("a_id").alias("a"), F.col("b_id").alias("b"), "confidence")
         full_edges = cochange.enrich(full_edges, pairs)
-    store.save_graph(full_nodes, full_edges)
+    store.save_graph(full_nodes, full_edges, tidy=False)
     nodes, edges = store.load("nodes"), store.load("edges")
-    store.save("pagerank", analytics.pagerank(nodes, edges))
+    store.save("pagerank", analytics.pagerank(nodes, edges), tidy=False)
     vectors = None
     if embed:
         known = store.load("embeddings") if incremental else None
@@ -76,17 +76,17 @@ def build_graph_store(spark: SparkSession, source_dir: str, store_dir: str, incr
             changed = todo.select(F.col("path").alias("file_path"))
             known = known.join(nodes.join(changed, "file_path", "left_anti").select(F.col("id").alias("node_id")), "node_id", "left_semi")
         new = embedding.embed(nodes, known)
-        store.save("embeddings", new if known is None else known.unionByName(new))
+        store.save("embeddings", new if known is None else known.unionByName(new), tidy=False)
         vectors = store.load("embeddings").select(F.col("node_id").alias("id"), "vector")
-    store.save("weights", analytics.edge_weights(nodes, edges, vectors))
+    store.save("weights", analytics.edge_weights(nodes, edges, vectors), tidy=False)
     members = communities.levels(nodes, edges, resolutions)
-    store.save("community_members", members.withColumn("community", F.concat_ws(":", "level", "community")))
+    store.save("community_members", members.withColumn("community", F.concat_ws(":", "level", "community")), tidy=False)
     members = store.load("community_members")
     texts = communities.summaries(nodes, edges, members.select("community", "id"))
     up = communities.parents(members)
-    store.save("communities", members.select("community", "level", "resolution").distinct().join(texts, "community").join(up.select("community", "parent"), "community", "left"))
-    store.save("manifest", now)
-    store.set_meta("source_dir", source_dir)
+    store.save("communities", members.select("community", "level", "resolution").distinct().join(texts, "community").join(up.select("community", "parent"), "community", "left"), tidy=False)
+    store.save("manifest", now, tidy=False)
+    store.set_meta("source_dir", source_dir)  # the last save tidies up
     return {"files": now.count(), "parsed": parsed, "nodes": nodes.count(), "edges": edges.count(), "communities": store.load("communities").count()}
 
 

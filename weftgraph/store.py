@@ -19,6 +19,7 @@ class GraphStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._old: list[str] = []
 
     def _pointer(self, name: str) -> str | None:
         jvm = self.spark.sparkContext._jvm
@@ -26,21 +27,28 @@ class GraphStore:
         fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return self.spark.read.text(str(p)).first()[0] if fs.exists(p) else None
 
-    def save(self, name: str, df: DataFrame) -> None:
+    def save(self, name: str, df: DataFrame, tidy: bool = True) -> None:
+        """tidy: remove the version before; else :meth:`tidy` does, after plans that still read it."""
         before = self._pointer(name)
         version = f"v-{uuid.uuid4().hex}"
         df.write.parquet(f"{self.path}/{name}/{version}")
         self.spark.createDataFrame([(version,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}/_current")
         if before:
-            remove(self.spark, f"{self.path}/{name}/{before}")
+            self._old.append(f"{self.path}/{name}/{before}")
+        if tidy:
+            self.tidy()
+
+    def tidy(self) -> None:
+        while self._old:
+            remove(self.spark, self._old.pop())
 
     def load(self, name: str) -> DataFrame | None:
         version = self._pointer(name)
         return self.spark.read.parquet(f"{self.path}/{name}/{version}") if version else None
 
-    def save_graph(self, nodes: DataFrame, edges: DataFrame) -> None:
-        self.save("nodes", nodes)
-        self.save("edges", edges)
+    def save_graph(self, nodes: DataFrame, edges: DataFrame, tidy: bool = True) -> None:
+        self.save("nodes", nodes, False)
+        self.save("edges", edges, tidy)
 
     def save_embeddings(self, new: DataFrame) -> None:
         """Upsert by node_id (columns node_id, vector, model, model_type)."""
