@@ -3,7 +3,7 @@
 Each capture becomes three records: a request, a response (or a revisit, if an
 equal payload is stored with another capture) and a metadata record. Request and
 metadata name the response they belong to in ``WARC-Concurrent-To``. Archives are
-written by Spark's own text writer, one record a line with the record separator
+written, compressed, by Spark's own text writer, one record a line with the record separator
 as line end, so they go to any file system and a lost task leaves no half file.
 They are read as binary files, cut by ``Content-Length`` and joined through the
 concurrent-to identifiers into one nested row for each capture.
@@ -11,6 +11,7 @@ concurrent-to identifiers into one nested row for each capture.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -85,11 +86,13 @@ def write_archives(captured: DataFrame, path: str, date: str = "2024-01-01T00:00
     fields = F.concat(F.lit("pageId: "), page, F.lit(f"{CRLF}payloadBytes: "), F.octet_length("payload").cast("string"), F.coalesce(F.concat(F.lit(f"{CRLF}refersToPageId: "), F.col("first_page").cast("string")), F.lit("")), F.lit(CRLF))
     about = _record([("WARC-Type", F.lit("metadata")), ("WARC-Record-ID", meta), *common, ("WARC-Concurrent-To", response), ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = captured.select(F.explode(F.array(F.when(F.col("first").isNull(), stored).otherwise(again), asking, about)).alias("value"))
-    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_A_FILE).mode("error").text(path)
+    records.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", RECORDS_A_FILE).option("compression", "gzip").mode("error").text(path)
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (lower-case names) and block of each record of an archive."""
+    """Headers (lower-case names) and block of each record of an archive, plain or compressed."""
+    if data[:2] == b"\x1f\x8b":
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.index(b"\r\n\r\n", at)
