@@ -164,5 +164,6 @@ def digests(docs: DataFrame, least_docs: int = 10, least_points: int = 1, doc_id
     bits = drop_bitmaps(docs, least_docs, least_points, doc_id, text)
     bits = Staged(bits.withColumnsRenamed({"doc_id": "b_id", "print": "b_print"}), "line-bits").df
     rows = _rows(docs, doc_id, text)
-    both = rows.join(bits, rows["doc_id"].eqNullSafe(bits["b_id"]) & (rows["print"] == bits["b_print"]), "left").select("doc_id", "body", "drop_bits")
+    # bitmaps grow with the documents, so they are never broadcast: the same plan at every size
+    both = rows.join(bits.hint("merge"), rows["doc_id"].eqNullSafe(bits["b_id"]) & (rows["print"] == bits["b_print"]), "left").select("doc_id", "body", "drop_bits")
     return both.mapInArrow(_applied, "doc_id bigint, n_lines bigint, n_dropped bigint, kept_sha256 string")
