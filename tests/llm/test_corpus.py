@@ -140,6 +140,21 @@ def test_decontaminate(spark, docs, none):
     assert decontaminate.clean(docs, bench).count() == docs.count()
 
 
+def test_decontaminate_counts_runs(spark):
+    item = "A train travels 60 miles in 3 hours with Alice and then 60 more miles on the way home to see Alice again today."
+    race = "In the long race the runner named Alice passed the other runner named Robert just before the very last bend."
+    texts = {
+        1: "So. " + item.replace("60", "75", 1).replace("Alice", "Robert", 1),  # 14 words at the end are verbatim
+        2: "So. " + race.replace("Alice", "Carol").replace("Robert", "Carol"),
+        3: "A train travels 75 miles in 9 hours with Robert and then 60 other things",  # no six windows agree
+    }
+    bench = spark.createDataFrame([(7, item), (8, race)], "item_id long, text string")
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(df.unionByName(df.filter("doc_id = 1").selectExpr("cast(null as long) doc_id", "text")), bench).collect()}
+    assert set(got) == {(1, 7), (None, 7), (2, 8)} and not got[2, 8]
+    assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [3]
+
+
 def test_quality(spark, docs, none, rows):
     rng = random.Random(1)
     good = [(1000 + k, "\n".join(words(rng, 30).capitalize() + "." for _ in range(3))) for k in range(60)]

@@ -2,18 +2,20 @@
 
 Both sides are tokenised and canonicalised: numbers become ``#``, a unit after a
 number becomes ``@``, and a capitalised word inside a sentence becomes ``^``
-(name). Windows of eight template tokens are hashed and joined. A pair of
-document and item on one alignment counts only if its slots are consistent: the
-same item value always stands for the same document value and the other way
-round. A pair is contaminated if at least six different item windows (13 words in
-a row), or all windows of a shorter item, match consistently. So verbatim copies
-and re-parameterised ones are both found.
+(name). Windows of eight template tokens are hashed and joined. Windows with the
+item's own values always count. Windows with changed slots count where they are
+consistent, that is, where one item value stands for one document value: over the
+whole alignment of document and item, or over six windows in a row. A pair is
+contaminated if at least six different item windows (13 words in a row), or all
+windows of a shorter item, count. So verbatim copies and re-parameterised ones are
+both found.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from weftgraph.llm.common import Staged, text_or_empty
 
@@ -102,12 +104,46 @@ def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.groupBy("body").agg(F.min("item_id").alias("item_id"), F.count("*").alias("item_copies"))
 
 
+def _alike(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Join on ``columns``, nulls being equal; the columns of ``left``, then the others of ``right``."""
+    renamed = right.select(*[F.col(c).alias(f"r_{c}") for c in columns], *[c for c in right.columns if c not in columns])
+    on = [left[c].eqNullSafe(renamed[f"r_{c}"]) for c in columns]
+    return left.join(renamed, on, how).drop(*[f"r_{c}" for c in columns])
+
+
+def _counted(hits: DataFrame) -> DataFrame:
+    """doc_id, text_hash, item_id, shift, item_pos, plain of the windows that count.
+
+    A window without changed slots (plain) always counts. Others count where an
+    item value stands for one document value: in the whole alignment, or else in
+    LEAST_WINDOWS windows in a row around the window.
+    """
+    key = ["doc_id", "text_hash", "item_id", "shift"]
+    windows = hits.groupBy(*key, "item_pos").agg(F.max(F.col("item_slots").eqNullSafe(F.col("slots")) | F.col("item_slots").isNull()).alias("plain"))
+    at = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("at", "slot")
+    filled = hits.filter("item_slots is not null").select(*key, "item_pos", at).filter("slot.item_slots is not null")
+    filled = filled.select(*key, (F.col("item_pos") + F.col("at")).alias("item_at"), F.col("slot.item_slots").alias("item_value"), F.col("slot.slots").alias("doc_value")).distinct()
+    # if two places of one item value differ in the document, so do two next to each other
+    each = Window.partitionBy(*key, "item_value").orderBy("item_at")
+    before = filled.withColumn("last_at", F.lag("item_at").over(each)).withColumn("last_value", F.lag("doc_value").over(each))
+    breaks = before.filter("last_value <> doc_value").select(*key, "last_at", "item_at")
+    judged = _alike(windows, breaks.select(*key).distinct().withColumn("broken", F.lit(True)), key, "left").withColumn("broken", F.coalesce("broken", F.lit(False)))
+
+    ahead = Window.partitionBy(*key).orderBy("item_pos").rangeBetween(0, LEAST_WINDOWS - 1)
+    starts = judged.filter("broken").withColumn("n", F.count("*").over(ahead)).filter(F.col("n") == LEAST_WINDOWS).select(*key, F.col("item_pos").alias("start"))
+    first = F.col("item_at") - (WIDTH + LEAST_WINDOWS - 2)  # of the runs that hold both places
+    bad = breaks.filter(first <= F.col("last_at")).select(*key, F.explode(F.sequence(first, F.col("last_at"))).alias("start")).distinct()
+    whole = _alike(starts, bad, [*key, "start"], "left_anti")
+    whole = whole.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + (LEAST_WINDOWS - 1))).alias("item_pos")).distinct().withColumn("run", F.lit(True))
+    return _alike(judged, whole, [*key, "item_pos"], "left").filter(F.col("plain") | ~F.col("broken") | F.coalesce("run", F.lit(False))).select(*key, "item_pos", "plain")
+
+
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Pairs of contaminated document and benchmark item.
 
     Columns: doc_id, text_hash (xxhash64 of the text, to tell rows with one id
     apart), item_id (the smallest id among equal items), item_copies, n_windows
-    (item windows found), item_windows, verbatim (no slot has another value).
+    (item windows that count), item_windows, verbatim (none of them has a changed slot).
     Null and empty texts, and items without a word, match nothing; a text of
     fewer than eight words matches only as a whole. Rows repeated in id and text
     count once; null ids are kept. Other columns don't matter.
@@ -126,22 +162,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     found = _windows(rows, ["doc_id", "text_hash"]).join(side, "h")
     hits = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = Staged(hits.distinct(), "bench-hits").df
-    key = ["doc_id", "text_hash", "item_id", "shift"]
-
-    at = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("at", "slot")
-    filled = hits.filter("item_slots is not null").select(*key, "item_pos", at).filter("slot.item_slots is not null")
-    filled = filled.select(*key, (F.col("item_pos") + F.col("at")).alias("item_at"), F.col("slot.item_slots").alias("item_value"), F.col("slot.slots").alias("doc_value"))
-    pairs = filled.distinct().groupBy(*key, "item_value", "doc_value").agg(F.count("*").alias("n"))
-    judged = pairs.groupBy(*key).agg(
-        (F.count("*") > F.least(F.countDistinct("item_value"), F.countDistinct("doc_value"))).alias("inconsistent"),
-        F.max(F.col("item_value") != F.col("doc_value")).alias("changed"),
-    )
-    runs = hits.groupBy(*key).agg(F.collect_set("item_pos").alias("found"))
-    j = judged.select(*[F.col(c).alias(f"j_{c}") for c in key], "inconsistent", "changed")
-    on = runs["doc_id"].eqNullSafe(j["j_doc_id"]) & (runs["text_hash"] == j["j_text_hash"]) & (runs["item_id"] == j["j_item_id"]) & (runs["shift"] == j["j_shift"])
-    kept = runs.join(j, on, "left").filter(~F.coalesce("inconsistent", F.lit(False)))
-    flat = kept.select("doc_id", "text_hash", "item_id", F.coalesce("changed", F.lit(False)).alias("changed"), F.explode("found").alias("item_pos"))
-    scored = flat.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), (~F.max("changed")).alias("verbatim"))
+    counted = _counted(hits)
+    scored = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.min("plain").alias("verbatim"))
     out = scored.join(sizes, "item_id").filter(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows")))
     return out.join(items.select("item_id", "item_copies"), "item_id").select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", "item_windows", "verbatim")
 
