@@ -155,6 +155,16 @@ def test_decontaminate_counts_runs(spark):
     assert [r.doc_id for r in decontaminate.clean(df, bench).collect()] == [3]
 
 
+def test_decontaminate_items_of_placeholders(spark):
+    series = "1 2 3 5 8 13 21 34 55 89 144 233 377 610 987"
+    names = "they met Alice, Robert, Carol, Victor, Diana, Edgar, Fiona, Gerald, Helen, Ivan, Julia, Karl"
+    bench = spark.createDataFrame([(1, series), (2, names)], "item_id long, text string")
+    texts = [f"The row {series} goes on.", "In town " + names + " and others.", "2 4 6 8 10 12 14 16 18 20 22 24 26 28 30", "1 2 3 5 8 13 21 34", "they met Carol, Alice, Robert, Diana, Victor, Fiona, Edgar, Helen, Gerald, Julia, Ivan, Karl"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
+    assert set(got) == {(0, 1), (1, 2)} and all(r.verbatim and r.n_windows == r.item_windows for r in got.values())
+
+
 def test_quality(spark, docs, none, rows):
     rng = random.Random(1)
     good = [(1000 + k, "\n".join(words(rng, 30).capitalize() + "." for _ in range(3))) for k in range(60)]

@@ -2,13 +2,15 @@
 
 Both sides are tokenised and canonicalised: numbers become ``#``, a unit after a
 number becomes ``@``, and a capitalised word inside a sentence becomes ``^``
-(name). Windows of eight template tokens are hashed and joined. Windows with the
-item's own values always count. Windows with changed slots count where they are
-consistent, that is, where one item value stands for one document value: over the
-whole alignment of document and item, or over six windows in a row. A pair is
-contaminated if at least six different item windows (13 words in a row), or all
-windows of a shorter item, count. So verbatim copies and re-parameterised ones are
-both found.
+(name). Windows of eight lower-case words, and windows of eight template tokens, are
+hashed and joined. Windows with the item's own words always count. Windows with
+changed slots count if they have five literal tokens or more and are consistent,
+that is, one item value stands for one document value: over the whole alignment of
+document and item, or over six windows in a row. A pair is contaminated if at least
+six different item windows (13 words in a row), or all windows of a shorter item,
+count; where slots are changed, all templates with five literals if there are fewer
+than six of them. So verbatim copies and re-parameterised ones are both found, but
+an item without a template of five literals only if its words are unchanged.
 """
 
 from __future__ import annotations
@@ -78,23 +80,27 @@ def _words(body):
 
 
 def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows ``keep``, pos, h, slots: one for each window of the column ``body``.
+    """Rows ``keep``, pos, h, slots: one for each window of the column ``body``, of its words and of its template.
 
-    slots has kind and value of the window's placeholders and nulls for its other
-    tokens; it is null in texts without any placeholder.
+    slots has kind and value of a template window's placeholders and nulls for its
+    other tokens; it is null in windows of words. Texts without any placeholder
+    have windows of words only.
     """
     body = F.col("body")
     values = F.regexp_extract_all(F.lower(body), F.lit(VALUE), F.lit(0))
     none = F.lit(None).cast("array<string>")
-    entry = lambda h, slots: F.struct(h.alias("h"), slots.alias("slots"))
+    entry = lambda i, h, slots: F.struct(i.alias("pos"), h.alias("h"), slots.alias("slots"))
 
-    def windows(words, hashes):
+    def plain(words):
+        return F.transform(_hashes(words), lambda h, i: entry(i, h, none))
+
+    def both(words, values):
         slots = F.zip_with(words, values, lambda w, v: F.when(w.isin(*PLACEHOLDERS), F.concat(w, v)))
-        open_ = _let(slots, lambda s: F.transform(hashes, lambda h, i: entry(h, F.slice(s, i + 1, F.lit(WIDTH)))))
-        return F.when(F.arrays_overlap(words, F.array(*[F.lit(p) for p in PLACEHOLDERS])), open_).otherwise(F.transform(hashes, lambda h: entry(h, none)))
+        open_ = _let(slots, lambda s: F.transform(_hashes(words), lambda h, i: entry(i, h, F.slice(s, i + 1, F.lit(WIDTH)))))
+        return F.concat(plain(values), open_)
 
-    found = _let(_words(body), lambda w: _let(_hashes(w), lambda h: windows(w, h)))
-    return df.select(*keep, F.posexplode(found).alias("pos", "w")).select(*keep, "pos", "w.h", "w.slots")
+    found = _let(_words(body), lambda w: F.when(F.arrays_overlap(w, F.array(*[F.lit(p) for p in PLACEHOLDERS])), _let(values, lambda v: both(w, v))).otherwise(plain(w)))
+    return df.select(*keep, F.explode(found).alias("w")).select(*keep, "w.pos", "w.h", "w.slots")
 
 
 def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -151,20 +157,26 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     body = text_or_empty(docs, text)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     items = Staged(_items(bench, item_id, item_text), "bench-items").df
-    marks = _windows(items.withColumn("words", _words(F.col("body"))), ["item_id", "words"])
-    inside = F.when(F.size("words") >= WIDTH, F.slice("words", F.col("pos") + 1, F.lit(WIDTH))).otherwise(F.col("words"))
-    literals = F.size(F.filter(inside, lambda w: ~w.isin(*PLACEHOLDERS)))
-    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "h", F.when(literals < F.size(inside), F.col("slots")).alias("item_slots"), ((literals >= LEAST_LITERALS) | (F.size("words") < WIDTH)).alias("telling"))
-    marks = Staged(marks.filter("telling").drop("telling"), "bench-windows").df
-    sizes = marks.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows"))
+    marks = _windows(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
+    open_ = F.size(F.filter("item_slots", lambda s: s.isNotNull()))
+    # a template of few literals tells nothing; its words are still looked for
+    marks = marks.withColumn("telling", (F.size("item_slots") - open_ >= LEAST_LITERALS) | (F.size("item_slots") < WIDTH)).withColumn("open", open_ > 0)
+    marks = Staged(marks, "bench-windows").df
+    words = F.countDistinct(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("item_windows")
+    templates = F.countDistinct(F.when(F.col("telling"), F.col("item_pos"))).alias("templates")
+    sizes = marks.groupBy("item_id").agg(words, templates)
+    marks = marks.filter("item_slots is null or telling and open").drop("telling", "open")
     small = marks.count() <= BROADCAST_WINDOWS
     side = F.broadcast(marks) if small else marks
     found = _windows(rows, ["doc_id", "text_hash"]).join(side, "h")
     hits = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = Staged(hits.distinct(), "bench-hits").df
     counted = _counted(hits)
-    scored = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.min("plain").alias("verbatim"))
-    out = scored.join(sizes, "item_id").filter(F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows")))
+    unchanged = F.countDistinct(F.when(F.col("plain"), F.col("item_pos"))).alias("unchanged")
+    scored = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), unchanged, F.min("plain").alias("verbatim"))
+    enough = F.col("unchanged") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))
+    enough = enough | (~F.col("verbatim") & (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("templates"))))
+    out = scored.join(sizes, "item_id").filter(enough)
     return out.join(items.select("item_id", "item_copies"), "item_id").select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", "item_windows", "verbatim")
 
 
