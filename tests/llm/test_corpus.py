@@ -165,6 +165,24 @@ def test_decontaminate_items_of_placeholders(spark):
     assert set(got) == {(0, 1), (1, 2)} and all(r.verbatim and r.n_windows == r.item_windows for r in got.values())
 
 
+def test_decontaminate_short_items(spark):
+    items = ["What is the capital of France and its river?", "Where does Alice live now?", "Is water wet?", "How many legs have 8 spiders?", "Why", "Did Anna, Bert, Carl, Dora or Emil call today?"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = {
+        0: "He asked us so What is the capital of France and its river? Nobody knew.",
+        1: "the teacher asked where does alice live now and went on to other things",
+        2: "The last question on the list was, is water wet? All of us laughed at it.",
+        3: "One more time: how many legs have 6 spiders? That was all that was asked here.",
+        4: "Why",
+        5: "and then: did anna, bert, carl, dora or emil call today? no",
+        6: "Where does the water of Alice live and how many legs does it have now, is it wet",
+        7: "Where does Robert live now?",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(df, bench).collect()}
+    assert got == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False, (4, 4): True, (5, 5): True, (7, 1): False}
+
+
 def test_quality(spark, docs, none, rows):
     rng = random.Random(1)
     good = [(1000 + k, "\n".join(words(rng, 30).capitalize() + "." for _ in range(3))) for k in range(60)]

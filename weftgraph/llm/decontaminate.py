@@ -10,7 +10,8 @@ document and item, or over six windows in a row. A pair is contaminated if at le
 six different item windows (13 words in a row), or all windows of a shorter item,
 count; where slots are changed, all templates with five literals if there are fewer
 than six of them. So verbatim copies and re-parameterised ones are both found, but
-an item without a template of five literals only if its words are unchanged.
+an item without a template of five literals only if its words are unchanged. Items
+of fewer than eight words are looked for by windows as long as they are.
 """
 
 from __future__ import annotations
@@ -60,18 +61,24 @@ def _let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _hashes(words):
-    """The hash of each window of WIDTH template tokens; of all tokens where there are fewer."""
+def _hashes(words, width: int):
+    """The hash of each window of ``width`` tokens; none where there are fewer."""
 
-    def wider(h, width):
-        if width == WIDTH:
-            return F.slice(h, F.lit(1), F.size(h) - (WIDTH - 1))
-        pairs = F.zip_with(h, F.slice(h, F.lit(width + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
-        return _let(pairs, lambda g: wider(g, 2 * width))
+    def wider(h, have):
+        if have == width:
+            return F.slice(h, F.lit(1), F.size(h) - (width - 1))
+        step = min(have, width - have)
+        pairs = F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
+        return _let(pairs, lambda g: wider(g, have + step))
 
     some = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: wider(h, 1))
+    return F.when(F.size(words) >= width, some).otherwise(F.array().cast("array<bigint>"))
+
+
+def _whole(words):
+    """The hash of a text of fewer than WIDTH tokens."""
     whole = F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))
-    return F.when(F.size(words) >= WIDTH, some).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(words).between(1, WIDTH - 1), whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _words(body):
@@ -79,28 +86,37 @@ def _words(body):
     return F.when(body.rlike("[0-9]"), _let(_template(body), _canonical)).otherwise(_template(body))
 
 
-def _windows(df: DataFrame, keep: list[str]) -> DataFrame:
-    """Rows ``keep``, pos, h, slots: one for each window of the column ``body``, of its words and of its template.
+def _windows(df: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
+    """Rows ``keep``, n, pos, width, h, slots: one for each window of the column ``body``, of its words and of its template.
 
-    slots has kind and value of a template window's placeholders and nulls for its
-    other tokens; it is null in windows of words. Texts without any placeholder
-    have windows of words only.
+    n is the number of tokens. slots has kind and value of a template window's
+    placeholders and nulls for its other tokens; it is null in windows of words.
+    Texts without any placeholder have windows of words only. The template of a
+    text of fewer than WIDTH tokens is a window of width 0 besides.
     """
     body = F.col("body")
     values = F.regexp_extract_all(F.lower(body), F.lit(VALUE), F.lit(0))
     none = F.lit(None).cast("array<string>")
-    entry = lambda i, h, slots: F.struct(i.alias("pos"), h.alias("h"), slots.alias("slots"))
+    entry = lambda i, width, h, slots: F.struct(i.cast("int").alias("pos"), F.lit(width).alias("width"), h.alias("h"), slots.alias("slots"))
 
     def plain(words):
-        return F.transform(_hashes(words), lambda h, i: entry(i, h, none))
+        return F.concat(*[F.transform(_hashes(words, n), lambda h, i: entry(i, n, h, none)) for n in widths])
 
     def both(words, values):
         slots = F.zip_with(words, values, lambda w, v: F.when(w.isin(*PLACEHOLDERS), F.concat(w, v)))
-        open_ = _let(slots, lambda s: F.transform(_hashes(words), lambda h, i: entry(i, h, F.slice(s, i + 1, F.lit(WIDTH)))))
-        return F.concat(plain(values), open_)
 
-    found = _let(_words(body), lambda w: F.when(F.arrays_overlap(w, F.array(*[F.lit(p) for p in PLACEHOLDERS])), _let(values, lambda v: both(w, v))).otherwise(plain(w)))
-    return df.select(*keep, F.explode(found).alias("w")).select(*keep, "w.pos", "w.h", "w.slots")
+        def templates(s):
+            inside = [F.transform(_hashes(words, n), lambda h, i: entry(i, n, h, F.slice(s, i + 1, F.lit(n)))) for n in widths if n >= LEAST_LITERALS]
+            return F.concat(*inside, F.transform(_whole(words), lambda h: entry(F.lit(0), 0, h, s)))
+
+        return F.concat(plain(values), _let(slots, templates))
+
+    def found(words):
+        open_ = F.arrays_overlap(words, F.array(*[F.lit(p) for p in PLACEHOLDERS]))
+        return F.struct(F.size(words).alias("n"), F.when(open_, _let(values, lambda v: both(words, v))).otherwise(plain(words)).alias("all"))
+
+    rows = df.select(*keep, _let(_words(body), found).alias("found"))
+    return rows.select(*keep, "found.n", F.explode("found.all").alias("w")).select(*keep, "n", "w.pos", "w.width", "w.h", "w.slots")
 
 
 def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -150,25 +166,29 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     Columns: doc_id, text_hash (xxhash64 of the text, to tell rows with one id
     apart), item_id (the smallest id among equal items), item_copies, n_windows
     (item windows that count), item_windows, verbatim (none of them has a changed slot).
-    Null and empty texts, and items without a word, match nothing; a text of
-    fewer than eight words matches only as a whole. Rows repeated in id and text
+    Null and empty texts, and items without a word, match nothing. An item of
+    fewer than eight words is one window, found inside longer texts too; with
+    changed slots it is found there if it has five literals, else only in a text
+    that is the item and nothing else. Rows repeated in id and text
     count once; null ids are kept. Other columns don't matter.
     """
     body = text_or_empty(docs, text)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     items = Staged(_items(bench, item_id, item_text), "bench-items").df
-    marks = _windows(items, ["item_id"]).select("item_id", F.col("pos").alias("item_pos"), "h", F.col("slots").alias("item_slots"))
+    marks = _windows(items, ["item_id"], list(range(1, WIDTH + 1))).filter(F.col("width").isin(0, F.least(F.lit(WIDTH), F.col("n"))))
+    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "width", "h", F.col("slots").alias("item_slots"))
     open_ = F.size(F.filter("item_slots", lambda s: s.isNotNull()))
     # a template of few literals tells nothing; its words are still looked for
-    marks = marks.withColumn("telling", (F.size("item_slots") - open_ >= LEAST_LITERALS) | (F.size("item_slots") < WIDTH)).withColumn("open", open_ > 0)
+    marks = marks.withColumn("telling", (F.size("item_slots") - open_ >= LEAST_LITERALS) | (F.col("width") == 0)).withColumn("open", open_ > 0)
     marks = Staged(marks, "bench-windows").df
     words = F.countDistinct(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("item_windows")
     templates = F.countDistinct(F.when(F.col("telling"), F.col("item_pos"))).alias("templates")
     sizes = marks.groupBy("item_id").agg(words, templates)
     marks = marks.filter("item_slots is null or telling and open").drop("telling", "open")
+    widths = sorted({WIDTH, *(r.width for r in marks.select("width").distinct().collect() if r.width)})  # WIDTH rows at most
     small = marks.count() <= BROADCAST_WINDOWS
     side = F.broadcast(marks) if small else marks
-    found = _windows(rows, ["doc_id", "text_hash"]).join(side, "h")
+    found = _windows(rows, ["doc_id", "text_hash"], widths).join(side, ["width", "h"])
     hits = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = Staged(hits.distinct(), "bench-hits").df
     counted = _counted(hits)
