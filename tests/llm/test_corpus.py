@@ -397,3 +397,13 @@ def test_pseudonyms_are_a_permutation(spark):
     df = spark.createDataFrame([(k, t) for k, t in enumerate(dates + phones)], "doc_id long, text string")
     out = [r.text for r in pii.pseudonymise(df, "key").collect()]
     assert len(set(out)) == len(out)
+
+
+def test_pseudonyms_of_all_phone_numbers(spark):
+    phones = [f"+1 ({a:03d}) {e:03d}-{n:04d}" for a in (0, 17, 199, 200, 755, 999) for e in (0, 99, 199, 200, 555, 999) for n in (0, 7713, 9999)]
+    df = spark.createDataFrame(list(enumerate(phones)), "doc_id long, text string")
+    out = [r for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    assert all(r.n_found == 1 and re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", r.text) for r in out)
+    assert len({r.text for r in out}) == len(out) and all(r.text != p for r, p in zip(out, phones, strict=True))
+    valid = lambda p: p[4] >= "2" and p[9] >= "2"
+    assert [valid(r.text) for r in out] == [valid(p) for p in phones]

@@ -1,10 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal data, in SQL expressions only.
 
-Card numbers (Luhn-valid, 13 to 19 digits), North American telephone numbers,
-social security numbers, IPv4 addresses, calendar dates (1800 to 2199) and the
-local part of e-mail addresses are found by one pattern and validated. Each
-valid value is ranked inside its format's domain of ``a * b`` values and sent
-through an unbalanced Feistel network over Z_a x Z_b whose round function is a
+Card numbers (Luhn-valid, 13 to 19 digits), telephone numbers written as in North
+America (with any digits), social security numbers, IPv4 addresses, calendar dates
+(1800 to 2199) and the local part of e-mail addresses are found by one pattern and
+validated. Each valid value is ranked inside its format's domain of ``a * b`` values
+and sent through an unbalanced Feistel network over Z_a x Z_b whose round function is a
 keyed SHA-256, so the result is a valid value of the same format, equal values
 stay equal in every document, and different values stay different. There is no
 shuffle: each row is rewritten where it is read.
@@ -91,10 +91,20 @@ def _card(m: str, key: str) -> str:
 
 
 def _phone(m: str, key: str) -> str:
+    """Numbers whose area code and exchange begin with 2 to 9 keep that; all others are permuted among themselves."""
+    area, exchange, line = (f"cast(substr(t, {k}, {n}) as bigint)" for k, n in ((1, 3), (4, 3), (7, 4)))
+    head = "substr(d, 1, length(d) - 10)"
     # area 200..999, exchange 200..999, line 0000..9999: 6.4e9 numbers = 80000 x 80000
-    rank = "((cast(substr(t, 1, 3) as bigint) - 200) * 800 + cast(substr(t, 4, 3) as bigint) - 200) * 10000 + cast(substr(t, 7, 4) as bigint)"
-    new = "concat(substr(d, 1, length(d) - 10), cast(200 + x div 8000000 as string), cast(200 + (x div 10000) % 800 as string), lpad(cast(x % 10000 as string), 4, '0'))"
-    image = _let("right(d, 10)", "t", _let(_feistel("phone", rank, "80000L", "80000L", key), "x", _remask(m, new)))
+    rank = f"(({area} - 200) * 800 + {exchange} - 200) * 10000 + {line}"
+    new = f"concat({head}, cast(200 + x div 8000000 as string), cast(200 + (x div 10000) % 800 as string), lpad(cast(x % 10000 as string), 4, '0'))"
+    valid = _let(_feistel("phone", rank, "80000L", "80000L", key), "x", _remask(m, new))
+    # area 000..199 with any exchange, then area 200..999 with exchange 000..199: 3.6e9 numbers = 60000 x 60000
+    rank = f"if({area} < 200, {area} * 1000 + {exchange}, 200000 + ({area} - 200) * 200 + {exchange}) * 10000 + {line}"
+    prefix = "x div 10000"
+    prefix = f"if({prefix} < 200000, {prefix}, 200000 + ({prefix} - 200000) div 200 * 1000 + ({prefix} - 200000) % 200)"
+    new = f"concat({head}, lpad(cast({prefix} as string), 6, '0'), lpad(cast(x % 10000 as string), 4, '0'))"
+    other = _let(_feistel("phone-other", rank, "60000L", "60000L", key), "x", _remask(m, new))
+    image = _let("right(d, 10)", "t", f"if({area} >= 200 and {exchange} >= 200, {valid}, {other})")
     return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", image)
 
 
@@ -151,7 +161,7 @@ def _kind(m: str) -> str:
       when {m} rlike r'^(?:{DATE})$' then if({dates}, 'date', null)
       when {m} rlike r'^(?:{IPV4})$' then if(forall(split({m}, '[.]'), o -> cast(o as int) <= 255), 'ipv4', null)
       when {m} rlike r'^(?:{SSN})$' then 'ssn'
-      when {m} rlike r'^(?:{PHONE})$' then if(substr({digits}, -10, 1) >= '2' and substr({digits}, -7, 1) >= '2', 'phone', null)
+      when {m} rlike r'^(?:{PHONE})$' then 'phone'
       when length({digits}) between 13 and 19 and {_luhn_sum(digits)} % 10 = 0 then 'card'
     end"""
 
