@@ -407,3 +407,10 @@ def test_pseudonyms_of_all_phone_numbers(spark):
     assert len({r.text for r in out}) == len(out) and all(r.text != p for r, p in zip(out, phones, strict=True))
     valid = lambda p: p[4] >= "2" and p[9] >= "2"
     assert [valid(r.text) for r in out] == [valid(p) for p in phones]
+
+
+def test_pseudonyms_do_not_depend_on_other_text(spark):
+    df = spark.createDataFrame([(0, "ask 8.8.8.8 first"), (1, "ask 8.8.8.8 first, 22 times"), (2, "1.1.1.1")], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    assert [got[k].n_found for k in range(3)] == [1, 1, 1] and got[2].text != "1.1.1.1"
+    assert "8.8.8.8" not in got[0].text and got[1].text == got[0].text + ", 22 times"

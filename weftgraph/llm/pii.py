@@ -188,7 +188,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", n_found: str = "n_
     """
     secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     column = f"`{text}`"
-    quick = F.expr(f"{column} rlike r'[0-9]{{2}}|@'")
+    quick = F.expr(f"{column} rlike r'[0-9]{{2}}|@|[0-9][.][0-9]'")  # every format has one of these
     found = F.expr(f"regexp_extract_all({column}, r'{FOUND}', 0)")
     matches = F.when(quick, found).otherwise(F.array().cast("array<string>"))
     staged = df.withColumn("__w_matches", matches)
