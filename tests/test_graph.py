@@ -177,6 +177,29 @@ def test_log_and_renames(spark):
     assert got["v1"] == got["v2"] == "v3" and {"a", "b"} <= set(got)
 
 
+def test_long_and_circular_renames(spark):
+    rows = [(k, f"p{k}", f"p{k + 1}") for k in range(300)] + [(1, "x", "y"), (2, "y", "a"), (3, "a", "b"), (4, "b", "c"), (5, "c", "a")]
+    got = {r.old: r.new for r in cochange.resolve_renames(spark.createDataFrame(rows, "seq int, old string, new string")).collect()}
+    assert got == {f"p{k}": "p300" for k in range(300)} | {"x": "c", "y": "c", "a": "c", "b": "a", "c": "b"}
+    assert cochange.resolve_renames(spark.createDataFrame([], "seq int, old string, new string")).count() == 0
+
+
+def test_betweenness_query_takes_customers(spark, tmp_path):
+    from weftgraph.plans.graph_queries import betweenness
+
+    tables = {
+        "region": ([(0, "R")], "r_regionkey int, r_name string"),
+        "nation": ([(0, "A", 0), (1, "B", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "supplier": ([(0, "S", 0)], "s_suppkey long, s_name string, s_nationkey int"),
+        "customer": ([(k, "C", 0) for k in range(3)], "c_custkey long, c_name string, c_nationkey int"),
+    }
+    for name, (rows, shape) in tables.items():
+        spark.createDataFrame(rows, shape).write.parquet(f"file://{tmp_path}/{name}.parquet")
+    got = {r.id: r.betweenness for r in betweenness(spark, f"file://{tmp_path}").collect()}
+    # of 6 x 5 ordered pairs, with s0 -> r0 -> n0 -> (s0, c0, c1, c2) and r0 -> n1
+    assert got == {"n0": 0.233333, "r0": 0.2, "s0": 0.066667} | dict.fromkeys(["n1", "c0", "c1", "c2"], 0.0)
+
+
 def modularity(edges, part, gamma=1.0):
     m = len(edges)
     deg, inside = {}, 0

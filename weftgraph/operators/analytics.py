@@ -165,8 +165,8 @@ def _brandes(sources: list[int], start: np.ndarray, targets: np.ndarray, n: int)
     return score
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100, most_edges: int = 5_000_000, seed: int = 0) -> DataFrame:
-    """id, betweenness (normalised, directed) from at most ``pivots`` source nodes; exact if there are no more nodes.
+def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, most_edges: int = 5_000_000, seed: int = 0) -> DataFrame:
+    """id, betweenness (normalised, directed) from at most ``pivots`` source nodes; exact if there are no more nodes, or with None.
 
     Pivots are spread over tasks; each runs breadth-first passes over the adjacency
     in compressed form. That form is sent to the tasks, so graphs above
@@ -184,8 +184,9 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int = 100, most_edge
     pairs = np.array([(place[a], place[b]) for a, b in edges.select("source", "target").distinct().toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     start = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=n))])
-    k = min(pivots, n)
+    k = n if pivots is None else min(pivots, n)
     chosen = np.sort(np.random.default_rng(seed).choice(n, k, replace=False)) if k < n else np.arange(n)
+    chosen = chosen[start[chosen + 1] > start[chosen]]  # no path begins at the others
     shared = spark.sparkContext.broadcast((start, pairs[:, 1]))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,23 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.staging import Staged
+
 DAY = 86_400
 
 
-def resolve_renames(renames: DataFrame, most: int = 32) -> DataFrame:
-    """old, new: where each old path has ended up, along chains; a cycle ends where it would repeat.
+def _followed(step: DataFrame) -> DataFrame:
+    """old, new: the end of each path's chain; of one that runs into a cycle, a path on the cycle.
 
-    ``renames`` has seq, old, new; of several renames of a path the last counts.
-    Pointer jumping: each round doubles the length of the chain that is followed.
+    Pointer jumping: each round doubles the length of the chain that is followed,
+    until nothing moves or the length reaches the number of rows.
     """
-    last = renames.groupBy("old").agg(F.max_by("new", "seq").alias("new")).filter("old <> new")
-    at = last
-    for _ in range(most.bit_length()):
-        step = at.select(F.col("old").alias("via"), F.col("new").alias("next"))
-        at = at.join(step, at["new"] == step["via"], "left").select("old", F.when(F.col("next").isNull() | (F.col("next") == F.col("old")), F.col("new")).otherwise(F.col("next")).alias("new"))
+    at, hops = step, 1
+    rows = step.count()
+    while hops < rows:
+        then = at.select(F.col("old").alias("via"), F.col("new").alias("next"))
+        jumped = at.join(then, at["new"] == then["via"], "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
+        jumped = Staged(jumped, "renames").df
+        at, hops = jumped.drop("moved"), 2 * hops
+        if not jumped.filter("moved").head(1):
+            break
     return at
 
 
+def resolve_renames(renames: DataFrame) -> DataFrame:
+    """old, new: where each old path has ended up, along chains of any length; a cycle ends where it would repeat.
+
+    ``renames`` has seq, old, new; of several renames of a path the last counts.
+    """
+    last = Staged(renames.groupBy("old").agg(F.max_by("new", "seq").alias("new")).filter("old <> new"), "renames").df
+    at = _followed(last)
+    cycle = at.join(last.select(F.col("old").alias("on")), F.col("new") == F.col("on"), "left_semi").select(F.col("new").alias("on")).distinct()
+    cycle = Staged(cycle, "renames").df
+    if not cycle.head(1):
+        return at
+    ends = _followed(last.join(cycle, last["old"] == cycle["on"], "left_anti"))
+    before = last.join(cycle, last["old"] == cycle["on"], "left_semi").select(F.col("new").alias("node"), F.col("old").alias("end"))
+    tails = ends.join(before, ends["new"] == before["node"], "left").select("old", F.coalesce("end", "new").alias("new"))
+    return tails.unionByName(before.select(F.col("node").alias("old"), F.col("end").alias("new")))
+
+
 def pairs(commits: DataFrame, most_files: int = 30, min_support: int = 3, min_confidence: float = 0.3, half_life_days: float = 180.0, messages: int = 10, extracted_support: int = 5, extracted_strength: float = 0.5) -> DataFrame:
     """a, b, support, strength, recency, confidence, sample_messages of pairs of files.
 

@@ -39,10 +39,7 @@ def graph_stats(spark, sf_dir):
 
 
 def betweenness(spark, sf_dir):
-    nodes, edges = graph(spark, sf_dir)
-    nodes = nodes.filter("kind <> 'customer'")
-    edges = edges.join(nodes.select(F.col("id").alias("target")), "target", "left_semi")
-    return A.betweenness(nodes, edges, pivots=100).orderBy(F.desc("betweenness"), "id").limit(10).select("id", F.round("betweenness", 6).alias("betweenness"))
+    return A.betweenness(*graph(spark, sf_dir), pivots=None).orderBy(F.desc("betweenness"), "id").limit(10).select("id", F.round("betweenness", 6).alias("betweenness"))
 
 
 def surprising_edges(spark, sf_dir):
