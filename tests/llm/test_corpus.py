@@ -288,6 +288,20 @@ def test_html_text(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_html_text_after_parts_without_end():
+    assert html_text.main_text('<article><p class="notice">x<p>First<p>Second</article>') == "First Second"
+    assert html_text.main_text('<article><ul><li class="advert">x<li>One<li class="advert">y<li>Two</ul><p class="notice">z<h2>Head</h2>End</article>') == "One Two Head End"
+    assert html_text.main_text('<article><div><p class="notice">x</div>Text<aside><p>no<p>no</aside> more</article>') == "Text more"
+
+
+def test_html_text_keeps_short_runs_of_unmarked_pages():
+    long = "".join(f"<p>Paragraph {k} with enough words to be text of the page.</p>" for k in range(6))
+    part = lambda t: f"<p>{t}</p><div class='advert'>Buy</div>"
+    page = "<body><div><a>Home</a><a>About</a></div><div class='advert'>Buy</div>" + part("It began in May.") + long + "<div class='advert'>Buy</div>" + part("Between") + long + "<div class='advert'>Buy</div>" + part("So it ended.") + "<div>Imprint</div>"
+    got = html_text.main_text(page)
+    assert got.startswith("It began in May. Paragraph 0") and " Between Paragraph 0" in got and got.endswith("page. So it ended.")
+
+
 def line_digests(rows, least):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
     found = collections.defaultdict(set)

@@ -6,8 +6,9 @@ and so on) leaves a gap of empty lines as wide as the window. Text lengths, with
 the text of links, are summed over a sliding window of lines. Where the sum rises
 from nothing there is a surge point, where it falls back to nothing a dive point;
 the text between them is one candidate. If the page marks its article or main
-part, the candidates inside are the text; else those with enough unlinked text
-beside the longest are.
+part, the candidates inside are the text. Else the text is all unlinked candidates
+from the first to the last with enough text beside the longest, and those before
+and after them that end like a sentence.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-# Outside a marked article a candidate needs this share of the longest one's text.
+# Outside a marked article the first and last large candidate have this share of the longest one's text.
 LEAST_SHARE = 0.15
 MOST_LINKED = 0.5
+SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 
 # Elements and words that mark parts.
 RAW = ("script", "style", "textarea", "title", "xmp", "noframes", "iframe", "noembed")
@@ -47,8 +49,11 @@ TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"(?:^|[\s_-])(?:" + "|".join(PART_WORDS) + r")(?:$|[\s_-])", re.I)
 KEEP_OPEN = {"html", "body", "article", "main"}
-# An end of one of these can be left out: a new one of the same closes it.
-IMPLIED = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+# An end of one of these can be left out: the start of one of those closes it.
+IMPLIED = {
+    "p": set("address article aside blockquote details div dl dt dd fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table td th tr ul".split()),
+    "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"},
+}
 
 
 def _not_article(name: str, attributes: str) -> bool:
@@ -106,21 +111,24 @@ def lines_of(page: str) -> tuple[list[str], list[int], list[int]]:
         if not m[2]:
             continue
         name, closing = m[2].lower(), bool(m[1])
+        if skipped and not closing:
+            while skipped and name in IMPLIED.get(skipped[-1], ()):
+                skipped.pop()
+            if not skipped:
+                gap()
         if skipped:
             if closing and name in skipped:
                 del skipped[len(skipped) - 1 - skipped[::-1].index(name) :]
                 if not skipped:
                     gap()
-            elif closing and name in ("body", "html", "article", "main"):
-                skipped.clear()  # the part was never closed
+            elif closing and (name in ("body", "html", "article", "main") or name not in INLINE and name not in VOID and name not in IMPLIED and all(x in IMPLIED for x in skipped)):
+                skipped.clear()  # the part was never closed, or ends with its parent
                 gap()
             elif not closing and name not in VOID and not m[3].rstrip().endswith("/"):
                 if name in RAW:
                     end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                     at = end.end() if end else n
                 elif name not in INLINE:
-                    if name in IMPLIED and skipped[-1] == name:
-                        skipped.pop()
                     skipped.append(name)
             continue
         if closing:
@@ -182,7 +190,10 @@ def main_text(page: str | None) -> str:
         # without marks, menus are runs of links: their text doesn't count
         plain = [int((sizes[a:b] - np.minimum(links[a:b], sizes[a:b])).sum()) for a, b in runs]
         most = max(plain)
-        kept = [r for r, p in zip(runs, plain, strict=True) if p and p >= LEAST_SHARE * most and p >= (1 - MOST_LINKED) * sizes[r[0] : r[1]].sum()]
+        unlinked = [(r, p) for r, p in zip(runs, plain, strict=True) if p and p >= (1 - MOST_LINKED) * sizes[r[0] : r[1]].sum()]
+        large = [r for r, p in unlinked if p >= LEAST_SHARE * most]
+        # between the large ones all text is the article's, before and after them what ends like a sentence
+        kept = [r for r, _ in unlinked if large and (large[0] <= r <= large[-1] or SENTENCE.search(next(x for x in lines[r[1] - 1 :: -1] if x)))]
     return " ".join(line for a, b in kept for k, line in enumerate(lines[a:b], a) if line and (not marked or inside[k]))
 
 
