@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, pii, quality, sharding, warc
@@ -133,9 +134,10 @@ def test_decontaminate(spark, docs, none):
     df = spark.createDataFrame([(k, t, "x") for k, t in texts.items()] + [(1, texts[1], "x")], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(7, item, 0), (9, item, 0), (8, "Short item here", 0), (10, None, 0)], "item_id long, text string, doc_id long")
     got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(df, bench).collect()}
-    assert set(got) == {(1, 7), (2, 7), (7, 8)}
+    # text 3 has 14 words of the item unchanged, that is seven windows
+    assert set(got) == {(1, 7), (2, 7), (3, 7), (7, 8)}
     assert got[1, 7].verbatim and not got[2, 7].verbatim and got[1, 7].item_copies == 2
-    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [3, 4, 5, 6]
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [4, 5, 6]
     assert decontaminate.contaminated(none, bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
     assert decontaminate.clean(docs, bench).count() == docs.count()
 
@@ -183,6 +185,98 @@ def test_decontaminate_short_items(spark):
     assert got == {(0, 0): True, (1, 1): True, (2, 2): True, (3, 3): False, (4, 4): True, (5, 5): True, (7, 1): False}
 
 
+def template_tokens(text):
+    """Tokens as (mark, word), by the operator's documented rules."""
+    text = regex.sub(r"[\p{Han}\p{Hiragana}\p{Katakana}]", r" \g<0> ", text or "")
+    names = {m.start() for m in regex.finditer(r"(?<=[\p{Ll}\p{N},;] )\p{Lu}\p{Ll}+(?!\p{L})", text)}
+    out = []
+    for m in regex.finditer(r"\d+(?:[.,]\d+)*|\p{L}+", text):
+        word = m[0].lower()
+        mark = "#" if word[0].isdigit() else "^" if m.start() in names else "@" if out and out[-1][0] == "#" and word in decontaminate.UNITS else ""
+        out.append((mark, word))
+    return out
+
+
+def contaminated(doc, item):
+    d, i = template_tokens(doc), template_tokens(item)
+    width = min(8, len(i))
+    if not width:
+        return False
+    open_ = lambda w: tuple(m or x for m, x in w)
+    slots = lambda w: [m + x if m else None for m, x in w]
+    spots = {}  # shift -> item position -> (plain, {place: (item value, document value)})
+
+    def hit(b, a, size, plain, valued):
+        found = spots.setdefault(a - b, {}).setdefault(b, [False, {}])
+        found[0] |= plain
+        if valued:
+            found[1].update({b + k: (v, w) for k, (v, w) in enumerate(zip(slots(i[b : b + size]), slots(d[a : a + size]), strict=True)) if v})
+
+    literal = lambda b: sum(not m for m, _ in i[b : b + width])
+    telling = [b for b in range(len(i) - width + 1) if literal(b) >= 5]
+    for b in range(len(i) - width + 1):
+        for a in range(len(d) - width + 1):
+            x, y = i[b : b + width], d[a : a + width]
+            if [w for _, w in x] == [w for _, w in y]:
+                hit(b, a, width, True, False)
+            if b in telling and literal(b) < width and open_(x) == open_(y):
+                hit(b, a, width, slots(x) == slots(y), True)
+    if len(i) < 8 and open_(i) == open_(d):
+        hit(0, 0, len(i), slots(i) == slots(d), True)
+    counted = {}
+    for places in spots.values():
+        values = {k: v for _, more in places.values() for k, v in more.items()}
+
+        def agree(first, last, values=values):
+            seen = {}
+            return all(seen.setdefault(v, w) == w for k, (v, w) in values.items() if first <= k <= last)
+
+        whole = agree(0, len(i))
+        runs = [s for s in places if all(s + k in places for k in range(6)) and agree(s, s + 12)]
+        for b, (plain, _) in places.items():
+            if plain or whole or any(s <= b < s + 6 for s in runs):
+                counted[b] = counted.get(b, False) or plain
+    unchanged = sum(counted.values())
+    templates = len({*telling, *([0] if len(i) < 8 else [])})
+    return unchanged >= min(6, len(i) - width + 1) or bool(counted) and not all(counted.values()) and len(counted) >= min(6, templates)
+
+
+@pytest.mark.parametrize("piece", [1 << 15, 9])
+def test_decontaminate_against_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE", piece)
+    monkeypatch.setattr(decontaminate, "FILTER_ROWS_LOG", 4)  # a filter that lets many others pass
+    rng = random.Random(11)
+    low = ["train", "goes", "from", "home", "to", "the", "river", "and", "sees", "a", "stone", "km", "hours", "miles"]
+    names = ["Alice", "Robert", "Carol", "Diana"]
+    chinese = "小明有三个苹果他给了朋友两个请问还剩下多少苹果呢"
+
+    def sentence(n):
+        return " ".join(rng.choice(names) if rng.random() < 0.15 else str(rng.randrange(9)) if rng.random() < 0.2 else rng.choice(low) for _ in range(n))
+
+    items = [sentence(n) for n in (3, 5, 6, 7, 8, 9, 12, 14, 20, 30, 40)] + [chinese, chinese[:7]]
+
+    def changed(text, share):
+        swap = {n: rng.choice(names) for n in names} | {str(k): str(rng.randrange(9)) for k in range(9)}
+        return " ".join(swap.get(w, w) if rng.random() < share else w for w in text.split(" "))
+
+    texts = [None, "", "a", chinese, "标题 " + chinese + "。完"]
+    for item in items:
+        for share in (0, 0.1, 0.5, 1):
+            texts += [changed(item, share), sentence(6) + " " + changed(item, share) + ". " + sentence(9), sentence(4) + " " + changed(item, share)[: len(item) * 2 // 3] + " " + sentence(3)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(df, bench).collect()}
+    expected = {(d, i) for d, text in enumerate(texts) for i, item in enumerate(items) if contaminated(text, item)}
+    assert got == expected and len(expected) > 40
+
+
+def test_decontaminate_of_a_long_text(spark):
+    item = "A train travels 60 miles in 3 hours with Alice and then 60 more miles on the way home to see Alice again today."
+    text = "x " * 200_000 + item + " y" * 100_000
+    got = decontaminate.contaminated(spark.createDataFrame([(1, text)], "doc_id long, text string"), spark.createDataFrame([(2, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.verbatim, r.n_windows == r.item_windows) for r in got] == [(1, 2, True, True)]
+
+
 def test_quality(spark, docs, none, rows):
     rng = random.Random(1)
     good = [(1000 + k, "\n".join(words(rng, 30).capitalize() + "." for _ in range(3))) for k in range(60)]

@@ -1,8 +1,9 @@
 """Benchmark decontamination by template windows, in DataFrame operations only.
 
 Both sides are tokenised and canonicalised: numbers become ``#``, a unit after a
-number becomes ``@``, and a capitalised word inside a sentence becomes ``^``
-(name). Windows of eight lower-case words, and windows of eight template tokens, are
+number becomes ``@``, and a capitalised word inside a sentence (after a lower-case
+letter, digit, comma or semicolon and a space) becomes ``^`` (name). Units are English
+ones and symbols. Letters of scripts without spaces are words of their own. Windows of eight lower-case words, and windows of eight template tokens, are
 hashed and joined. Windows with the item's own words always count. Windows with
 changed slots count if they have five literal tokens or more and are consistent,
 that is, one item value stands for one document value: over the whole alignment of
@@ -12,6 +13,9 @@ count; where slots are changed, all templates with five literals if there are fe
 than six of them. So verbatim copies and re-parameterised ones are both found, but
 an item without a template of five literals only if its words are unchanged. Items
 of fewer than eight words are looked for by windows as long as they are.
+
+The plan is one at every size: hashes of document windows pass a filter of bits of the
+items' hashes, of a fixed size; what passes is shuffled with its slots and joined.
 """
 
 from __future__ import annotations
@@ -23,16 +27,20 @@ from pyspark.sql.window import Window
 from weftgraph.llm.common import Staged, text_or_empty
 
 WIDTH = 8
-PLACEHOLDERS = ("#", "@", "^")
 LEAST_WINDOWS = 6
 LEAST_LITERALS = 5
-# Up to so many benchmark windows (24 bytes each) are broadcast; beyond, both sides are shuffled.
-BROADCAST_WINDOWS = 1_000_000
+# Tokens of one piece of a text: what is held at once of a text of any length.
+PIECE = 1 << 15
+# The filter of item windows is a table of at most 2 ** FILTER_ROWS_LOG rows of 64 bits (16 MB), whatever the benchmark's size.
+FILTER_ROWS_LOG = 20
+# Each item window meets the documents in so many tasks: one passage may be in a third of all texts.
+SALTS = 16
 
 # Patterns and units.
-NAME = r"(?<=[\p{Ll}\p{N},;] )\p{Lu}[\p{Ll}\p{M}]+(?!\p{L})"
-TOKEN = r"\^|\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
-VALUE = r"\d+(?:[.,]\d+)*|[\p{L}\p{M}]+"
+NAME = r"\p{Lu}(?<=[\p{Ll}\p{N},;] \p{Lu})[\p{Ll}\p{M}]+(?!\p{L})"
+TOKEN = r"\d+(?:[.,]\d+)*|\^?[\p{L}\p{M}]+"
+SOLID = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]\p{M}*"
+MAYBE_SOLID = r"[^\x00-\u0DFF]"
 UNITS = (
     "mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams ton tons tonne tonnes oz lb lbs pound pounds "
     "ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks "
@@ -41,28 +49,35 @@ UNITS = (
 ).split()
 
 
-def _template(text):
-    """Template tokens of a text."""
-    marked = F.regexp_replace(F.translate(text, "^", " "), NAME, "^")
-    return F.regexp_extract_all(F.lower(marked), F.lit(TOKEN), F.lit(0))
+def _let(value, body):
+    """``body`` of a value that is computed once for a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _canonical(words):
-    units = F.array(*[F.lit(u) for u in UNITS])
-    number = lambda w: w.rlike(r"^\d")
-    return F.transform(
-        words,
-        lambda w, i: F.when(number(w), F.lit("#")).when((i > 0) & number(F.coalesce(F.get(words, i - 1), F.lit(""))) & F.array_contains(units, w), F.lit("@")).otherwise(w),
-    )
+def _tokens(body):
+    """Lower-case tokens of a text, names marked by a leading ``^``; scripts without spaces give a token for each letter."""
+    spaced = F.when(body.rlike(MAYBE_SOLID), F.regexp_replace(body, SOLID, " $0 ")).otherwise(body)
+    return F.regexp_extract_all(F.lower(F.regexp_replace(F.translate(spaced, "^", " "), NAME, "^$0")), F.lit(TOKEN), F.lit(0))
 
 
-def _let(value, body):
-    """``body`` of a value that is computed once for a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _number(w):
+    return (w >= "0") & (w < ":")  # by its first byte
+
+
+def _marked(w):
+    """Whether a token is a placeholder's: marks sort before all letters."""
+    return w < "a"
 
 
-def _hashes(words, width: int):
-    """The hash of each window of ``width`` tokens; none where there are fewer."""
+def _tagged(tokens):
+    """Tokens with numbers marked by ``#`` and units after a number by ``@``."""
+    units = F.array(*[F.lit(u) for u in UNITS])
+    before = lambda i: F.coalesce(F.get(tokens, i - 1), F.lit(""))
+    return F.transform(tokens, lambda w, i: F.when(_number(w), F.concat(F.lit("#"), w)).when((i > 0) & _number(before(i)) & F.array_contains(units, w), F.concat(F.lit("@"), w)).otherwise(w))
+
+
+def _hashes(tokens, width: int):
+    """The hash of each window of ``width`` of the token hashes; none where there are fewer."""
 
     def wider(h, have):
         if have == width:
@@ -71,52 +86,65 @@ def _hashes(words, width: int):
         pairs = F.zip_with(h, F.slice(h, F.lit(step + 1), F.size(h)), lambda a, b: F.xxhash64(a, b))
         return _let(pairs, lambda g: wider(g, have + step))
 
-    some = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: wider(h, 1))
-    return F.when(F.size(words) >= width, some).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(tokens) >= width, wider(tokens, 1)).otherwise(F.array().cast("array<bigint>"))
 
 
-def _whole(words):
-    """The hash of a text of fewer than WIDTH tokens."""
-    whole = F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))
-    return F.when(F.size(words).between(1, WIDTH - 1), whole).otherwise(F.array().cast("array<bigint>"))
+def _filter_bits(h):
+    """(row, bit) of a hash in the filter."""
+    return F.shiftrightunsigned(h, 6).bitwiseAND(F.lit((1 << FILTER_ROWS_LOG) - 1)), h.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _words(body):
-    # numbers and units are looked at only in texts that have a digit
-    return F.when(body.rlike("[0-9]"), _let(_template(body), _canonical)).otherwise(_template(body))
+def _filter_of(hashes: DataFrame) -> DataFrame:
+    """f_row, f_bits: the hashes of column h as a table of bits, of at most 2 ** FILTER_ROWS_LOG rows."""
+    row, bit = _filter_bits(F.col("h"))
+    return hashes.groupBy(row.alias("f_row")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)).alias("f_bits"))
 
 
-def _windows(df: DataFrame, keep: list[str], widths: list[int]) -> DataFrame:
-    """Rows ``keep``, n, pos, width, h, slots: one for each window of the column ``body``, of its words and of its template.
+def _windows(df: DataFrame, keep: list[str], widths: list[int], known: DataFrame | None = None) -> DataFrame:
+    """Rows ``keep``, n, pos, width, template, h, slots: one for each window of the column ``body``, of its words and of its template.
 
-    n is the number of tokens. slots has kind and value of a template window's
+    n is the number of tokens of the text. slots has kind and value of a template window's
     placeholders and nulls for its other tokens; it is null in windows of words.
     Texts without any placeholder have windows of words only. The template of a
-    text of fewer than WIDTH tokens is a window of width 0 besides.
-    """
-    body = F.col("body")
-    values = F.regexp_extract_all(F.lower(body), F.lit(VALUE), F.lit(0))
-    none = F.lit(None).cast("array<string>")
-    entry = lambda i, width, h, slots: F.struct(i.cast("int").alias("pos"), F.lit(width).alias("width"), h.alias("h"), slots.alias("slots"))
-
-    def plain(words):
-        return F.concat(*[F.transform(_hashes(words, n), lambda h, i: entry(i, n, h, none)) for n in widths])
+    text of fewer than WIDTH tokens is a window of width 0 besides. With ``known``
+    (:func:`_filter_of`) only windows that it lets pass come out.
 
-    def both(words, values):
-        slots = F.zip_with(words, values, lambda w, v: F.when(w.isin(*PLACEHOLDERS), F.concat(w, v)))
-
-        def templates(s):
-            inside = [F.transform(_hashes(words, n), lambda h, i: entry(i, n, h, F.slice(s, i + 1, F.lit(n)))) for n in widths if n >= LEAST_LITERALS]
-            return F.concat(*inside, F.transform(_whole(words), lambda h: entry(F.lit(0), 0, h, s)))
-
-        return F.concat(plain(values), _let(slots, templates))
-
-    def found(words):
-        open_ = F.arrays_overlap(words, F.array(*[F.lit(p) for p in PLACEHOLDERS]))
-        return F.struct(F.size(words).alias("n"), F.when(open_, _let(values, lambda v: both(words, v))).otherwise(plain(words)).alias("all"))
-
-    rows = df.select(*keep, _let(_words(body), found).alias("found"))
-    return rows.select(*keep, "found.n", F.explode("found.all").alias("w")).select(*keep, "n", "w.pos", "w.width", "w.h", "w.slots")
+    Hashes alone are exploded, from pieces of a text; slots are cut out of the tokens for what passes.
+    The outer form keeps the optimiser from computing all hashes once more in a filter of empty arrays.
+    """
+    rows = df.select(*keep, "body", _tokens(F.col("body")).alias("t"))
+    rows = rows.select(*keep, F.size("t").alias("n"), F.when(F.col("body").rlike("[0-9]"), _tagged(F.col("t"))).otherwise(F.col("t")).alias("t"))
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(PIECE))
+    pieces = F.when(F.col("n") <= PIECE, F.array("t")).otherwise(F.transform(starts, lambda s: F.slice(F.col("t"), s + 1, F.lit(PIECE + WIDTH - 1))))
+    rows = rows.select(*keep, "n", F.posexplode_outer(pieces).alias("piece", "t"))
+    literal = F.transform("t", lambda w: F.xxhash64(F.when(_marked(w), F.substring(w, 2, 1 << 30)).otherwise(w)))
+    open_ = F.transform("t", lambda w: F.xxhash64(F.when(_marked(w), F.substring(w, 1, 1)).otherwise(w)))
+    rows = rows.select(*keep, "n", "piece", "t", F.size("t").alias("size"), F.exists("t", _marked).alias("open"), literal.alias("words"))
+    none = F.array().cast("array<bigint>")
+    whole = F.when(F.col("n").between(1, WIDTH - 1), _let(open_, lambda t: F.array(F.xxhash64(F.lit("whole"), F.array_join(F.transform(t, lambda x: x.cast("string")), " "))))).otherwise(none)
+    wide = [w for w in widths if w >= LEAST_LITERALS]
+    templates = F.when(F.col("open"), _let(open_, lambda t: F.concat(none, *[_hashes(t, w) for w in wide]))).otherwise(none)
+    rows = rows.select(*keep, "n", "piece", "t", "size", "open", F.concat(*[_hashes(F.col("words"), w) for w in widths], templates, whole).alias("all"))
+    rows = rows.select(*keep, "n", "piece", "t", "size", "open", F.posexplode_outer("all").alias("at", "h")).filter("at is not null")
+    if known is not None:
+        row, bit = _filter_bits(F.col("h"))
+        rows = rows.withColumn("f_row", row).join(F.broadcast(known), "f_row").filter(F.call_function("shiftrightunsigned", F.col("f_bits"), bit).bitwiseAND(F.lit(1)) == 1)
+    # which of the arrays a place belongs to, by their sizes
+    width, first, template = F.lit(0), F.lit(0), F.lit(True)
+    end = F.lit(0)
+    ends = []
+    for w, is_template in [*((w, False) for w in widths), *((w, True) for w in wide)]:
+        size = F.greatest(F.col("size") - (w - 1), F.lit(0))
+        begin, end = end, end + (F.when(F.col("open"), size).otherwise(0) if is_template else size)
+        ends.append((w, is_template, begin, end))
+    first = end
+    for w, is_template, begin, end in reversed(ends):
+        here = F.col("at") < end
+        width, first, template = F.when(here, w).otherwise(width), F.when(here, begin).otherwise(first), F.when(here, is_template).otherwise(template)
+    rows = rows.select(*keep, "n", "piece", "t", (F.col("at") - first).alias("local"), width.alias("width"), template.alias("template"), "h")
+    cut = F.slice("t", F.col("local") + 1, F.when(F.col("width") == 0, F.greatest(F.col("n"), F.lit(1))).otherwise(F.col("width")))
+    slots = F.when(F.col("template"), F.transform(cut, lambda w: F.when(_marked(w), w)))
+    return rows.select(*keep, "n", (F.col("piece") * PIECE + F.col("local")).alias("pos"), "width", "template", "h", slots.alias("slots"))
 
 
 def _items(bench: DataFrame, item_id: str, text: str) -> DataFrame:
@@ -133,15 +161,15 @@ def _alike(left: DataFrame, right: DataFrame, columns: list[str], how: str) -> D
     return left.join(renamed, on, how).drop(*[f"r_{c}" for c in columns])
 
 
-def _counted(hits: DataFrame) -> DataFrame:
-    """doc_id, text_hash, item_id, shift, item_pos, plain of the windows that count.
+def _counted(hits: DataFrame, about: list[str]) -> DataFrame:
+    """doc_id, text_hash, item_id, shift, item_pos, plain, ``about`` of the windows that count.
 
     A window without changed slots (plain) always counts. Others count where an
     item value stands for one document value: in the whole alignment, or else in
     LEAST_WINDOWS windows in a row around the window.
     """
     key = ["doc_id", "text_hash", "item_id", "shift"]
-    windows = hits.groupBy(*key, "item_pos").agg(F.max(F.col("item_slots").eqNullSafe(F.col("slots")) | F.col("item_slots").isNull()).alias("plain"))
+    windows = hits.groupBy(*key, "item_pos", *about).agg(F.max(F.col("item_slots").eqNullSafe(F.col("slots")) | F.col("item_slots").isNull()).alias("plain"))
     at = F.posexplode(F.arrays_zip("item_slots", "slots")).alias("at", "slot")
     filled = hits.filter("item_slots is not null").select(*key, "item_pos", at).filter("slot.item_slots is not null")
     filled = filled.select(*key, (F.col("item_pos") + F.col("at")).alias("item_at"), F.col("slot.item_slots").alias("item_value"), F.col("slot.slots").alias("doc_value")).distinct()
@@ -157,7 +185,7 @@ def _counted(hits: DataFrame) -> DataFrame:
     bad = breaks.filter(first <= F.col("last_at")).select(*key, F.explode(F.sequence(first, F.col("last_at"))).alias("start")).distinct()
     whole = _alike(starts, bad, [*key, "start"], "left_anti")
     whole = whole.select(*key, F.explode(F.sequence(F.col("start"), F.col("start") + (LEAST_WINDOWS - 1))).alias("item_pos")).distinct().withColumn("run", F.lit(True))
-    return _alike(judged, whole, [*key, "item_pos"], "left").filter(F.col("plain") | ~F.col("broken") | F.coalesce("run", F.lit(False))).select(*key, "item_pos", "plain")
+    return _alike(judged, whole, [*key, "item_pos"], "left").filter(F.col("plain") | ~F.col("broken") | F.coalesce("run", F.lit(False))).select(*key, "item_pos", "plain", *about)
 
 
 def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -175,8 +203,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     body = text_or_empty(docs, text)
     rows = docs.select(docs[doc_id].alias("doc_id"), F.xxhash64(body).alias("text_hash"), body.alias("body"))
     items = Staged(_items(bench, item_id, item_text), "bench-items").df
-    marks = _windows(items, ["item_id"], list(range(1, WIDTH + 1))).filter(F.col("width").isin(0, F.least(F.lit(WIDTH), F.col("n"))))
-    marks = marks.select("item_id", F.col("pos").alias("item_pos"), "width", "h", F.col("slots").alias("item_slots"))
+    marks = _windows(items, ["item_id", "item_copies"], list(range(1, WIDTH + 1))).filter(F.col("width").isin(0, F.least(F.lit(WIDTH), F.col("n"))))
+    marks = marks.select("item_id", "item_copies", F.col("pos").alias("item_pos"), "width", "template", "h", F.col("slots").alias("item_slots"))
     open_ = F.size(F.filter("item_slots", lambda s: s.isNotNull()))
     # a template of few literals tells nothing; its words are still looked for
     marks = marks.withColumn("telling", (F.size("item_slots") - open_ >= LEAST_LITERALS) | (F.col("width") == 0)).withColumn("open", open_ > 0)
@@ -184,20 +212,21 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     words = F.countDistinct(F.when(F.col("item_slots").isNull(), F.col("item_pos"))).alias("item_windows")
     templates = F.countDistinct(F.when(F.col("telling"), F.col("item_pos"))).alias("templates")
     sizes = marks.groupBy("item_id").agg(words, templates)
-    marks = marks.filter("item_slots is null or telling and open").drop("telling", "open")
+    marks = marks.filter("not template or telling and (open or width = 0)").drop("telling", "open").join(sizes, "item_id")
+    marks = Staged(marks, "bench-marks").df
     widths = sorted({WIDTH, *(r.width for r in marks.select("width").distinct().collect() if r.width)})  # WIDTH rows at most
-    small = marks.count() <= BROADCAST_WINDOWS
-    side = F.broadcast(marks) if small else marks
-    found = _windows(rows, ["doc_id", "text_hash"], widths).join(side, ["width", "h"])
-    hits = found.select("doc_id", "text_hash", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
+    found = _windows(rows, ["doc_id", "text_hash"], widths, _filter_of(marks.select("h"))).drop("n")
+    found = found.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(SALTS)))
+    side = marks.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))).hint("merge")
+    hits = found.join(side, ["h", "salt", "width", "template"])
+    hits = hits.select("doc_id", "text_hash", "item_id", "item_copies", "item_windows", "templates", "item_pos", (F.col("pos") - F.col("item_pos")).alias("shift"), "slots", "item_slots")
     hits = Staged(hits.distinct(), "bench-hits").df
-    counted = _counted(hits)
+    about = ["item_copies", "item_windows", "templates"]  # of the item
     unchanged = F.countDistinct(F.when(F.col("plain"), F.col("item_pos"))).alias("unchanged")
-    scored = counted.groupBy("doc_id", "text_hash", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), unchanged, F.min("plain").alias("verbatim"))
+    scored = _counted(hits, about).groupBy("doc_id", "text_hash", "item_id", *about).agg(F.countDistinct("item_pos").alias("n_windows"), unchanged, F.min("plain").alias("verbatim"))
     enough = F.col("unchanged") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))
     enough = enough | (~F.col("verbatim") & (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("templates"))))
-    out = scored.join(sizes, "item_id").filter(enough)
-    return out.join(items.select("item_id", "item_copies"), "item_id").select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", "item_windows", "verbatim")
+    return scored.filter(enough).select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", "item_windows", "verbatim")
 
 
 def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
