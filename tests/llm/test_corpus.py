@@ -26,7 +26,7 @@ def words(rng, n):
 def rows():
     rng = random.Random(3)
     base = [words(rng, n) for n in (3, 40, 120, 300)]
-    texts = [None, None, "", "", " \t", "one", "One", *base, *base, LONG, LONG + " x", base[2].upper()]
+    texts = [None, None, "", "", " \t", "one", "One", *base, *base, LONG, LONG + " x", base[2].upper(), "a <|endoftext|> b<|endoftext|>"]
     near = base[3].split()
     near[7] = "other"
     texts += [" ".join(near), base[3] + " tail", "\n".join(["same line"] * 3), "a\nb\n\nsame  line \nb", "x" * 5000]
@@ -424,16 +424,18 @@ def test_packing(docs, none, rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     got = packing.pack(docs, tokenizer_path(), window=128).collect()
-    expected = collections.Counter()
+    # of each document, its rows' ids: every piece is of one of them, and all of them are covered
+    whole = collections.defaultdict(list)
     for doc, text, *_ in rows:
-        ids = t.encode(text or "", add_special_tokens=False).ids + [0]
-        expected[doc, len(ids)] += 1
-        pieces = [p for p in got if p.doc_id == doc and p.doc_tokens == len(ids)]
-        for p in pieces:
-            crc = zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
-            assert crc == p.ids_crc32 or sum(r[0] == doc for r in rows) > 1
+        whole[doc].append(t.encode(text or "", add_special_tokens=False).ids + [0])
+    expected = collections.Counter((doc, len(ids)) for doc, many in whole.items() for ids in many)
+    crc = lambda ids: zlib.crc32(np.array(ids, "<u4").tobytes())
+    cut = collections.Counter()
+    for doc, many in whole.items():
+        for ids in many:
+            cut.update((doc, len(ids), k, crc(ids[k : k + 128])) for k in range(0, len(ids), 128))
+    assert collections.Counter((p.doc_id, p.doc_tokens, p.start, p.ids_crc32) for p in got) == cut
     total = sum(n * k for (_, n), k in expected.items())
     assert sum(p.length for p in got) == total
     by = collections.defaultdict(list)
@@ -452,9 +454,8 @@ def test_encoder_equals_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     encode = packing.Encoder(tokenizer_path())
-    texts = ["", " ", "a b", " a", "a ", "a  b", "x\n\ny", "x\ny", "\n", "it's\tso", "don't 12,5 können wir", "日本 語　a", "<|endoftext|> a", "a \nb", "Ａ\x85b\x1cc"]
+    texts = ["", " ", "a b", " a", "a ", "a  b", "x\n\ny", "x\ny", "\n", "it's\tso", "don't 12,5 können wir", "日本 語　a", "<|endoftext|> a", "a <|endoftext|> b", "a b<|endoftext|>", "<|endoftext|><|endoftext|>\n\n<|endoftext|", "x<|endoftext|>y z", "a \nb", "Ａ\x85b\x1cc"]
     for text in texts:
         assert np.frombuffer(encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, text
 

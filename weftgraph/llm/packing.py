@@ -13,6 +13,7 @@ each bucket's ranks start, so no task orders more than a bucket.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from weftgraph.llm.common import Staged, text_or_empty
 
 WINDOW = 1024
 ROWS_A_BUCKET = 50_000
+# Triples that are enumerated for each length; only the padding depends on it.
 TRIPLES_A_LENGTH = 6
 STEPS = 400
 CACHED_WORDS = 300_000
@@ -34,24 +36,45 @@ CACHED_WORDS = 300_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def byte_vocabulary(path: str) -> dict[bytes, int]:
-    """The vocabulary of a byte-level tokenizer file as bytes and ids."""
+def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """The vocabulary of a byte-level tokenizer file as bytes and ids, and its added tokens.
+
+    Ids serve as ranks of merges, so a file whose merges aren't in the order of
+    their ids is refused, as are a normaliser, another way of splitting and added
+    tokens that take in the text around them.
+    """
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)
-    special = {t["content"] for t in model.get("added_tokens", [])}
+        file = json.load(f)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    added = file.get("added_tokens") or []
+    if file.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        raise ValueError("only byte-level tokenizers without normaliser and prefix space are supported")
+    if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+        raise ValueError("added tokens that take in the text around them are not supported")
+    vocabulary = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    ids = [vocabulary[a + b] for a, b in pairs]
+    if ids != sorted(ids):
+        raise ValueError("the merges are not in the order of their ids")
+    special = {t["content"]: t["id"] for t in added}
     # printable bytes stand for themselves, the others for the characters from 256 on
     plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
     chars = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
-    return {bytes(chars[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
+    return {bytes(chars[c] for c in token): i for token, i in vocabulary.items() if token not in special}, special
 
 
 class Encoder:
-    """Ids of a text as little-endian unsigned 32-bit bytes, with a bounded cache of words."""
+    """Ids of a text as little-endian unsigned 32-bit bytes, with a bounded cache of words.
+
+    Added tokens of the file, such as the end of a text, are found in the text
+    first, as the tokenizer does by default; what lies between is encoded by itself.
+    """
 
     def __init__(self, path: str):
         import tiktoken
 
-        coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=byte_vocabulary(path), special_tokens={})
+        vocabulary, added = byte_vocabulary(path)
+        coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
         whole = lambda text: array("I", coder.encode_ordinary(text)).tobytes()
 
         class Words(dict):
@@ -62,8 +85,17 @@ class Encoder:
                 return found
 
         self.whole, self.words = whole, Words()
+        # of added tokens at one place the longest counts
+        self.added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
+        self.added_ids = {t: array("I", [i]).tobytes() for t, i in added.items()}
 
     def __call__(self, text: str) -> bytes:
+        if self.added is None or not self.added.search(text):
+            return self._ordinary(text)
+        parts = self.added.split(text)  # text and added tokens by turns
+        return b"".join(self.added_ids[p] if k % 2 else self._ordinary(p) for k, p in enumerate(parts))
+
+    def _ordinary(self, text: str) -> bytes:
         if not text:
             return b""
         lines = [line.split(" ") for line in text.split("\n")]
