@@ -396,6 +396,74 @@ def test_html_text_keeps_short_runs_of_unmarked_pages():
     assert got.startswith("It began in May. Paragraph 0") and " Between Paragraph 0" in got and got.endswith("page. So it ended.")
 
 
+def test_html_text_of_wrapped_articles():
+    text = lambda page: html_text.main_text(page)
+    assert text('<div class="layout has-sidebar"><article><p>The text.</p></article><div class="sidebar">Other</div></div>') == "The text."
+    assert text('<body><div id="page" class="header-fixed"><article><h1>Head</h1><p>The text.</p></article></div></body>') == "Head The text."
+    assert text("<body><form><article><p>The text.</p></article></form></body>") == text("<body><form><p>The text.</p></form></body>") == "The text."
+    assert text('<main><div class="social"><p>The text.</p></div></main>') == text('<body style="display:none"><p>The text.</p></body>') == "The text."
+    assert text("<article><p>Short.</p><section id=comments>" + "<article class=comment><p>A long comment that goes on and on.</p></article>" * 9 + "</section></article>") == "Short."
+    assert text("<article>Text of it<div class=ad>Buy these things now</div> goes on</article>") == "Text of it goes on"
+    assert text("<article><header><h1>Head</h1></header><p>The text of it.</p></article>") == "The text of it."
+    teaser = "<article>Teaser</article>"  # a mark without a surge doesn't make the article
+    assert text(f"<body><div>{teaser * 2}</div><div class='ad'>x</div>" + "".join(f"<p>Paragraph {k} has enough words to be text of this page.</p>" for k in range(9)) + "</body>").startswith("Paragraph 0")
+
+
+def test_html_text_takes_linear_time():
+    import time
+
+    for bad in ("<a ", '<a "', "<a b='", "<!--", "</script", "<script>", '<p class="x', "<div>", "<", '<a href=" <b', "<aside><p>", "<noscript><p>x</div>", "&amp", "<ul class=menu><li>x<p>"):
+        began = time.process_time()
+        html_text.main_text(bad * ((1 << 20) // len(bad)))
+        assert time.process_time() - began < 20, bad
+    long = "".join(f"<p>Paragraph {k} of a long page.</p>" for k in range(60_000))
+    assert html_text.main_text(f"<article>{long}</article>").endswith("Paragraph 59999 of a long page.")
+
+
+def line_blocks(blocks):
+    """The text that stays of an unmarked page of blocks (kind, text), by plain definitions."""
+    spaced = []
+    for kind, text in blocks:
+        spaced += [("gap", "")] * 3 if kind == "gap" else [(kind, text)]
+    plain = [len(t) if kind == "text" else 0 for kind, t in spaced]
+    whole = [len(t) for _, t in spaced]
+    window = lambda sizes, k: sum(sizes[max(0, k) : k + 3])
+    most = max([window(plain, k) for k in range(-2, len(spaced))], default=0)
+    runs, k = [], 0
+    while k < len(spaced):
+        if spaced[k][0] == "gap":
+            k += 1
+            continue
+        end = k
+        while end < len(spaced) and spaced[end][0] != "gap":
+            end += 1
+        runs.append(range(k, end))
+        k = end
+    text = [sum(plain[k] for k in r) >= sum(whole[k] for k in r) / 2 and any(plain[k] for k in r) for r in runs]
+    surge = [t and max(window(plain, k) for k in range(r[0] - 2, r[-1] + 1)) >= 0.15 * most for r, t in zip(runs, text, strict=True)]
+    at = [k for k, s in enumerate(surge) if s]
+    kept = [r for k, r in enumerate(runs) if text[k] and at and (at[0] <= k <= at[-1] or spaced[r[-1]][1].endswith("."))]
+    return " ".join(spaced[k][1] for r in kept for k in r)
+
+
+def test_html_text_against_line_blocks():
+    rng = random.Random(4)
+    for _ in range(300):
+        blocks = []
+        for k in range(rng.randrange(1, 14)):
+            kind = rng.choice(["text", "text", "text", "link", "gap", "gap"])
+            blocks.append((kind, f"{k} " + "word " * rng.choice([0, 1, 3, 30, 80]) + rng.choice(["end.", "end"])))
+        # an advert makes a gap; its text is too little to be the page's
+        page = "".join(f"<p>{t}</p>" if kind == "text" else f"<p><a href=x>{t}</a></p>" if kind == "link" else "<aside>-</aside>" for kind, t in blocks)
+        if any(kind == "text" for kind, _ in blocks):
+            assert html_text.main_text(f"<body>{page}</body>") == line_blocks(blocks), page
+
+
+def test_html_text_beside_other_columns(spark):
+    df = spark.createDataFrame([(1, "u", "<article>One</article>", "x", 7)] * 2, "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(df).collect()] == [(1, "u", "One", 3)] * 2
+
+
 def line_digests(rows, least):
     keys = lambda t: [x.strip(" \t\n\x0b\x0c\r").translate({c: c + 32 for c in range(65, 91)}) for x in (t or "").split("\n")]
     found = collections.defaultdict(set)
