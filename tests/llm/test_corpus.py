@@ -84,6 +84,30 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.round_trip(empty).count() == 0
 
 
+def test_warc_files_of_long_and_repeated_pages(spark, tmp_path, monkeypatch):
+    import gzip
+    import os
+
+    rng = random.Random(2)
+    long = "".join(chr(rng.randrange(33, 127)) for _ in range(1000)) * 50_000  # 50 MB
+    pages = [(1, "u", long), (2, "u", long), (3, "u", "y" * 2000), (3, "u", "y" * 2000), (3, "v", "y" * 2000), (0, "w", "y" * 2000)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, refers_to string")
+    path = str(tmp_path / "w")
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df, f"file://{path}").collect())
+    assert got == [(0, 2000, "revisit", 3), (1, 50_000_000, "revisit", 2), (2, 50_000_000, "response", None)] + [(3, 2000, "response", None)] * 3
+    records = [r for f in os.listdir(path) if f.endswith(".gz") for r in warc.parse_records(open(f"{path}/{f}", "rb").read())]
+    names = [h["warc-record-id"] for h, _ in records]
+    assert len(names) == len(set(names)) == 18
+    by = {h["warc-record-id"]: h for h, _ in records}
+    assert all(by[h["warc-refers-to"]]["warc-type"] == "response" for h, _ in records if h["warc-type"] == "revisit")
+    # one member a record, and no compression at all
+    plain = b"".join(b"WARC/1.1\r\nWARC-Type: x\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n" for b in (b"", b"a\r\n\r\nb"))
+    members = b"".join(gzip.compress(b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(b) + b + b"\r\n\r\n") for b in (b"", b"a\r\n\r\nb"))
+    assert [b for _, b in warc.parse_records(plain)] == [b for _, b in warc.parse_records(members)] == [b"", b"a\r\n\r\nb"]
+    monkeypatch.setattr(warc, "CHUNK", 7)
+    assert [b for _, b in warc.parse_records(members)] == [b"", b"a\r\n\r\nb"]
+
+
 def best_capacity(sizes, shards):
     low, high = max(sizes), sum(sizes)
     while low < high:
