@@ -385,6 +385,72 @@ def test_jaccard_join_of_edited_copies(spark, monkeypatch):
     assert got == linked(some)
 
 
+def test_jaccard_join_of_one_group_in_small_units(spark, monkeypatch):
+    rng = random.Random(6)
+    base = words(rng, 60).split()
+    some = []
+    for k in range(2000):  # near copies of one text, and a drifting chain of others
+        w = list(base)
+        w[rng.randrange(60)] = f"new{rng.randrange(500)}"
+        some.append((k, " ".join(w)))
+    for k in range(150):
+        w = list(base)
+        for at in rng.sample(range(0, 60, 6), rng.randrange(2, 9)):
+            w[at] = f"other{rng.randrange(30)}"
+        some.append((3000 + k, " ".join(w)))
+    monkeypatch.setattr(jaccard, "UNIT_SHINGLES", 20_000)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=str)
+    assert got == linked(some)
+
+
+def test_jaccard_join_where_hashes_clash(spark, monkeypatch, rows):
+    some = [(r[0], r[1]) for r in rows if r[0] is not None]
+    plain = sorted(map(tuple, jaccard.keep_one(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=str)
+    monkeypatch.setattr(jaccard, "_prints", lambda body: (F.pmod(F.length(body), F.lit(3)).cast("bigint"), F.xxhash64(F.lit(1), body)))
+    table = spark.createDataFrame(some, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(table).collect()), key=str)
+    assert got == linked(some)
+    assert sorted(map(tuple, jaccard.keep_one(table).collect()), key=str) == plain
+
+
+def test_runs_in_batches_of_any_size():
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    for _ in range(200):
+        rows = sorted((rng.randrange(6), rng.choice([0, 0, 1, 2]), rng.choice([10, 11, 14, 30, 31]), rng.randrange(5)) for _ in range(rng.randrange(1, 40)))  # token, salt, n, tid
+        size = {}
+        rows = [(t, s, size.setdefault((t, s, d), n), d) for t, s, n, d in rows]
+
+        def batches(order, cut):
+            for at in range(0, len(order), cut):
+                t, s, n, d = zip(*order[at : at + cut], strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(t, pa.int64()), pa.array(s, pa.int32()), pa.array(d, pa.int64()), pa.array(n, pa.int32())], names=["token", "salt", "tid", "n"])
+
+        cut = rng.randrange(1, 9)
+        by_tid = sorted(rows, key=lambda r: (r[0], r[1], r[3]))
+        got = [tuple(r.values()) for b in jaccard._repeated(batches(by_tid, cut)) for r in b.to_pylist()]
+        runs = collections.defaultdict(set)
+        for t, s, n, d in rows:
+            runs[t, s].add((d, n))
+        assert got == [(t, s, d, n) for (t, s), ds in sorted(runs.items()) for d, n in sorted(ds) if s or len(ds) > 1]
+
+        by_n = sorted(rows)
+        got = sorted(tuple(r.values()) for b in jaccard._chains(batches(by_n, cut)) for r in b.to_pylist())
+        expected = []
+        for (t, s), ds in runs.items():
+            chains = []
+            for d, n in sorted(ds, key=lambda x: (x[1], x[0])):
+                if chains and 100 * chains[-1][-1][1] >= 80 * n:
+                    chains[-1].append((d, n))
+                else:
+                    chains.append([(d, n)])
+            kind = jaccard.ALONE if s == 0 and len(ds) == 2 else jaccard.MORE
+            expected += [(*c[0], *x, kind) for c in chains for x in c[1:]]
+            expected += [(*c[0], t, c[-1][1], jaccard.COVERS) for c in chains if s]
+        assert got == sorted(expected)
+
+
 def test_shingles_of_long_texts(monkeypatch):
     texts = [LONG, "a b c d e f", "", "y" * 3000 + " b c d e f"]
     whole = [s.tolist() for _, s in sorted(jaccard.Shingler()(texts), key=lambda x: x[0])]
@@ -615,3 +681,94 @@ def test_pseudonyms_do_not_depend_on_other_text(spark):
     got = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
     assert [got[k].n_found for k in range(3)] == [1, 1, 1] and got[2].text != "1.1.1.1"
     assert "8.8.8.8" not in got[0].text and got[1].text == got[0].text + ", 22 times"
+
+
+def feistel(kind, rank, a, b, key):
+    """The image of a rank, by the documented network."""
+    left, right = divmod(rank, b)
+    for i in range(10):
+        f = lambda v, i=i: int(hashlib.sha256(f"{key}|{kind}|{i}|{v}".encode()).hexdigest()[:13], 16)
+        if i % 2 == 0:
+            left = (left + f(right)) % a
+        else:
+            right = (right + f(left)) % b
+    return left * b + right
+
+
+def test_pseudonyms_against_a_plain_network(spark):
+    import datetime
+
+    rng = random.Random(12)
+    first = datetime.date(1800, 1, 1)
+    days = [first + datetime.timedelta(k) for k in range(146097)]
+    late = [d for d in days if d.day > 12]
+    plain, expected = [], []
+
+    def add(value, image):
+        plain.append(value)
+        expected.append(image)
+
+    for _ in range(40):
+        n = rng.randrange(10**9)
+        x = f"{feistel('ssn', n, 10**5, 10**4, 'key'):09d}"
+        add(f"{n // 10**6:03d}-{n // 10**4 % 100:02d}-{n % 10**4:04d}", f"{x[:3]}-{x[3:5]}-{x[5:]}")
+        ip = rng.randrange(2**32)
+        dots = lambda v: ".".join(str(v >> s & 255) for s in (24, 16, 8, 0))
+        add(dots(ip), dots(feistel("ipv4", ip, 65536, 65536, "key")))
+        k = rng.randrange(len(days))
+        d, e = days[k], days[feistel("date", k, 189, 773, "key")]
+        add(d.isoformat(), e.isoformat())
+        add(f"{d.day:02d}.{d.month:02d}.{d.year}", f"{e.day:02d}.{e.month:02d}.{e.year}")
+        k = rng.randrange(len(late))
+        d, e = late[k], late[feistel("date-late", k, 9, 9833, "key")]
+        add(f"{d.month:02d}/{d.day:02d}/{d.year}", f"{e.month:02d}/{e.day:02d}/{e.year}")
+        body = f"{rng.randrange(10**15):015d}"
+        check = lambda t: next(c for c in "0123456789" if luhn(t + c))
+        new = f"{feistel('card', int(body), 10**8, 10**7, 'key'):015d}"
+        add(body + check(body), new + check(new))
+        area, exchange, line = rng.randrange(200, 1000), rng.randrange(200, 1000), rng.randrange(10**4)
+        v = feistel("phone", ((area - 200) * 800 + exchange - 200) * 10**4 + line, 80000, 80000, "key")
+        add(f"({area}) {exchange}-{line:04d}", f"({200 + v // 8_000_000}) {200 + v // 10**4 % 800}-{v % 10**4:04d}")
+        n = rng.randrange(10**10)
+        new = f"{feistel('plus', n, 10**5, 10**5, 'key'):010d}"
+        add(f"+44{n:010d}", f"+44{new}")
+    df = spark.createDataFrame([(k, f"see {p}, and more") for k, p in enumerate(plain)], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in pii.pseudonymise(df, "key").collect()}
+    assert [got[k] for k in range(len(plain))] == [f"see {e}, and more" for e in expected]
+
+
+def test_pseudonyms_of_other_formats(spark):
+    mod97 = lambda t: int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97
+    values = ["3782 822463 10005", "3782-822463-10005", "378282246310005", "+44 20 7946 0958", "+442079460958", "+1 (212) 555-0199", "+12125550199",
+              "DE89 3704 0044 0532 0130 00", "GB29NWBK60161331926819", "2001:db8::ff00:42:8329", "2001:0db8:0000:0000:0000:ff00:0042:8329", "fe80::1:2", "12/25/1980", "a@b.example.com", "7@b.example.com"]
+    kept = ["3782 822463 10006", "DE88 3704 0044 0532 0130 00", "std::vector", "12:30:45", "13/32/1980", "+1 23 45", "A::B", "_@b.example.com"]
+    df = spark.createDataFrame([(k, f"is {v} there") for k, v in enumerate(values + kept)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, "key").collect()}
+    out = [got[k].text[3:-6] for k in range(len(values))]
+    assert all(got[k].n_found == 1 and o != v for k, (o, v) in enumerate(zip(out, values, strict=True)))
+    assert all(got[len(values) + k].text == f"is {v} there" for k, v in enumerate(kept))
+    digits = lambda t: re.sub(r"\D", "", t)
+    assert digits(out[0]) == digits(out[1]) == out[2] and luhn(out[2]) and re.fullmatch(r"\d{4} \d{6} \d{5}", out[0])
+    assert digits(out[3]) == digits(out[4]) and out[3].startswith("+44 ") and re.fullmatch(r"\+\d\d \d\d \d{4} \d{4}", out[3])
+    assert digits(out[5]) == digits(out[6])
+    assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", out[7]) and mod97(out[7].replace(" ", "")) == 1
+    assert re.fullmatch(r"GB\d\d[A-Z]{4}\d{14}", out[8]) and mod97(out[8]) == 1
+    assert out[9] == out[10] and re.fullmatch(r"([0-9a-f]{4}:){7}[0-9a-f]{4}", out[9])
+    assert 12 < int(out[12][3:5]) and re.fullmatch(r"\d\d/\d\d/\d{4}", out[12])
+    assert re.fullmatch(r"[a-z]@b.example.com", out[13]) and re.fullmatch(r"\d@b.example.com", out[14])
+
+
+def test_pseudonyms_in_a_long_text(spark):
+    text = "word " * 200_000 + "4173893178530722" + " word" * 200_000
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "key").collect()
+    assert got[0].n_found == 1 and len(got[0].text) == len(text) and "4173893178530722" not in got[0].text
+
+
+def test_pseudonyms_of_single_letters_never_stay(spark):
+    some = [f"{c}@x{k}.org" for k in range(40) for c in "az09Q"]
+    df = spark.createDataFrame(list(enumerate(some)), "doc_id long, text string")
+    got = [r.text for r in pii.pseudonymise(df, "key").orderBy("doc_id").collect()]
+    assert all(g != v and g[1:] == v[1:] for g, v in zip(got, some, strict=True))
+    letters = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
+    out = pii.pseudonymise(spark.createDataFrame(list(enumerate(letters)), "doc_id long, text string"), "key").select("text").distinct()
+    assert out.count() == 26

@@ -23,12 +23,13 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str
     """``left`` joined (left or inner) on ``key`` with ``right``, which has a key once, where a few keys may hold much of ``left``.
 
     Rows of hot keys meet their rows of ``right`` by a broadcast of those rows, at
-    most MOST_HOT of them at any size; only the others are shuffled. ``left`` is read
-    three times: pass a staged table. Null keys match nothing.
+    most MOST_HOT of them at any size; only the others are shuffled. Both tables are read
+    more than once: pass staged ones. Null keys match nothing and aren't shuffled.
     """
     hot = left.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("__w_n")).filter(F.col("__w_n") > max(HOT_ROWS, n_left // MOST_HOT)).select(key)
     hot = Staged(hot, "hot-keys").df
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     wide = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
-    rest = left.join(F.broadcast(hot), key, "left_anti").join(right, key, how)
-    return wide.unionByName(rest)
+    rest = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    out = wide.unionByName(rest)
+    return out if how == "inner" else out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

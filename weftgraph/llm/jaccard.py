@@ -7,14 +7,19 @@ in the order. k grows with n (``shared``): a document with fewer repeated shingl
 in its prefix than any link needs is linked with nothing and leaves, which leaves
 shingles of one document only, and so on for some rounds. Runs of one shingle, cut
 where neighbouring sizes differ too much, connect what stays to clusters: every
-true link lies inside one cluster. Each cluster is joined exactly
-as a unit (a large one as pairs of hash chunks): shingles are hashed to groups, the
-counts by group are points, points are packed to leaves, the sum of coordinate
-minima of a point and a leaf's upper corner bounds every overlap in the leaf, then
+true link lies inside one cluster. Runs of hot shingles are salted, and what the
+parts of a run cover is connected afterwards. Each cluster is joined exactly
+as a unit: shingles are hashed to groups, the
+counts by group are points, points are packed to boxes and those to boxes again, the sum of coordinate
+minima of a point and a box's upper corner bounds every overlap in the box, then
 the sum of minima of two points bounds theirs, and pairs that survive are verified
 by their sets. Pairs already connected aren't looked at again, so a group of near
 copies costs no list of all pairs.
 
+A cluster that is too large for a unit is joined in three rounds: its chunks each for
+itself, then one text of each component found so far, then all others against the
+largest component and among themselves, without pairs that are connected already.
+
 A pure R-tree over all documents can't prune: count vectors of unrelated
 documents are all about equally far apart (see README), hence the clusters above
 the leaves.
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.common import Staged, text_or_empty
+from weftgraph.llm.common import Staged, join_hot, text_or_empty
 from weftgraph.operators.components import components
 
 WORDS = 5
@@ -44,6 +49,10 @@ UNIT_SHINGLES = 1 << 22
 FILTER_BITS = 1 << 26
 LEAF = 32
 PEELS = 1
+# The run of a hot shingle is dealt out to so many tasks.
+SALTS = 64
+# Texts whose 64-bit hash is another text's too: 10^11 texts have about 300.
+MOST_CLASHES = 100_000
 
 _U = np.uint64
 ODD = 0x9E3779B97F4A7C15
@@ -159,24 +168,24 @@ def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of documents (doc_id, tid, n), and (token, docs) of shingles frequent in a block."""
+    """Rows of documents (doc_id, print, second, n), and (token, docs) of shingles frequent in a block."""
     shingles = Shingler()
     held: list[np.ndarray] = []
     size = docs = 0
 
-    def rows(doc_ids, tids, ns, tokens, counts) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_ids, tids, ns, tokens, counts)], names=["doc_id", "tid", "n", "token", "docs"])
+    def rows(*columns) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "print", "second", "n", "token", "docs"])
 
     def frequent() -> pa.RecordBatch:
         tokens, counts = np.unique(np.concatenate(held), return_counts=True)
         some = counts >= max(3, docs // HOT_SHARE)
         found = tokens[some].view(np.int64)
         none = [None] * len(found)
-        return rows(none, none, none, found, counts[some])
+        return rows(none, none, none, none, found, counts[some])
 
     for batch in batches:
         ns = np.zeros(batch.num_rows, np.int64)
-        for k, s in shingles(_texts(batch, 2)):
+        for k, s in shingles(_texts(batch, 3)):
             ns[k] = len(s)
             held.append(s)
             size += len(s)
@@ -185,13 +194,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield frequent()
                 held, size, docs = [], 0, 0
         none = [None] * batch.num_rows
-        yield rows(batch.column(0), batch.column(1), ns, none, none)
+        yield rows(batch.column(0), batch.column(1), batch.column(2), ns, none, none)
     if held:
         yield frequent()
 
 
 def _prefixes(hot: np.ndarray):
-    """(token, tid, n) for the prefix of each text, copies in one task once."""
+    """(token, salt, tid, n) for the prefix of each text, copies in one task once; salt is 0, or 1 to SALTS for hot tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(), set()
@@ -202,83 +211,139 @@ def _prefixes(hot: np.ndarray):
                     seen.add(tid)
                     kept.append(tid)
                     texts.append(batch.column(1)[k].as_py())
-            out, owners, ns = [], [], []
+            out, owners, ns, salts = [], [], [], []
             for k, s in shingles(texts):
                 n = len(s)
                 if not n:
                     continue
+                salt = np.zeros(len(s), np.int32)
                 if len(hot):
                     is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                     if is_hot.any():
                         s = np.concatenate([s[~is_hot], s[is_hot]])
-                s = s[: prefix_length(n)]
+                        salt[len(s) - int(is_hot.sum()) :] = 1 + kept[k] % SALTS
+                s, salt = s[: prefix_length(n)], salt[: prefix_length(n)]
                 out.append(s)
+                salts.append(salt)
                 owners.append(np.full(len(s), kept[k], np.int64))
                 ns.append(np.full(len(s), n, np.int32))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "tid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "salt", "tid", "n"])
 
     return run
 
 
+def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+    return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
+
+
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token and tid: those of tokens with two tids or more, each tid once."""
-    row = None  # the row before; held while it may be its token's only one
-    held = False
+    """From rows sorted by token, salt and tid: each tid once, of tokens with two tids or more; salted rows all stay."""
+    names = ("token", "salt", "tid", "n")
+    held: list[np.ndarray] | None = None  # the last row: what follows decides
+    shares = False  # the last row has the token of the one before
+
+    def given(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=list(names))
+
     for batch in batches:
-        out = []
-        for r in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if row is None or r[0] != row[0]:
-                row, held = r, True
-            elif r[1] != row[1]:
-                if held:
-                    out.append(row)
-                out.append(r)
-                row, held = r, False
-        if out:
-            token, tid, n = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(token, pa.int64()), pa.array(tid, pa.int64()), pa.array(n, pa.int32())], names=["token", "tid", "n"])
+        if not batch.num_rows:
+            continue
+        cols = _columns(batch, names)
+        if held is not None:
+            cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
+        token, salt, tid, _ = cols
+        same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        fresh = np.concatenate([[True], ~(same & (tid[1:] == tid[:-1]))])
+        if not fresh.all():
+            cols = [c[fresh] for c in cols]
+            token, salt, tid, _ = cols
+            same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
+        before = np.concatenate([[shares], same])
+        keep = (before[:-1] | same) | (salt[:-1] > 0)
+        yield given([c[:-1] for c in cols], keep)
+        held, shares = [c[-1:] for c in cols], bool(before[-1])
+    if held is not None:
+        yield given(held, np.array([shares or held[1][0] > 0]))
+
+
+# Rows of _chains: pairs of a token with other documents, a token's only pair, what a chain of a salted run covers.
+MORE, ALONE, COVERS = 0, 1, 2
+
+
+def _edge_batch(a, na, b, nb, kind) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(c, np.int64)) for c in (a, na, b, nb, kind)], names=["a", "na", "b", "nb", "kind"])
 
 
 def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, n, tid: (a, na, b, nb, alone) from each chain's head to its members.
+    """From rows sorted by token, salt, n, tid: (a, na, b, nb, kind) from each chain's head to its members.
 
-    A chain is a part of a token's run in which each size is at least PERCENT of
-    the next; alone: the whole run is this one pair.
+    A chain is a part of a run of one token and salt in which each size is at least PERCENT of
+    the next. ALONE: the whole run is this one pair. COVERS, for chains of salted runs:
+    head, its size, token, largest size.
     """
-    token = head = last = None  # of the row before
-    waiting = None  # a pair that may yet turn out not to be alone
+    state = None  # of the run that may go on: token, salt, head, last (rows), members, waiting (a pair that may be alone)
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, salt, n, tid = _columns(batch, ("token", "salt", "n", "tid"))
+        ahead = 0
+        if state:
+            rows = [state["head"]] if state["head"] == state["last"] else [state["head"], state["last"]]
+            ahead = len(rows)
+            token, salt = np.concatenate([[state["token"]] * ahead, token]), np.concatenate([[state["salt"]] * ahead, salt])
+            tid, n = np.concatenate([[r[0] for r in rows], tid]), np.concatenate([[r[1] for r in rows], n])
+        same = np.concatenate([[False], (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])])
+        fresh = ~(same & np.concatenate([[False], (tid[1:] == tid[:-1]) & (n[1:] == n[:-1])]))
+        token, salt, tid, n, same = token[fresh], salt[fresh], tid[fresh], n[fresh], same[fresh]
+        index = np.arange(len(token))
+        begins = ~same | np.concatenate([[True], 100 * n[:-1].astype(np.int64) < PERCENT * n[1:].astype(np.int64)])
+        if ahead == 2:
+            begins[1] = False  # the chain of both went on through rows given out before
+        head = np.maximum.accumulate(np.where(begins, index, 0))
+        run = np.cumsum(~same) - 1
+        members = np.bincount(run)
+        waiting = None
+        if state:
+            members[0] += state["members"] - ahead
+            waiting = state["waiting"]
+        if waiting and (members[0] > 2 or run[-1] > 0):
+            yield _edge_batch(*([x] for x in waiting), [ALONE if members[0] == 2 else MORE])
+            waiting = None
+        pair = (~begins) & (index >= ahead)
+        kind = np.where((members[run] == 2) & (salt == 0), ALONE, MORE)
+        if pair[-1] and kind[-1] == ALONE:  # the last run may go on
+            pair[-1] = False
+            waiting = (tid[head[-1]], n[head[-1]], tid[-1], n[-1])
+        at = np.flatnonzero(pair)
+        if len(at):
+            yield _edge_batch(tid[head[at]], n[head[at]], tid[at], n[at], kind[at])
+        ends = np.flatnonzero(np.concatenate([begins[1:], [False]]) & (salt > 0))
+        if len(ends):
+            yield _edge_batch(tid[head[ends]], n[head[ends]], token[ends], n[ends], np.full(len(ends), COVERS))
+        h = head[-1]
+        state = {"token": token[-1], "salt": salt[-1], "head": (tid[h], n[h]), "last": (tid[-1], n[-1]), "members": int(members[-1]), "waiting": waiting}
+    if state and state["waiting"]:
+        yield _edge_batch(*([x] for x in state["waiting"]), [ALONE])
+    if state and state["salt"] > 0:
+        yield _edge_batch([state["head"][0]], [state["head"][1]], [state["token"]], [state["last"][1]], [COVERS])
+
+
+def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From COVERS rows sorted by token and least size: pairs of heads of chains whose sizes are near enough."""
+    token = head = most = None
+    for batch in batches:
+        a, na, t, nb = (batch.column(k).to_pylist() for k in ("a", "na", "b", "nb"))
         out = []
-        for t, tid, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-            if t != token:
-                if waiting:
-                    out.append((*waiting, 1))
-                    waiting = None
-                token, head, last, members = t, (tid, n), (tid, n), 1
-                continue
-            if (tid, n) == last:
-                continue
-            members += 1
-            if waiting:
-                out.append((*waiting, 0))
-                waiting = None
-            if 100 * last[1] >= PERCENT * n:
-                if members == 2:
-                    waiting = (*head, tid, n)
-                else:
-                    out.append((*head, tid, n, 0))
+        for k in range(batch.num_rows):
+            if t[k] != token or 100 * most < PERCENT * na[k]:
+                token, head, most = t[k], (a[k], na[k]), nb[k]
             else:
-                head = (tid, n)
-            last = (tid, n)
+                if a[k] != head[0]:
+                    out.append((*head, a[k], na[k], MORE))
+                most = max(most, nb[k])
         if out:
-            yield _edge_batch(out)
-    if waiting:
-        yield _edge_batch([(*waiting, 1)])
-
-
-def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["a", "na", "b", "nb", "alone"])
+            yield _edge_batch(*zip(*out, strict=True))
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,14 +355,29 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 seen.add(tid)
                 fresh.append(k)
         some = batch.take(pa.array(fresh, pa.int64()))
-        sets, ns = [b""] * len(fresh), [0] * len(fresh)
+        sets = [b""] * len(fresh)
         for k, s in shingles(_texts(some, 1)):
-            sets[k], ns[k] = s.tobytes(), len(s)
-        yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(ns, pa.int32()), pa.array(sets, pa.binary())], names=["tid", "cluster", "chunks", "n", "tokens"])
+            sets[k] = s.tobytes()
+        yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(sets, pa.binary())], names=["tid", "cluster", "chunks", "tokens"])
+
+
+def _boxes(points: np.ndarray, ns: np.ndarray, order: np.ndarray) -> list[dict[str, np.ndarray]]:
+    """Levels of the tree, the leaves first: upper corners, least and most set size and largest index below each box."""
+    cuts = range(0, len(order), LEAF)
+    parts = [order[s : s + LEAF] for s in cuts]
+    levels = [{"upper": np.stack([points[x].max(0) for x in parts]), "least": np.array([ns[x].min() for x in parts]), "most": np.array([ns[x].max() for x in parts]), "last": np.array([x.max() for x in parts])}]
+    while len(levels[-1]["last"]) > LEAF:
+        low = levels[-1]
+        at = np.arange(0, len(low["last"]), LEAF)
+        levels.append({"upper": np.maximum.reduceat(low["upper"], at), "least": np.minimum.reduceat(low["least"], at), "most": np.maximum.reduceat(low["most"], at), "last": np.maximum.reduceat(low["last"], at)})
+    return levels
 
 
-def join_unit(tids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """(smaller tid, tid) pairs that connect exactly the linked documents of a unit: a spanning forest."""
+def join_unit(tids: list[int], sets: list[np.ndarray], labels: list[int] | None = None, sides: list[int] | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
+    """(smaller tid, tid) pairs that connect exactly the linked documents of a unit: a spanning forest.
+
+    Texts with one of ``labels`` are connected already; texts of one of ``sides`` aren't compared with each other.
+    """
     same: dict[bytes, list[int]] = {}
     for tid, s in zip(tids, sets, strict=True):
         same.setdefault(s.tobytes(), []).append(tid)
@@ -323,22 +403,32 @@ def join_unit(tids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -
     for s in range(0, m, slab):
         part = order[s : s + slab]
         order[s : s + slab] = part[np.argsort(points[part, 0], kind="stable")]
-    leaves = [order[s : s + LEAF] for s in range(0, m, LEAF)]
-    upper = np.stack([points[x].max(0) for x in leaves])
-    least = np.array([ns[x].min() for x in leaves])
-    most = np.array([ns[x].max() for x in leaves])
-    last = np.array([x.max() for x in leaves])
+    levels = _boxes(points, ns, order)
 
-    part = np.arange(m)
+    place = {t: k for k, t in enumerate(tids)}
+    own_place = np.array([place[t] for t in ids.tolist()])
+    part = np.arange(m) if labels is None else np.unique(np.array(labels, np.int64)[own_place], return_inverse=True)[1]
+    before = part.copy()
+    side = None if sides is None else np.array(sides)[own_place]
     mark = np.zeros(len(flat) and int(dense.max()) + 1, bool)
     bound = lambda na, nb, minima: (100 + percent) * minima >= percent * (na + nb)
     for i in range(m):
-        near = np.flatnonzero((last > i) & (percent * least <= 100 * ns[i]) & (100 * most >= percent * ns[i]))
-        near = near[bound(ns[i], np.maximum(least[near], ns[i] * percent // 100), np.minimum(points[i], upper[near]).sum(1))] if len(near) else near
+        near = np.arange(len(levels[-1]["last"]))
+        for depth in range(len(levels) - 1, -1, -1):
+            box = levels[depth]
+            near = near[(box["last"][near] > i) & (percent * box["least"][near] <= 100 * ns[i]) & (100 * box["most"][near] >= percent * ns[i])]
+            near = near[bound(ns[i], np.maximum(box["least"][near], ns[i] * percent // 100), np.minimum(points[i], box["upper"][near]).sum(1))] if len(near) else near
+            if not len(near):
+                break
+            size = m if depth == 0 else len(levels[depth - 1]["last"])
+            near = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
+            near = near[near < size]
         if not len(near):
             continue
-        j = np.concatenate([leaves[k] for k in near])
+        j = order[near]
         j = j[(j > i) & (part[j] != part[i]) & (percent * ns[j] <= 100 * ns[i])]
+        if side is not None:
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
         j = np.sort(j[bound(ns[i], ns[j], np.minimum(points[i], points[j]).sum(1))])
@@ -354,37 +444,80 @@ def join_unit(tids: list[int], sets: list[np.ndarray], percent: int = PERCENT) -
         if len(linked):
             joined = np.unique(np.append(part[linked], part[i]))
             part[np.isin(part, joined)] = joined[0]
-    for root in np.unique(part):
-        members = ids[part == root]
-        if len(members) > 1:
-            low = members.min()
-            forest += [(int(low), int(t)) for t in members if t != low]
+    # one pair for each group that was apart before
+    by = np.lexsort((ids, part))
+    for members in np.split(by, np.flatnonzero(np.diff(part[by])) + 1):
+        _, firsts = np.unique(before[members], return_index=True)
+        low = int(ids[members[0]])
+        forest += [(min(low, int(t)), max(low, int(t))) for t in ids[members[firsts]] if t != low]
     return forest
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by unit (cluster, i, j): joins each unit as soon as it is read."""
-    unit, tids, sets = None, [], []
+    """Rows (cluster, i, j, tid, tokens, label, side) sorted by unit (cluster, i, j): joins each unit as soon as it is read. Null labels and sides say nothing."""
+    unit, tids, sets, labels, sides = None, [], [], [], []
 
     def done() -> pa.RecordBatch:
-        pairs = join_unit(tids, sets)
+        pairs = join_unit(tids, sets, None if None in labels else labels, None if None in sides else sides)
         made = list(zip(*pairs, strict=True)) if pairs else [[], []]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["a", "b"])
 
     for batch in batches:
-        c, i, j, t, s = (batch.column(k).to_pylist() for k in range(5))
+        c, i, j, t, s, g, w = (batch.column(k).to_pylist() for k in range(7))
         for k in range(batch.num_rows):
             if (c[k], i[k], j[k]) != unit:
                 if len(tids) > 1:
                     yield done()
-                unit, tids, sets = (c[k], i[k], j[k]), [], []
+                unit, tids, sets, labels, sides = (c[k], i[k], j[k]), [], [], [], []
             if not tids or tids[-1] != t[k]:  # copies of a text follow each other
                 tids.append(t[k])
                 sets.append(np.frombuffer(s[k], _U))
+                labels.append(g[k])
+                sides.append(w[k])
     if len(tids) > 1:
         yield done()
 
 
+def _joined(sets: DataFrame, label: str = "cast(null as bigint)", side: str = "cast(null as int)") -> DataFrame:
+    """Links (a, b) found in the units of rows cluster, i, j, tid, tokens."""
+    rows = sets.selectExpr("cluster", "i", "j", "tid", "tokens", f"{label} as label", f"{side} as side")
+    units = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "tid")
+    return units.mapInArrow(_units, "a bigint, b bigint")
+
+
+def _large(sets: DataFrame) -> DataFrame:
+    """Links of clusters that are cut into chunks: rows tid, cluster, chunks, tokens."""
+    sets = Staged(sets.withColumn("n", (F.octet_length("tokens") / 8).cast("bigint")), "jaccard-sets").df
+
+    def dealt(column: str, chunks) -> DataFrame:
+        return F.pmod(F.xxhash64(F.lit(column), "tid"), chunks).cast("int")
+
+    unit = F.lit(UNIT_SHINGLES // 2)
+    one = Staged(_joined(sets.withColumn("i", dealt("one", F.col("chunks"))).withColumn("j", F.col("i"))), "jaccard-links").df
+    label = components(one).withColumnsRenamed({"node": "l_tid", "component": "label"})
+    # a component's label is one of its texts
+    texts = sets.join(label, sets["tid"] == label["l_tid"], "left").filter("label is null").drop("l_tid", "label")
+    size = texts.groupBy("cluster").agg(F.ceil(F.sum("n") / unit).alias("parts"))
+    two = Staged(_joined(texts.join(size, "cluster").withColumn("i", dealt("two", F.col("parts"))).withColumn("j", F.col("i"))), "jaccard-links").df
+    links_ = one.unionByName(two)
+    label = components(links_).withColumnsRenamed({"node": "l_tid", "component": "label"})
+    named = sets.join(label, sets["tid"] == label["l_tid"], "left").withColumn("label", F.coalesce("label", "tid")).drop("l_tid", "chunks")
+    named = Staged(named, "jaccard-sets").df
+    # the largest component of a cluster is only compared with the others
+    total = named.groupBy("cluster", "label").agg(F.sum("n").alias("n"))
+    most = total.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    most = most.select("cluster", F.col("most.label").alias("main"), F.ceil(F.col("most.n") / unit).cast("int").alias("g"), F.ceil((F.col("all") - F.col("most.n")) / unit).cast("int").alias("r"))
+    rows = named.join(most, "cluster").filter("r > 0")
+    up_to = lambda n: F.sequence(F.lit(0), n - 1)
+    mains = rows.filter("label = main").withColumn("i", -1 - dealt("main", F.col("g"))).withColumn("j", F.explode(up_to(F.col("r")))).withColumn("side", F.lit(1))
+    rest = rows.filter("label <> main").withColumn("own", dealt("rest", F.col("r")))
+    across = rest.withColumn("i", F.explode(up_to(F.col("g")))).withColumn("i", -1 - F.col("i")).withColumn("j", F.col("own")).withColumn("side", F.lit(0))
+    columns = ["cluster", "i", "j", "tid", "tokens", "label", "side"]
+    three = _joined(mains.select(*columns).unionByName(across.select(*columns)), "label", "side")
+    among = rest.withColumn("other", F.explode(up_to(F.col("r")))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return links_.unionByName(three).unionByName(_joined(among, "label"))
+
+
 def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows of ``df`` whose tid may be in ``ids``: a bitmap of FILTER_BITS hash values, so most others never meet the join's shuffle."""
     key = F.pmod(F.xxhash64("tid"), F.lit(FILTER_BITS))
@@ -396,60 +529,88 @@ def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
     return joined.filter((byte.bitwiseAND(F.pow(F.lit(2), F.pmod(place, F.lit(8))).cast("int"))) != 0).select(*df.columns)
 
 
+def _prints(body):
+    """Two hashes of a text, of different seeds: together 128 bits."""
+    return F.xxhash64(body), F.xxhash64(F.lit(1), body)
+
+
+def _clashes(rows: DataFrame) -> list[int]:
+    """First hashes that different texts of ``rows`` have; by chance a few at any size that can be stored."""
+    found = rows.groupBy("print").agg(F.min("second").alias("low"), F.max("second").alias("high")).filter("low <> high")
+    clashes = [r["print"] for r in found.select("print").limit(MOST_CLASHES + 1).collect()]
+    if len(clashes) > MOST_CLASHES:
+        raise ValueError("too many different texts have equal hashes")
+    return clashes
+
+
 def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, tid (xxhash64 of the text), n_shingles, label for every row.
+    """doc_id, print, second (hashes of the text), n_shingles, label for every row.
 
     Rows with one label are connected by links; label is null without shingles.
+    A text is known by its first hash, or by its second where different texts share the first.
     """
     body = text_or_empty(docs, text)
-    base = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.xxhash64(body).alias("tid"), body.alias("body"))
-    seen = Staged(base.mapInArrow(_counted, "doc_id bigint, tid bigint, n bigint, token bigint, docs bigint"), "jaccard-rows").df
-    rows = seen.filter("token is null").select("doc_id", "tid", "n")
+    first, second = _prints(body)
+    base = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), first.alias("print"), second.alias("second"), body.alias("body"))
+    seen = Staged(base.mapInArrow(_counted, "doc_id bigint, print bigint, second bigint, n bigint, token bigint, docs bigint"), "jaccard-rows").df
+    rows = seen.filter("token is null").select("doc_id", "print", "second", "n")
+    clashes = _clashes(rows)
+    tid = F.when(F.col("print").isin(clashes), F.col("second")).otherwise(F.col("print")) if clashes else F.col("print")
+    rows, base = rows.withColumn("tid", tid), base.select(tid.alias("tid"), "body")
     n_docs = rows.count()
     frequent = seen.filter("token is not null").groupBy("token").agg(F.sum("docs").alias("docs"))
     least = max(16, n_docs // HOT_SHARE)
     # bounded: the sum of all set sizes divided by least
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("docs") >= least).select("token").collect()], np.int64).view(_U))
 
-    tokens = base.select("tid", "body").mapInArrow(_prefixes(hot), "token bigint, tid bigint, n int")
-    runs = tokens.repartition("token").sortWithinPartitions("token", "tid")
-    rows_left = Staged(runs.mapInArrow(_repeated, "token bigint, tid bigint, n int"), "jaccard-tokens")
+    shape = "token bigint, salt int, tid bigint, n int"
+    runs = base.mapInArrow(_prefixes(hot), shape).repartition("token", "salt").sortWithinPartitions("token", "salt", "tid")
+    rows_left = Staged(runs.mapInArrow(_repeated, shape), "jaccard-tokens")
     for _ in range(PEELS):
         least_n = F.ceil(F.col("n") * PERCENT / 100)  # of a linked partner
         enough = rows_left.df.groupBy("tid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= shared(least_n)).select("tid")
-        kept = rows_left.df.join(enough, "tid", "left_semi")
-        again = kept.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-        peeled = Staged(kept.join(again, "token", "left_semi"), "jaccard-tokens")
+        kept = rows_left.df.join(enough, "tid", "left_semi").select("token", "salt", "tid", "n")
+        again = kept.filter("salt = 0").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
+        # hot tokens stay: their runs are long
+        peeled = kept.filter("salt = 0").join(again, "token", "left_semi").unionByName(kept.filter("salt > 0"))
+        peeled = Staged(peeled, "jaccard-tokens")
         rows_left.drop()
         rows_left = peeled
-    runs = rows_left.df.repartition("token").sortWithinPartitions("token", "n", "tid")
-    edges = runs.mapInArrow(_chains, "a bigint, na bigint, b bigint, nb bigint, alone bigint")
-    summed = edges.groupBy("a", "na", "b", "nb").agg(F.sum("alone").alias("alone"), F.sum(1 - F.col("alone")).alias("more"))
+    runs = rows_left.df.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "tid")
+    edges = runs.mapInArrow(_chains, "a bigint, na bigint, b bigint, nb bigint, kind bigint")
+    summed = edges.groupBy("a", "na", "b", "nb", (F.col("kind") == COVERS).alias("covers")).agg(F.sum((F.col("kind") == ALONE).cast("int")).alias("alone"), F.sum((F.col("kind") == MORE).cast("int")).alias("more"))
     summed = Staged(summed, "jaccard-chains").df
+    covers, summed = summed.filter("covers"), summed.filter("not covers").drop("covers")
+    bridges = covers.select("a", "na", "b", "nb").repartition("b").sortWithinPartitions("b", "na", "a").mapInArrow(_bridges, "a bigint, na bigint, b bigint, nb bigint, kind bigint").drop("kind")
     # a pair seen only alone has that many common tokens, but for runs of three and more
     ends = summed.filter("more > 0")
     others = ends.select(F.col("a").alias("t"), "more").unionByName(ends.select(F.col("b").alias("t"), "more")).groupBy("t").agg(F.sum("more").alias("others"))
-    joined = summed.join(others.select(F.col("t").alias("a"), F.col("others").alias("oa")), "a", "left").join(others.select(F.col("t").alias("b"), F.col("others").alias("ob")), "b", "left")
+    others = Staged(others, "jaccard-others").df
+    joined = join_hot(summed, others.select(F.col("t").alias("a"), F.col("others").alias("oa")), "a", summed.count())
+    joined = joined.join(others.select(F.col("t").alias("b"), F.col("others").alias("ob")).hint("merge"), "b", "left")
     common = F.col("alone") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
-    coarse = joined.filter((F.col("more") > 0) | (common >= shared(F.least("na", "nb"))))
+    coarse = joined.filter((F.col("more") > 0) | (common >= shared(F.least("na", "nb")))).select("a", "na", "b", "nb")
+    coarse = Staged(coarse.unionByName(bridges), "jaccard-coarse").df
     sizes = coarse.select(F.col("a").alias("tid"), F.col("na").alias("n")).unionByName(coarse.select(F.col("b").alias("tid"), F.col("nb").alias("n"))).distinct()
     sizes = Staged(sizes, "jaccard-sizes").df
     cluster = components(coarse.select("a", "b")).withColumnsRenamed({"node": "tid", "component": "cluster"})
-    member = sizes.join(cluster, "tid", "left").select("tid", "n", F.coalesce("cluster", "tid").alias("cluster"))
+    member = sizes.join(cluster.hint("merge"), "tid", "left").select("tid", "n", F.coalesce("cluster", "tid").alias("cluster"))
     member = Staged(member, "jaccard-clusters").df
     total = member.groupBy("cluster").agg(F.ceil(F.sum("n") / (UNIT_SHINGLES // 2)).cast("int").alias("chunks"))
-    member = member.join(total, "cluster").select("tid", "cluster", F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks"))
-
-    some = _maybe(base.select("tid", "body"), member).join(member, "tid").select("tid", "body", "cluster", "chunks")
-    sets = some.mapInArrow(_set_rows, "tid bigint, cluster bigint, chunks int, n int, tokens binary")
-    own = F.pmod(F.xxhash64("tid"), F.col("chunks")).cast("int")
-    sets = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    sets = sets.select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "tid", "tokens")
-    units = sets.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "tid")
-    forest = Staged(units.mapInArrow(_units, "a bigint, b bigint"), "jaccard-links").df
-    label = components(forest).withColumnsRenamed({"node": "l_tid", "component": "label"})
-    out = rows.join(label, rows["tid"] == label["l_tid"], "left")
-    return out.select("doc_id", "tid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "tid")).alias("label"))
+    total = Staged(total, "jaccard-units").df
+    chunks = F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks")
+    member = Staged(join_hot(member, total, "cluster", member.count()).select("tid", "cluster", chunks), "jaccard-members").df
+
+    some = _maybe(base, member).join(member.hint("merge"), "tid").select("tid", "body", "cluster", "chunks")
+    shape = "tid bigint, cluster bigint, chunks int, tokens binary"
+    whole = some.filter("chunks = 1").mapInArrow(_set_rows, shape).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
+    forest = _joined(whole)
+    if not total.filter("chunks > 2").isEmpty():
+        forest = forest.unionByName(_large(some.filter("chunks > 1").mapInArrow(_set_rows, shape)))
+    forest = Staged(forest, "jaccard-links").df
+    label = Staged(components(forest).withColumnsRenamed({"node": "tid", "component": "label"}), "jaccard-groups").df
+    out = join_hot(rows, label, "tid", n_docs)
+    return out.select("doc_id", "print", "second", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("label", "tid")).alias("label"))
 
 
 def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -462,9 +623,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     Null ids are passed over when the smallest is sought. Other columns don't matter.
     """
     rows = Staged(links(docs, doc_id, text), "jaccard-labels").df
-    least = rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    least = least.withColumnRenamed("label", "l_label")
-    joined = rows.join(least, rows["label"] == least["l_label"], "left")
+    least = Staged(rows.filter("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id")), "jaccard-least").df
+    joined = join_hot(rows, least, "label", rows.count())
     return joined.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -474,8 +634,9 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     Rows without shingles all stay, as do rows repeated in id and text.
     """
     rows = Staged(links(docs, doc_id, text), "jaccard-labels").df
-    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("tid"))).alias("first"))
-    stay = first.select(F.col("first.doc_id").alias("__w_id"), F.col("first.tid").alias("__w_tid"))
-    stay = stay.unionByName(rows.filter("label is null").select(F.col("doc_id").alias("__w_id"), F.col("tid").alias("__w_tid")).distinct())
-    body = text_or_empty(docs, text)
-    return docs.join(stay, docs[doc_id].eqNullSafe(stay["__w_id"]) & (F.xxhash64(body) == stay["__w_tid"]), "left_semi")
+    first = rows.filter("label is not null").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), F.col("print"), F.col("second"))).alias("first"))
+    stay = first.select(F.col("first.doc_id").alias("__w_id"), F.col("first.print").alias("__w_print"), F.col("first.second").alias("__w_second"))
+    stay = stay.unionByName(rows.filter("label is null").select(F.col("doc_id").alias("__w_id"), F.col("print").alias("__w_print"), F.col("second").alias("__w_second")).distinct())
+    one, two = _prints(text_or_empty(docs, text))
+    on = docs[doc_id].eqNullSafe(stay["__w_id"]) & (one == stay["__w_print"]) & (two == stay["__w_second"])
+    return docs.join(stay.hint("merge"), on, "left_semi")
