@@ -1,12 +1,15 @@
 """Format-preserving Feistel pseudonyms for personal data, in SQL expressions only.
 
-Card numbers (Luhn-valid, 13 to 19 digits), telephone numbers written as in North
-America (with any digits), social security numbers, IPv4 addresses, calendar dates
-(1800 to 2199) and the local part of e-mail addresses are found by one pattern and
+Card numbers (Luhn-valid, 13 to 19 digits, in groups of four or as 4-6-5), telephone numbers written as in North
+America (with any digits) or with a plus sign (8 to 15 digits), social security numbers, account numbers
+(IBAN of the listed countries, valid mod 97), IPv4 and IPv6 addresses (of three groups or more, one with a digit), calendar dates
+(1800 to 2199; a date with slashes is day first if it can be) and the local part of e-mail addresses are found by one pattern and
 validated. Each valid value is ranked inside its format's domain of ``a * b`` values
 and sent through an unbalanced Feistel network over Z_a x Z_b whose round function is a
 keyed SHA-256, so the result is a valid value of the same format, equal values
-stay equal in every document, and different values stay different. There is no
+stay equal in every document, and different values stay different. Values that are
+strings (local parts, account numbers, IPv6) have a network over their two halves, each
+character staying in its class. One-character local parts never stay as they are. There is no
 shuffle: each row is rewritten where it is read.
 """
 
@@ -21,13 +24,26 @@ ROUNDS = 10
 EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE = r"\d{4}-\d{2}-\d{2}(?![\w-])|\d{2}/\d{2}/\d{4}(?![\w/])|\d{2}\.\d{2}\.\d{4}(?![\w.]\d)"
 IPV4 = r"\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"
-CARD = r"\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?!\w|-\d)"
+CARD = r"(?:\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w|-\d)"
 PHONE = r"(?:\+?1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w|-\d)"
+PLUS = r"\+[1-9]\d{0,2}(?:[ .-]?\(?\d{2,4}\)?){2,6}(?!\w|-\d)"
 SSN = r"\d{3}-\d{2}-\d{4}(?!\w|-\d)"
-FOUND = rf"(?<![\w.%+-])(?:{EMAIL}|{DATE}|{IPV4}|{CARD}|{SSN}|{PHONE})"
+GROUP = "[0-9A-Fa-f]{1,4}"
+IPV6 = rf"(?<!:)(?:(?:{GROUP}:){{7}}{GROUP}|(?:{GROUP}(?::{GROUP}){{0,6}})?::(?:{GROUP}(?::{GROUP}){{0,6}})?)(?![\w:]|\.\d)"
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV", 22: "BG BH DE GB GE IE ME RS", 23: "AE GI IL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "PT", 26: "IS TR", 27: "FR GR IT MC SM", 28: "AL AZ CY DO GT HU LB PL", 29: "BR PS QA", 30: "JO KW MU", 31: "MT SC",
+}
+IBAN = "(?:" + "|".join(f"(?:{names.replace(' ', '|')})[0-9]{{2}}(?: ?[A-Z0-9]){{{n - 4}}}" for n, names in IBAN_LENGTHS.items()) + r")(?!\w)"
+FOUND = rf"(?<![\w.%+-])(?:{EMAIL}|{IBAN}|{IPV6}|{DATE}|{IPV4}|{CARD}|{SSN}|{PHONE}|{PLUS})"
+# Every format has one of these.
+QUICK = "[0-9]{2}|@|[0-9][.][0-9]|:[0-9A-Fa-f]{0,4}:"
 DATE_FORMATS = {r"^\d{4}-": "yyyy-MM-dd", r"^\d{2}/": "dd/MM/yyyy", r"^\d{2}\.": "dd.MM.yyyy"}
 # A day number in the 400-year cycle 1800..2199 is a pair from Z_189 x Z_773.
 DATE_A, DATE_B, DATE_FROM = 189, 773, "1800-01-01"
+# Days 13 to 31 of that cycle, which can only be month first: 9 * 9833 of them.
+LATE_A, LATE_B = 9, 9833
+HEX = "0123456789abcdef"
 
 
 def _sql(template: str, **parts: str) -> str:
@@ -128,40 +144,97 @@ def _date(m: str, key: str) -> str:
     return out
 
 
-def _email(m: str, key: str) -> str:
-    """A character-wise Feistel network over the two halves of the local part.
+def _month_first(m: str, key: str) -> str:
+    """Dates with slashes that are none day first: their day is 13 to 31, and stays so."""
+    start = lambda k: f"(datediff(add_months(date'{DATE_FROM}', {k}), date'{DATE_FROM}') - 12 * {k})"
+    month = f"((year(t) - {DATE_FROM[:4]}) * 12 + month(t) - 1)"
+    rank = f"cast({start(month)} + day(t) - 13 as bigint)"
+    # about 18.4 such days a month
+    at = f"array_max(filter(sequence(greatest(0, cast(x / 18.4369 as int) - 3), cast(x / 18.4369 as int) + 3), k -> {start('k')} <= x))"
+    image = _let(at, "k", f"date_format(date_add(add_months(date'{DATE_FROM}', k), cast(x - {start('k')} + 12 as int)), 'MM/dd/yyyy')")
+    return _let(f"try_to_date({m}, 'MM/dd/yyyy')", "t", _let(_feistel("date-late", rank, f"{LATE_A}L", f"{LATE_B}L", key), "x", image))
+
+
+def _plus(m: str, key: str) -> str:
+    """International numbers keep their first two digits, which hold most country codes."""
+    n = "(length(d) - 2)"
+    a, b = f"cast(pow(10, ceil({n} / 2)) as bigint)", f"cast(pow(10, floor({n} / 2)) as bigint)"
+    image = _let(_feistel("plus", "cast(substr(d, 3) as bigint)", a, b, key), "x", _let(f"concat(substr(d, 1, 2), lpad(cast(x as string), {n}, '0'))", "w", _remask(m, "w")))
+    return _let(f"regexp_replace({m}, '[^0-9]', '')", "d", image)
 
-    Letters stay letters of the same case, digits stay digits, marks stay.
+
+def _characters(u: str, kind: str, tweak: str, key: str, hexadecimal: bool = False) -> str:
+    """SQL: a character-wise Feistel network over the two halves of a string.
+
+    Letters stay letters of the same case, digits stay digits, marks stay; hexadecimal: digits of base 16.
     """
-    def shifted(half: str, other: str) -> str:
-        stream = f"sha2(concat_ws('|', {key}, 'email', i, lower(h), length({half}), {other}), 512)"
+
+    def shifted(half: str, other: str) -> tuple[str, str]:
+        stream = f"sha2(concat_ws('|', {key}, '{kind}', i, {tweak}, length({half}), {other}), 512)"
+        moved = "case when c between 48 and 57 then chr(48 + (c - 48 + k) % 10) when c between 97 and 122 then chr(97 + (c - 97 + k) % 26) when c between 65 and 90 then chr(65 + (c - 65 + k) % 26) else chr(c) end"
+        if hexadecimal:
+            moved = f"substr('{HEX}', 1 + (instr('{HEX}', chr(c)) - 1 + k) % 16, 1)"
         return (
             f"array_join(transform(sequence(1, length({half})), j -> if(length({half}) = 0, '', "
-            + _let(f"ascii(substr({half}, j, 1))", "c", _let(f"cast(conv(substr(z, 1 + 2 * ((j - 1) % 64), 2), 16, 10) as int)", "k", "case when c between 48 and 57 then chr(48 + (c - 48 + k) % 10) when c between 97 and 122 then chr(97 + (c - 97 + k) % 26) when c between 65 and 90 then chr(65 + (c - 65 + k) % 26) else chr(c) end"))
+            + _let(f"ascii(substr({half}, j, 1))", "c", _let("cast(conv(substr(z, 1 + 2 * ((j - 1) % 64), 2), 16, 10) as int)", "k", moved))
             + ")), '')"
         ), stream
 
     left, ls = shifted("s.l", "s.r")
     right, rs = shifted("s.r", "s.l")
-    network = f"""aggregate(sequence(0, {ROUNDS - 1}),
-        named_struct('l', substr(u, 1, length(u) div 2), 'r', substr(u, length(u) div 2 + 1)),
+    return f"""aggregate(sequence(0, {ROUNDS - 1}),
+        named_struct('l', substr({u}, 1, length({u}) div 2), 'r', substr({u}, length({u}) div 2 + 1)),
         (s, i) -> named_struct(
           'l', if(i % 2 = 0 and length(s.l) > 0, {_let(ls, 'z', left)}, s.l),
           'r', if(i % 2 = 1, {_let(rs, 'z', right)}, s.r)),
-        s -> concat(s.l, s.r, '@', h))"""
-    return _let(f"substring_index({m}, '@', 1)", "u", _let(f"substring_index({m}, '@', -1)", "h", network))
+        s -> concat(s.l, s.r))"""
+
+
+def _email(m: str, key: str) -> str:
+    """The local part; the domain stays and is part of the key. A single letter or digit is moved by a step that isn't zero."""
+    step = f"cast(conv(substr(sha2(concat_ws('|', {key}, 'email-1', lower(h)), 256), 1, 8), 16, 10) as bigint)"
+    moved = lambda first, n: f"chr(cast({first} + (ascii(u) - {first} + 1 + {step} % {n - 1}) % {n} as int))"
+    one = f"case when u between '0' and '9' then {moved(48, 10)} when u between 'a' and 'z' then {moved(97, 26)} when u between 'A' and 'Z' then {moved(65, 26)} else u end"
+    image = f"concat(if(length(u) = 1, {one}, {_characters('u', 'email', 'lower(h)', key)}), '@', h)"
+    return _let(f"substring_index({m}, '@', 1)", "u", _let(f"substring_index({m}, '@', -1)", "h", image))
+
+
+def _mod97(text: str) -> str:
+    return f"aggregate(transform(sequence(1, length({text})), i -> substr({text}, i, 1)), 0, (t, y) -> if(y between '0' and '9', t * 10 + cast(y as int), t * 100 + ascii(y) - 55) % 97)"
+
+
+def _iban(m: str, key: str) -> str:
+    """Country and shape stay; the check digits are made anew."""
+    check = _let("concat(x, substr(d, 1, 2), '00')", "w", f"lpad(cast(98 - {_mod97('w')} as string), 2, '0')")
+    whole = _let(check, "v", _let("concat(substr(d, 1, 2), v, x)", "w", f"array_join(transform(sequence(1, length({m})), p -> if(substr({m}, p, 1) = ' ', ' ', substr(w, length(replace(substr({m}, 1, p), ' ', '')), 1))), '')"))
+    return _let(f"replace({m}, ' ', '')", "d", _let("substr(d, 5)", "u", _let(_characters("u", "iban", "substr(d, 1, 2)", key), "x", whole)))
+
+
+def _ipv6(m: str, key: str) -> str:
+    """Of any spelling of the address the same eight groups."""
+    groups = lambda at: f"filter(split(substring_index(lower({m}), '::', {at}), ':'), y -> y <> '')"
+    right = f"if({m} like '%::%', {groups(-1)}, cast(array() as array<string>))"
+    full = f"array_join(transform(concat(a, array_repeat('0', 8 - size(a) - size(b)), b), y -> lpad(y, 4, '0')), '')"
+    image = _let(full, "u", f"regexp_replace({_characters('u', 'ipv6', chr(39) * 2, key, True)}, '(....)(?!$)', '$1:')")
+    return _let(groups(1), "a", _let(right, "b", image))
 
 
 def _kind(m: str) -> str:
     """The format of a match, or null if the value isn't valid in it."""
     digits = f"regexp_replace({m}, '[^0-9]', '')"
     dates = " or ".join(f"({m} rlike r'{s}' and try_to_date({m}, '{f}') between date'1800-01-01' and date'2199-12-31')" for s, f in DATE_FORMATS.items())
+    late = f"try_to_date({m}, 'MM/dd/yyyy') between date'1800-01-01' and date'2199-12-31'"
+    groups = f"size(filter(split({m}, ':'), y -> y <> ''))"
+    turned = _let(f"replace({m}, ' ', '')", "d", _let("concat(substr(d, 5), substr(d, 1, 4))", "w", _mod97("w")))
     return f"""case
       when {m} like '%@%' then 'email'
-      when {m} rlike r'^(?:{DATE})$' then if({dates}, 'date', null)
+      when {m} rlike r'^(?:{IBAN})$' then if({turned} = 1, 'iban', null)
+      when {m} rlike r'^(?:{IPV6})$' then if({groups} between 3 and if({m} like '%::%', 7, 8) and {m} rlike '[0-9]', 'ipv6', null)
+      when {m} rlike r'^(?:{DATE})$' then if({dates}, 'date', if({m} like '%/%' and {late}, 'date-late', null))
       when {m} rlike r'^(?:{IPV4})$' then if(forall(split({m}, '[.]'), o -> cast(o as int) <= 255), 'ipv4', null)
       when {m} rlike r'^(?:{SSN})$' then 'ssn'
       when {m} rlike r'^(?:{PHONE})$' then 'phone'
+      when {m} like '+%' then if(length({digits}) = 11 and {m} like '+1%', 'phone', if(length({digits}) between 8 and 15, 'plus', null))
       when length({digits}) between 13 and 19 and {_luhn_sum(digits)} % 10 = 0 then 'card'
     end"""
 
@@ -174,6 +247,7 @@ def pseudonym(m: str, key: str) -> str:
         f"""named_struct('kind', kind, 'value', case kind
           when 'email' then {_email(m, key)} when 'date' then {_date(m, key)} when 'ipv4' then {_ipv4(m, key)}
           when 'ssn' then {_ssn(m, key)} when 'phone' then {_phone(m, key)} when 'card' then {_card(m, key)}
+          when 'date-late' then {_month_first(m, key)} when 'plus' then {_plus(m, key)} when 'iban' then {_iban(m, key)} when 'ipv6' then {_ipv6(m, key)}
           else {m} end)""",
     )
 
@@ -188,7 +262,7 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", n_found: str = "n_
     """
     secret = "'" + key.replace("\\", "\\\\").replace("'", "\\'") + "'"
     column = f"`{text}`"
-    quick = F.expr(f"{column} rlike r'[0-9]{{2}}|@|[0-9][.][0-9]'")  # every format has one of these
+    quick = F.expr(f"{column} rlike r'{QUICK}'")
     found = F.expr(f"regexp_extract_all({column}, r'{FOUND}', 0)")
     matches = F.when(quick, found).otherwise(F.array().cast("array<string>"))
     staged = df.withColumn("__w_matches", matches)

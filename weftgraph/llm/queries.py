@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import DataFrame, SparkSession
 
 from weftgraph.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, pii, quality, sharding, warc
 
 
+RANDOM_KEY = secrets.token_hex(32)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -96,7 +101,12 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data pseudonymised."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.pseudonymise(docs, key="weftgraph-demo-key", n_found="n_found")
+    return pii.pseudonymise(docs, key=pii_key(spark), n_found="n_found")
+
+
+def pii_key(spark: SparkSession) -> str:
+    """The secret of the session's setting ``spark.weftgraph.pii.key``; without one, a random key that lives as long as the process."""
+    return spark.conf.get("spark.weftgraph.pii.key", None) or RANDOM_KEY
 
 
 def queries() -> dict:
