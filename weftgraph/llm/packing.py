@@ -12,6 +12,7 @@ each bucket's ranks start, so no task orders more than a bucket.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import zlib
@@ -63,6 +64,26 @@ def byte_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(chars[c] for c in token): i for token, i in vocabulary.items() if token not in special}, special
 
 
+class Words(dict):
+    """Ids of words, found when they are first asked for; at most CACHED_WORDS are kept."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.find(word)
+        if len(self) < CACHED_WORDS:
+            self[word] = found
+        return found
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file; a worker makes it once."""
+    return Encoder(path)
+
+
 class Encoder:
     """Ids of a text as little-endian unsigned 32-bit bytes, with a bounded cache of words.
 
@@ -75,16 +96,8 @@ class Encoder:
 
         vocabulary, added = byte_vocabulary(path)
         coder = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=vocabulary, special_tokens={})
-        whole = lambda text: array("I", coder.encode_ordinary(text)).tobytes()
-
-        class Words(dict):
-            def __missing__(self, word: str) -> bytes:
-                found = whole(word)
-                if len(self) < CACHED_WORDS:
-                    self[word] = found
-                return found
-
-        self.whole, self.words = whole, Words()
+        self.whole = lambda text: array("I", coder.encode_ordinary(text)).tobytes()
+        self.words = Words(self.whole)
         # of added tokens at one place the longest counts
         self.added = re.compile("(" + "|".join(re.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self.added_ids = {t: array("I", [i]).tobytes() for t, i in added.items()}
@@ -108,7 +121,7 @@ class Encoder:
 
 def _tokenised(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(path)
+        encode = encoder(path)
         for batch in batches:
             tokens, crcs, rests = [], [], []
             for text in batch.column(1):
