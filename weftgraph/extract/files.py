@@ -1,7 +1,8 @@
 """Nodes and edges of whole files, parsed on the workers.
 
-One generator for each format yields (record, values); :func:`extract` runs them
-over rows of path and content with ``mapInPandas``. A file that can't be parsed
+One function for each format collects a file's rows; :func:`parsed` runs them
+over the files one at a time, reading each where it is parsed. Bytes that aren't
+UTF-8 are replaced. A file that can't be parsed
 falls back to the simpler extractor, in the end to one module node.
 """
 
@@ -10,16 +11,20 @@ from __future__ import annotations
 import ast
 import csv
 import io
+import hashlib
 import json
 import re
 from collections.abc import Iterator
 from pathlib import PurePosixPath
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.extract import languages, pdf
 from weftgraph.model import LANGUAGE_OF, RAW_EDGE, RAW_NODE
+from weftgraph.sources.files import read_uri
+from weftgraph.staging import Staged
 
 SNIPPET = 2_000
 # Calls that aren't references.
@@ -37,19 +42,19 @@ JS_WORDS = {"if", "for", "while", "switch", "catch", "return", "function", "supe
 class File:
     """Collects the rows of one file."""
 
-    def __init__(self, seq: int, path: str, language: str):
-        self.seq, self.path, self.language = seq, path, language
+    def __init__(self, path: str, language: str):
+        self.path, self.language = path, language
         self.nodes: list[dict] = []
         self.edges: list[dict] = []
 
     def node(self, name: str, kind: str, line: int = 0, **more) -> str:
         own = f"{self.path}:{line}"
-        row = {"file_seq": self.seq, "emit_seq": len(self.nodes), "id": own, "name": name, "kind": kind, "file_path": self.path, "language": self.language, "start_line": 0, "end_line": 0, "docstring": "", "signature": "", "source_snippet": "", "decorators": []}
+        row = {"file_seq": self.path, "emit_seq": len(self.nodes), "id": own, "name": name, "kind": kind, "file_path": self.path, "language": self.language, "start_line": 0, "end_line": 0, "docstring": "", "signature": "", "source_snippet": "", "decorators": []}
         self.nodes.append(row | more)
         return own
 
     def edge(self, source: str, target: str, relation: str, confidence: str = "EXTRACTED") -> None:
-        self.edges.append({"file_seq": self.seq, "emit_seq": len(self.edges), "source": source, "target": target, "relation": relation, "confidence": confidence})
+        self.edges.append({"file_seq": self.path, "emit_seq": len(self.edges), "source": source, "target": target, "relation": relation, "confidence": confidence})
 
 
 def _slice(lines: list[str], first: int, last: int) -> str:
@@ -251,7 +256,17 @@ def python_lines(f: File, text: str) -> None:
                 f.edge(module, f"*::module::{m[1] + '.' if m[1] else ''}{name}", "imports")
 
 
-def parse(seq: int, path: str, language: str, text: str) -> File:
+def document_pages(f: File, data: bytes) -> None:
+    document = f.node(PurePosixPath(f.path).stem, "document", source_snippet="[PDF document]")
+    for k, text in enumerate(pdf.pages(data), 1):
+        if text:
+            f.edge(document, f.node(f"Page {k}", "section", k, start_line=k - 1, source_snippet=text[:SNIPPET]), "defines")
+
+
+def parse(path: str, language: str, data: bytes) -> File:
+    """Rows of one file; bytes that aren't UTF-8 are replaced."""
+    text = "" if language == "pdf" else data.decode("utf-8", "replace")
+
     def loaded(kind: str) -> object:
         if kind == "json":
             return json.loads(text)
@@ -272,15 +287,16 @@ def parse(seq: int, path: str, language: str, text: str) -> File:
         "csv": [table_header],
         "terraform": [terraform],
         "hcl": [terraform],
-        "pdf": [lambda f, _: f.node(PurePosixPath(path).stem, "document", source_snippet="[PDF document]")],
+        "pdf": [lambda f, _: document_pages(f, data), lambda f, _: document_pages(f, b"")],
     }
     ways |= {kind: [lambda f, t, kind=kind: tree_of(f, loaded(kind), t), lambda f, t: tree_of(f, None, t)] for kind in ("json", "yaml", "toml")}
+    ways |= {kind: [languages.structure] for kind in languages.LANGUAGES}
     for way in [*ways.get(language, []), plain]:
-        f = File(seq, path, language)
+        f = File(path, language)
         try:
             way(f, text)
             return f
-        except (SyntaxError, ValueError, RecursionError, ImportError, csv.Error):
+        except (SyntaxError, ValueError, RecursionError, ImportError, csv.Error, LookupError):
             continue
         except Exception as error:  # a YAML error has no common base with the others
             if type(error).__module__.split(".")[0] != "yaml":
@@ -288,30 +304,52 @@ def parse(seq: int, path: str, language: str, text: str) -> File:
     raise AssertionError("plain() takes every text")
 
 
-OUT = "kind_of_row string, " + ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in RAW_NODE) + ", source string, target string, relation string, confidence string"
+OUT = "kind_of_row string, sha256 string, " + ", ".join(f"`{c.name}` {c.dataType.simpleString()}" for c in RAW_NODE) + ", source string, target string, relation string, confidence string"
+TYPES = {"string": pa.string(), "int": pa.int32(), "array<string>": pa.list_(pa.string())}
+SHAPE = pa.schema([(name.strip("`"), TYPES[kind]) for name, kind in (c.split(" ") for c in OUT.split(", "))])
+ROWS_OUT = 2_000
 
 
-def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(raw nodes, raw edges) of rows path, language, content (string or binary); file_seq follows the path's order hash.
+def parsed(files: DataFrame) -> DataFrame:
+    """Rows of nodes, edges and files (path as file_path, sha256), by kind_of_row, of rows path, language and content (string or binary) or uri."""
 
-    The parse runs twice if both are read; stage the first if that costs.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[dict] = []
+
+        def out() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_pylist(rows, schema=SHAPE)
+            rows.clear()
+            return made
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for seq, path, language, content in zip(batch["seq"], batch["path"], batch["language"], batch["content"], strict=True):
-                f = parse(int(seq), path, language, content or "")
+            for path, language, content, uri in zip(*(batch.column(k) for k in range(4)), strict=True):
+                data = read_uri(uri.as_py()) if uri.is_valid else content.as_py() or b""
+                f = parse(path.as_py(), language.as_py(), data)
+                rows.append({"kind_of_row": "file", "file_path": f.path, "sha256": hashlib.sha256(data).hexdigest()})
                 rows += [{"kind_of_row": "node"} | n for n in f.nodes] + [{"kind_of_row": "edge"} | e for e in f.edges]
-            names = [c.split(" ")[0].strip("`") for c in OUT.split(", ")]
-            out = pd.DataFrame({n: pd.Series([r.get(n) for r in rows], dtype=object) for n in names})
-            yield out.astype({"start_line": "Int32", "end_line": "Int32", "file_seq": "Int32", "emit_seq": "Int32"})
-
-    text = F.col("content").cast("string") if dict(files.dtypes)["content"] != "binary" else F.decode("content", "UTF-8")
-    seq = F.col("seq") if "seq" in files.columns else F.pmod(F.hash("path"), F.lit(1 << 30)).cast("int")
-    rows = files.select(seq.alias("seq"), "path", "language", text.alias("content")).mapInPandas(run, OUT)
-    nodes = rows.filter("kind_of_row = 'node'").select(*RAW_NODE.names)
-    return nodes, rows.filter("kind_of_row = 'edge'").select(*RAW_EDGE.names)
+                if len(rows) >= ROWS_OUT:
+                    yield out()
+        if rows:
+            yield out()
+
+    there = files.columns
+    content = F.col("content").cast("binary") if "content" in there else F.lit(None).cast("binary")
+    uri = F.col("uri") if "uri" in there else F.lit(None).cast("string")
+    return files.select("path", "language", content.alias("content"), uri.alias("uri")).mapInArrow(run, OUT)
+
+
+def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(raw nodes, raw edges) of files as for :func:`parsed`, which is run once and staged; file_seq, which orders files, is the path."""
+    rows = Staged(parsed(files), "parsed").df
+    return raw_nodes(rows), raw_edges(rows)
+
+
+def raw_nodes(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind_of_row = 'node'").select(*RAW_NODE.names)
+
+
+def raw_edges(rows: DataFrame) -> DataFrame:
+    return rows.filter("kind_of_row = 'edge'").select(*RAW_EDGE.names)
 
 
 def language_of(path: str) -> str:

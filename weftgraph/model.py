@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 RAW_NODE = T.StructType(
     [
-        T.StructField("file_seq", T.IntegerType()),
+        T.StructField("file_seq", T.StringType()),
         T.StructField("emit_seq", T.IntegerType()),
         T.StructField("id", T.StringType()),
         T.StructField("name", T.StringType()),
@@ -23,7 +23,7 @@ RAW_NODE = T.StructType(
 )
 RAW_EDGE = T.StructType(
     [
-        T.StructField("file_seq", T.IntegerType()),
+        T.StructField("file_seq", T.StringType()),
         T.StructField("emit_seq", T.IntegerType()),
         T.StructField("source", T.StringType()),
         T.StructField("target", T.StringType()),

@@ -297,6 +297,15 @@ def surprising(nodes: DataFrame, edges: DataFrame, top: int = 10) -> DataFrame:
     return e.filter("source_file <> target_file").orderBy("source", "target", "relation").limit(2 * top).select("source", "target", "relation", "confidence", "source_file", "target_file")
 
 
+def result_edges(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """from, to, rel: edges among the nodes of ``ids`` (id), by label (the id where there is none), each pair once."""
+    found = ids.select("id").distinct()
+    kept = edges.join(found.withColumnRenamed("id", "source"), "source", "left_semi").join(found.withColumnRenamed("id", "target"), "target", "left_semi")
+    once = kept.groupBy("source", "target").agg(F.min(F.coalesce("relation", F.lit(""))).alias("rel"))
+    name = nodes.select("id", F.coalesce("label", "id").alias("label"))
+    return once.join(name.select(F.col("id").alias("source"), F.col("label").alias("from")), "source").join(name.select(F.col("id").alias("target"), F.col("label").alias("to")), "target").select("from", "to", "rel")
+
+
 def neighbourhood(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
     """direction, id, label, relation, confidence of a node's edges."""
     out = edges.filter(F.col("source") == node).select(F.lit("out").alias("direction"), F.col("target").alias("id"), "relation", "confidence")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.model import MERGE_KINDS
+from weftgraph.staging import Staged
 
 OWN = "defines", "contains"
 
@@ -69,7 +70,7 @@ def build(raw_nodes: DataFrame, raw_edges: DataFrame) -> tuple[DataFrame, DataFr
     return nodes.unionByName(outside, True).unionByName(folder_nodes, True), edges.unionByName(new)
 
 
-def merge_small(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> tuple[DataFrame, DataFrame]:
+def merge_small(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fold nodes of small kinds into the node that defines or contains them; placeholders go.
 
     A node's parent is its first owner (by seq where there is one, then id). Chains
@@ -82,10 +83,17 @@ def merge_small(nodes: DataFrame, edges: DataFrame, rounds: int = 4) -> tuple[Da
     order = nodes.select(F.col("id").alias("source"), F.struct(seq.isNull().alias("a"), seq.alias("b"), F.col("id").alias("c")).alias("order"))
     owner = edges.filter(F.col("relation").isin(*OWN) & (F.col("source") != F.col("target"))).join(order, "source").groupBy("target").agg(F.min_by("source", "order").alias("parent"))
     up = small.join(owner, small["id"] == owner["target"], "left").select("id", "parent")
+    up = Staged(up, "merge").df
     direct = up.filter("parent is not null")
-    for _ in range(rounds):
+    before = None
+    while True:
         higher = up.select(F.col("id").alias("via"), F.col("parent").alias("over"), F.lit(True).alias("small"))
-        up = up.join(higher, up["parent"] == higher["via"], "left").select("id", F.when(F.coalesce("small", F.lit(False)), F.col("over")).otherwise(F.col("parent")).alias("parent"))
+        jumped = up.join(higher, up["parent"] == higher["via"], "left").select("id", F.when(F.coalesce("small", F.lit(False)), F.col("over")).otherwise(F.col("parent")).alias("parent"), F.coalesce("small", F.lit(False)).alias("moved"))
+        jumped = Staged(jumped, "merge").df
+        up, left = jumped.drop("moved"), jumped.filter("moved").count()
+        if left in (0, before):  # only cycles are left
+            break
+        before = left
     gone = small.unionByName(nodes.filter("kind = 'external'").select("id"))
     home = up.filter("parent is not null").join(gone.withColumnRenamed("id", "parent"), "parent", "left_anti")
 

@@ -66,12 +66,28 @@ def pairs(commits: DataFrame, most_files: int = 30, min_support: int = 3, min_co
     left = rows.select("hash", F.col("file").alias("a"), "decay", "message", "seq")
     right = rows.select(F.col("hash").alias("h"), F.col("file").alias("b"))
     both = left.join(right, (F.col("hash") == F.col("h")) & (F.col("a") < F.col("b")))
-    sums = both.groupBy("a", "b").agg(F.count("*").alias("support"), F.sum("decay").alias("decay"), F.sort_array(F.collect_list(F.struct("seq", "message"))).alias("log"))
-    sums = sums.filter(F.col("support") >= min_support)
+    sums = both.groupBy("a", "b").agg(F.count("*").alias("support"), F.sum("decay").alias("decay")).filter(F.col("support") >= min_support)
     ca, cb = each.select(F.col("file").alias("a"), F.col("commits").alias("na")), each.select(F.col("file").alias("b"), F.col("commits").alias("nb"))
     joined = sums.join(ca, "a").join(cb, "b").withColumn("s", F.col("support") / F.sqrt(F.col("na") * F.col("nb")))
     tier = F.when((F.col("support") >= extracted_support) & (F.col("s") >= extracted_strength), "EXTRACTED").when(F.col("s") >= min_confidence, "INFERRED")
-    return joined.withColumn("confidence", tier).filter("confidence is not null").select("a", "b", "support", F.round("s", 4).alias("strength"), F.round(F.col("decay") / F.col("support"), 4).alias("recency"), "confidence", F.slice(F.col("log.message"), 1, messages).alias("sample_messages"))
+    kept = joined.withColumn("confidence", tier).filter("confidence is not null")
+    kept = Staged(kept.select("a", "b", "support", F.round("s", 4).alias("strength"), F.round(F.col("decay") / F.col("support"), 4).alias("recency"), "confidence"), "pairs").df
+    # messages are fetched for the pairs that stay, and no more than are shown are ever held together
+    said = both.select("a", "b", "seq", "message").join(kept.select("a", "b"), ["a", "b"], "left_semi")
+    first = said.withColumn("k", F.row_number().over(Window.partitionBy("a", "b").orderBy("seq", "message"))).filter(F.col("k") <= messages)
+    log = first.groupBy("a", "b").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "message"))), lambda x: x["message"]).alias("sample_messages"))
+    # strongest first
+    return kept.join(log, ["a", "b"]).select("a", "b", "support", "strength", "recency", "confidence", "sample_messages").orderBy(F.desc("strength"), "a", "b")
+
+
+def commit_context(found: DataFrame, most: int = 10) -> DataFrame:
+    """id, context: "commits: a; b" of the first ``most`` different messages of a file's pairs, those in which it comes first before the others."""
+    ends = found.select(F.col("a").alias("id"), F.lit(0).alias("side"), F.col("b").alias("other"), F.posexplode("sample_messages").alias("at", "message"))
+    ends = ends.unionByName(found.select(F.col("b").alias("id"), F.lit(1).alias("side"), F.col("a").alias("other"), F.posexplode("sample_messages").alias("at", "message")))
+    once = ends.filter("message <> ''").groupBy("id", "message").agg(F.min(F.struct("side", "other", "at")).alias("first"))
+    some = once.withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("first"))).filter(F.col("k") <= most)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("k", "message"))), lambda x: x["message"])
+    return some.groupBy("id").agg(F.concat(F.lit("commits: "), F.array_join(texts, "; ")).alias("context"))
 
 
 def enrich(edges: DataFrame, found: DataFrame) -> DataFrame:

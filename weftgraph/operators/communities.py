@@ -89,7 +89,30 @@ def leiden(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
         part = coarse
 
 
-def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = RESOLUTIONS, least: int = 2, filter_hubs: bool = True) -> DataFrame:
+def louvain(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    """Communities by local moves and aggregation only, without refinement; deterministic as :func:`leiden`."""
+    source, target = np.concatenate([a, b]), np.concatenate([b, a])
+    weight, final = np.ones(len(source)), np.arange(n)
+    strength = np.bincount(source, weights=weight, minlength=n).astype(float)
+    while True:
+        count = len(strength)
+        start, ends, w = _csr(count, source, target, weight)
+        _, part = np.unique(_one_level(start, ends, w, strength, gamma, np.arange(count)), return_inverse=True)
+        final = part[final]
+        groups = int(part.max(initial=-1)) + 1
+        if groups == count:
+            return final
+        keys, inverse = np.unique(part[source] * groups + part[target], return_inverse=True)
+        weight = np.bincount(inverse, weights=weight)
+        source, target = keys // groups, keys % groups
+        strength = np.bincount(part, weights=strength, minlength=groups)
+        apart = source != target
+        source, target, weight = source[apart], target[apart], weight[apart]
+        if not len(source):
+            return final
+
+
+def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = RESOLUTIONS, least: int = 2, filter_hubs: bool = True, kernel=leiden) -> DataFrame:
     """level, resolution, community (smallest member id), id; communities below ``least`` members are left out.
 
     Hubs are taken out first. Components are independent, so each is one task's
@@ -110,7 +133,7 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
         a, b = place[: len(pdf)], place[len(pdf) :]
         out = []
         for k, gamma in enumerate(resolutions):
-            found = leiden(len(ids), a, b, gamma * len(pdf) / total)
+            found = kernel(len(ids), a, b, gamma * len(pdf) / total)
             out.append(pd.DataFrame({"level": k, "resolution": gamma, "community": [ids[np.flatnonzero(found == c)[0]] for c in found] if len(ids) < 2000 else ids[[np.argmax(found == c) for c in range(found.max() + 1)]][found], "id": ids}))
         return pd.concat(out)
 
@@ -119,6 +142,24 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
     return rows.join(sizes.select("level", "community"), ["level", "community"], "left_semi")
 
 
+def single_level(nodes: DataFrame, edges: DataFrame, least: int = 2) -> DataFrame:
+    """One level at resolution 1 by :func:`louvain`, hubs included."""
+    return levels(nodes, edges, (1.0,), least, filter_hubs=False, kernel=louvain)
+
+
+def of_nodes(members: DataFrame) -> DataFrame:
+    """id, communities: a node's communities, the coarsest level first."""
+    listed = F.transform(F.array_sort(F.collect_set(F.struct("level", "community"))), lambda x: x["community"])
+    return members.groupBy("id").agg(listed.alias("communities"))
+
+
+def subgraph(nodes: DataFrame, edges: DataFrame, members: DataFrame, community: str) -> tuple[DataFrame, DataFrame]:
+    """The members of a community and the edges among them."""
+    ids = members.filter(F.col("community") == community).select("id").distinct()
+    kept = edges.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+    return nodes.join(ids, "id", "left_semi"), kept.select(*edges.columns)
+
+
 def parents(members: DataFrame) -> DataFrame:
     """level, community, parent: the community of the level above with most shared members, ties to the smallest."""
     up = members.select((F.col("level") + 1).alias("level"), "id", F.col("community").alias("parent"))

@@ -7,29 +7,29 @@ from pyspark.sql import functions as F
 
 from weftgraph.staging import Staged
 
-MOST_ROUNDS = 60
 
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b", join: str | None = None) -> DataFrame:
     """Rows node, component (smallest node reachable) for every node of ``edges`` other than its component's smallest.
 
     Each round hangs every node's larger neighbours on its smallest one, then
     every node on its smallest smaller neighbour, until nothing moves. Both steps
     are a grouped minimum and an equi-join, so a node with very many neighbours is
     summed up before the shuffle and its join can be split. Self-loops and null
-    ends are left out; repeated edges do no harm.
+    ends are left out; repeated edges do no harm. ``join`` is a hint for the joins,
+    for callers that want one plan at every size.
     """
+    hinted = lambda df: df.hint(join) if join else df
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
     state = Staged(pairs, "components")
     mark = None
-    for _ in range(MOST_ROUNDS):
+    while True:  # the rounds grow with the logarithm of the longest path
         both = state.df.unionByName(state.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(hinted(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = Staged(large, "components")
         state.drop()
         low = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.df.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.df.join(hinted(low), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = Staged(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "components")
         large.drop()
         state = small

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,9 +30,7 @@ def bm25(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", colu
     A term of several tokens is a phrase inside one column. One pass over the
     documents counts the query's terms only; totals are one row.
     """
-    shape = Porter() if stem else str
-    phrases = list(dict.fromkeys(tuple(shape(t) for t in re.findall(r"[^\W_]+", term.lower())) for term in terms))
-    phrases = [p for p in phrases if p]
+    phrases = _phrases(terms, stem)
     if not phrases:
         return docs.select(F.col(id_).alias("id"), F.lit(0.0).alias("score")).limit(0)
     words = docs.select(F.col(id_).alias("id"), *[tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(columns)])
@@ -54,6 +54,54 @@ def bm25(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", colu
     return hit.select("id", score.alias("score")).orderBy(F.desc("score"), "id").limit(top)
 
 
+def _phrases(terms: list[str], stem: bool) -> list[tuple[str, ...]]:
+    shape = Porter() if stem else str
+    found = dict.fromkeys(tuple(shape(t) for t in re.findall(r"[^\W_]+", term.lower())) for term in terms)
+    return [p for p in found if p]
+
+
+def postings(docs: DataFrame, id_: str = "id", columns: list[str] = ("text",), stem: bool = False) -> DataFrame:
+    """term, id, field (number of the column), places, size (tokens of all columns of the document), docs and mean (of the whole table): the index that :func:`bm25_indexed` reads.
+
+    Built once for a table; sorted by term in each file, so a search reads the
+    row groups of its terms only.
+    """
+    words = docs.select(F.col(id_).alias("id"), *[tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(columns)])
+    if stem:
+        words = words.select("id", *[stemmed(F.col(f"w{k}")).alias(f"w{k}") for k in range(len(columns))])
+    size = sum((F.size(f"w{k}") for k in range(1, len(columns))), F.size("w0"))
+    total = words.agg(F.count("*").alias("docs"), F.avg(size).alias("mean"))
+    fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"w{k}").alias("words")) for k in range(len(columns))])
+    each = words.select("id", size.alias("size"), F.explode(fields).alias("f")).select("id", "size", "f.field", F.posexplode("f.words").alias("place", "term"))
+    found = each.groupBy("term", "id", "field", "size").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return found.crossJoin(F.broadcast(total)).repartition("term").sortWithinPartitions("term", "id")  # total is one row
+
+
+def bm25_indexed(index: DataFrame, terms: list[str], top: int = 20, stem: bool = False) -> DataFrame:
+    """id, score as :func:`bm25` gives them, from :func:`postings` of the same columns and the same ``stem``."""
+    phrases = _phrases(terms, stem)
+    rows = index.filter(F.col("term").isin(sorted({t for p in phrases for t in p})))
+    parts = None
+    for k, phrase in enumerate(phrases):
+        one = rows.filter(F.col("term") == phrase[0])
+        if len(phrase) > 1:
+            for j, word in enumerate(phrase[1:], 1):
+                other = rows.filter(F.col("term") == word).select("id", "field", F.col("places").alias(f"p{j}"))
+                one = one.join(other, ["id", "field"])
+            at = F.filter("places", lambda p: reduce(and_, (F.array_contains(F.col(f"p{j}"), p + j) for j in range(1, len(phrase)))))  # noqa: B023
+            one = one.withColumn("places", at).filter(F.size("places") > 0)
+        part = one.groupBy("id", "size", "docs", "mean").agg(F.sum(F.size("places")).alias("f"), F.lit(k).alias("phrase"))
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return index.select("id", F.lit(0.0).alias("score")).limit(0)
+    count = parts.groupBy("phrase").agg(F.count("*").alias("n"))
+    hit = parts.join(F.broadcast(count), "phrase")  # a row for each phrase of the query
+    idf = F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+    idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
+    score = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    return hit.groupBy("id").agg(F.sum(score).alias("score")).orderBy(F.desc("score"), "id").limit(top)
+
+
 def scan(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", columns: list[str] = ("label", "docstring"), rank: str | None = None) -> DataFrame:
     """id, score: how many terms are part of any of the columns; ties by ``rank`` descending, then id."""
     if not terms:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import fnmatch
+import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.model import IGNORED, LANGUAGE_OF, SENSITIVE
+from weftgraph.staging import Staged
 
 MOST_BYTES = 1_000_000
 
@@ -88,53 +90,77 @@ def classify(files: DataFrame, rules: list[tuple[str, bool]] = (), own_rules: li
     return files.withColumn("language", language).withColumn("file_type", kind).withColumn("skip_reason", reason)
 
 
-def listing(spark: SparkSession, root: str) -> DataFrame:
+def read_uri(uri: str) -> bytes:
+    """The bytes of a file, read where this runs."""
+    from pyarrow import fs
+
+    store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    with store.open_input_stream(path) as f:
+        return f.read()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every file below the folders of a column of locations."""
+    from pyarrow import fs
+
+    for batch in batches:
+        for folder in batch.column(0).to_pylist():
+            store, top = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", folder))
+            waiting = [top]
+            while waiting:
+                at = waiting.pop()
+                found = store.get_file_info(fs.FileSelector(at, recursive=False))
+                waiting += [x.path for x in found if x.type == fs.FileType.Directory]
+                files = [x for x in found if x.type == fs.FileType.File]
+                if files:
+                    yield pa.RecordBatch.from_arrays([pa.array([folder.rstrip("/") + x.path[len(top.rstrip("/")) :] for x in files]), pa.array([x.size for x in files], pa.int64())], names=["uri", "size_bytes"])
+
+
+def listing(spark: SparkSession, root: str, most_folders: int = 200) -> DataFrame:
     """uri, path (relative), size_bytes of every file below ``root``, hidden ones too.
 
     Spark's own readers pass over names that begin with a dot or an underscore,
-    such as ``__init__.py``, so the file system is asked. Only names and sizes
-    come to the driver.
+    such as ``__init__.py``, so the file system is asked. The driver looks into the first
+    ``most_folders`` folders, breadth first; the executors list what lies below the others.
     """
     jvm = spark.sparkContext._jvm
     top = jvm.org.apache.hadoop.fs.Path(root)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     base = fs.makeQualified(top).toString().rstrip("/") + "/"
-    rows, found = [], fs.listFiles(top, True)
-    while found.hasNext():
-        status = found.next()
-        uri = status.getPath().toString()
-        rows.append((uri, uri.removeprefix(base), status.getLen()))
-    return spark.createDataFrame(rows, "uri string, path string, size_bytes long")
-
-
-def _contents(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    from pyarrow import fs
-
-    for batch in batches:
-        found = []
-        for uri in batch:
-            data = None
-            if uri is not None:
-                store, path = fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
-                with store.open_input_stream(path) as f:
-                    data = f.read()
-            found.append(data)
-        yield pd.Series(found, dtype=object)
+    rows, waiting, seen = [], [top], 0
+    while waiting and seen < most_folders:
+        folder, seen = waiting.pop(0), seen + 1
+        for status in fs.listStatus(folder):
+            uri = status.getPath().toString()
+            if status.isDirectory():
+                waiting.append(status.getPath())
+            else:
+                rows.append((uri, status.getLen()))
+    found = spark.createDataFrame(rows, "uri string, size_bytes long")
+    if waiting:
+        folders = spark.createDataFrame([(p.toString(),) for p in waiting], "folder string").repartition(max(1, min(len(waiting), 4 * spark.sparkContext.defaultParallelism)))
+        found = found.unionByName(Staged(folders.mapInArrow(_listed, "uri string, size_bytes long"), "listing").df)
+    return found.select("uri", F.substring("uri", len(base) + 1, 1 << 20).alias("path"), "size_bytes")
 
 
 def scan(spark: SparkSession, root: str, patterns: list[str] = (), ignore_file: str = ".graphignore", most_bytes: int = MOST_BYTES) -> DataFrame:
-    """path, size_bytes, language, file_type, skip_reason, content (null where skipped) of all files below ``root``."""
+    """path, size_bytes, language, file_type, skip_reason, uri (null where skipped) of all files below ``root``; contents are read where they are used."""
     rows = listing(spark, root)
-    read = F.pandas_udf(_contents, "binary")
-    rules = rows.filter(F.col("path").isin(".gitignore", ignore_file)).select("path", F.decode(read("uri"), "UTF-8").alias("text")).collect()  # two files at most
-    texts = {r["path"]: r["text"] for r in rules}
+    rules = rows.filter(F.col("path").isin(".gitignore", ignore_file)).collect()  # two files at most
+    texts = {r["path"]: read_uri(r["uri"]).decode("utf-8", "replace") for r in rules}
     out = classify(rows, ignore_rules(texts.get(".gitignore", "")), ignore_rules(texts.get(ignore_file, "")), patterns, most_bytes)
-    return out.withColumn("content", read(F.when(F.col("skip_reason").isNull(), F.col("uri")))).drop("uri")
+    return out.withColumn("uri", F.when(F.col("skip_reason").isNull(), F.col("uri")))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [hashlib.sha256(read_uri(uri)).hexdigest() for uri in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sums, pa.string())], names=["path", "sha256"])
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """path, sha256 of the contents that are read."""
-    return files.filter("skip_reason is null").select("path", F.sha2("content", 256).alias("sha256"))
+    """path, sha256 of the files that are read, one file in memory at a time."""
+    return files.filter("skip_reason is null").select("path", "uri").mapInArrow(_hashed, "path string, sha256 string")
 
 
 def diff(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -14,13 +14,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     Read from ``spark.checkpoint.dir``; one of our own is chosen only where the
-    session names none, as in tests on a single machine.
+    session names none and all runs on this machine, as in tests.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         sc = spark.sparkContext
         found = sc.getCheckpointDir()
         if not found:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
             sc.setCheckpointDir(LOCAL_CHECKPOINTS)
             found = sc.getCheckpointDir()
     return found.rstrip("/")
