@@ -193,7 +193,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
 
     Columns: doc_id, text_hash (xxhash64 of the text, to tell rows with one id
     apart), item_id (the smallest id among equal items), item_copies, n_windows
-    (item windows that count), item_windows, verbatim (none of them has a changed slot).
+    (item windows that count), n_unchanged (those with the item's own words), item_windows,
+    verbatim (none of them has a changed slot).
     Null and empty texts, and items without a word, match nothing. An item of
     fewer than eight words is one window, found inside longer texts too; with
     changed slots it is found there if it has five literals, else only in a text
@@ -226,7 +227,7 @@ def contaminated(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text
     scored = _counted(hits, about).groupBy("doc_id", "text_hash", "item_id", *about).agg(F.countDistinct("item_pos").alias("n_windows"), unchanged, F.min("plain").alias("verbatim"))
     enough = F.col("unchanged") >= F.least(F.lit(LEAST_WINDOWS), F.col("item_windows"))
     enough = enough | (~F.col("verbatim") & (F.col("n_windows") >= F.least(F.lit(LEAST_WINDOWS), F.col("templates"))))
-    return scored.filter(enough).select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", "item_windows", "verbatim")
+    return scored.filter(enough).select("doc_id", "text_hash", "item_id", "item_copies", "n_windows", F.col("unchanged").alias("n_unchanged"), "item_windows", "verbatim")
 
 
 def clean(docs: DataFrame, bench: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -22,6 +22,7 @@ from weftgraph.llm.common import text_or_empty
 
 CHUNK = 1 << 21
 TRAINING_DOCS = 4_000
+TRAINING_LINES = 2_000
 STEPS, RATE, RIDGE = 250, 0.08, 1e-3
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -236,14 +237,17 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = []
         for texts in _slices(batch.column(1)):
             counts, lines = count_lines(texts, powers)
-            made += [c.astype(np.float32).tobytes() for c in np.split(counts, np.cumsum(lines)[:-1])]
+            each = np.split(counts, np.cumsum(lines)[:-1])
+            middle = ((max(0, len(c) - TRAINING_LINES) // 2, c) for c in each)
+            made += [c[at : at + TRAINING_LINES].astype(np.float32).tobytes() for at, c in middle]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["label", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, training_docs: int = TRAINING_DOCS, doc_id: str = "doc_id", text: str = "text") -> Field:
     """Fit on labelled documents that aren't held out.
 
-    The sample is bounded by ``training_docs``, chosen by a hash of the id. Labels
+    The sample is bounded by ``training_docs``, chosen by a hash of the id, and by
+    TRAINING_LINES lines, from the middle, of each of them. Labels
     that are null are left out; of several labels of a document the mean counts.
     Without labels of both classes every score is 0.5.
     """
@@ -272,6 +276,12 @@ def score(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "te
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep_good(docs: DataFrame, field: Field, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, with a score of 0.5 or more."""
+    scored = F.pandas_udf(_scorer(field), "double")
+    return docs.withColumn("__w_score", scored(text_or_empty(docs, text))).filter(F.col("__w_score") >= 0.5).drop("__w_score")
+
+
 def _scorer(field: Field):
     import pandas as pd
 

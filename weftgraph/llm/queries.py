@@ -55,6 +55,25 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(docs, bench).drop("text_hash")
 
 
+def verbatim_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op4_decontaminate the pairs that six windows of the item's own words show, with their number."""
+    docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
+    found = decontaminate.contaminated(docs, bench)
+    return found.filter("n_unchanged >= least(6, item_windows)").select("doc_id", "item_id", "n_unchanged")
+
+
+# items have eight words or more, and no text has letters of scripts without spaces
+VERBATIM_SQL = r"""
+WITH items AS (SELECT min(item_id) AS item_id, text FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+i AS (SELECT item_id, regexp_extract_all(lower(text), '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+') AS w FROM items),
+d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9]+(?:[.,][0-9]+)*|[\p{L}\p{M}]+') AS w FROM documents),
+iw AS (SELECT item_id, len(w) - 7 AS n, unnest(range(1, len(w) - 6)) AS place, w FROM i),
+dw AS (SELECT doc_id, unnest(list_transform(range(1, greatest(len(w) - 6, 1)), lambda k: array_to_string(w[k:k + 7], ' '))) AS h FROM d),
+hits AS (SELECT DISTINCT doc_id, item_id, n, place FROM iw JOIN dw ON array_to_string(w[place:place + 7], ' ') = h)
+SELECT doc_id, item_id, count(*) AS n_unchanged FROM hits GROUP BY doc_id, item_id, n HAVING count(*) >= least(6, n)
+"""
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that ten documents or more have."""
     return line_dedup.digests(_table(spark, sf_dir, "documents"), least_docs=10, least_points=1)
@@ -82,6 +101,19 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"))
 
 
+# every pair that shares a shingle, and who reaches whom: for small tables
+OP6_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+l AS (SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -121,8 +153,9 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "verbatim_windows": verbatim_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "verbatim_windows": VERBATIM_SQL}
