@@ -4,7 +4,7 @@ import subprocess
 
 import pytest
 
-from weftgraph.operators import build, cochange, communities, retrieval
+from weftgraph.operators import analytics, build, cochange, communities, retrieval
 from weftgraph.operators.components import components
 from weftgraph.sources import files, gitlog
 
@@ -89,3 +89,32 @@ def test_communities_without_refinement_and_by_node(spark):
     assert by["a3"] == ["a0"] and by["b3"] == ["b0"]
     inner, links = communities.subgraph(nodes, edges, members, "a0")
     assert inner.count() == 5 and links.count() == 10
+
+
+def test_betweenness_by_joins_equals_the_kernel(spark):
+    import random
+
+    rng = random.Random(3)
+    edges = spark.createDataFrame([(f"n{rng.randrange(40)}", f"n{rng.randrange(40)}", "calls") for _ in range(90)] + [("n1", "gone", "calls")], "source string, target string, relation string")
+    nodes = spark.createDataFrame([(f"n{k}",) for k in range(42)], "id string")
+    for pivots in (None, 7):
+        plain = {r.id: round(r.betweenness, 9) for r in analytics.betweenness(nodes, edges, pivots).collect()}
+        assert {r.id: round(r.betweenness, 9) for r in analytics.betweenness(nodes, edges, pivots, most_edges=5).collect()} == plain
+    assert max(plain.values()) > 0 and analytics.joined_betweenness(nodes, edges.limit(0)).count() == 42
+
+
+def test_communities_of_components_beyond_a_task(spark, monkeypatch):
+    import itertools
+
+    cliques = [[f"c{g}x{k}" for k in range(6)] for g in range(8)]
+    pairs = [p for c in cliques for p in itertools.combinations(c, 2)] + [(cliques[g][0], cliques[(g + 1) % 8][1]) for g in range(8)]
+    edges = spark.createDataFrame([(a, b, "calls", "EXTRACTED") for a, b in pairs], "source string, target string, relation string, confidence string")
+    nodes = spark.createDataFrame([(x, x, "function") for c in cliques for x in c], "id string, label string, kind string")
+    sets = lambda: {(k, frozenset(r.id for r in rows)) for (k, _), rows in ((g, list(x)) for g, x in itertools.groupby(sorted(communities.levels(nodes, edges, (0.25, 1.0), filter_hubs=False).collect(), key=lambda r: (r.level, r.community)), key=lambda r: (r.level, r.community)))}
+    plain = sets()
+    assert {frozenset(c) for c in cliques} == {s for k, s in plain if k == 1}
+    for most in (60, 5):  # finished by the kernel, and by moves alone
+        monkeypatch.setattr(communities, "MOST_PAIRS", most)
+        found = sets()
+        assert {s for k, s in found if k == 1} == {frozenset(c) for c in cliques}
+        assert sum(len(s) for k, s in found if k == 0) == 48

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.model import STOPWORDS
@@ -45,6 +45,21 @@ def script_counts(text: Column) -> dict[str, Column]:
     return {"latin": latin, "cjk": cjk, "cyrillic": cyrillic, "other": F.length(plain) - latin - cjk - cyrillic}
 
 
+def language_decisions(docs: DataFrame, group: str, id_: str, text: str, most: int = 200) -> DataFrame:
+    """group, latin, foreign, decision: English or not, by the scripts of each group's ``most`` documents of smallest id.
+
+    English has no foreign letters or, with fewer than ten of them, nine tenths
+    of Latin ones. Each task keeps its first ids of a group, so no group gathers in one.
+    """
+    rank = F.dense_rank().over(Window.partitionBy(group).orderBy(id_))
+    some = docs.select(group, id_).withColumn("k", rank).filter(F.col("k") <= most).select(group, id_).distinct()
+    counts = script_counts(F.col(text))
+    rows = docs.join(F.broadcast(some), [group, id_]).select(group, *[c.alias(n) for n, c in counts.items()])  # most ids a group
+    sums = rows.groupBy(group).agg(F.sum("latin").alias("latin"), F.sum(F.col("cjk") + F.col("cyrillic") + F.col("other")).alias("foreign"))
+    english = (F.col("latin") + F.col("foreign") == 0) | ((F.col("latin") / (F.col("latin") + F.col("foreign")) >= 0.9) & (F.col("foreign") < 10))
+    return sums.select(group, "latin", "foreign", F.when(english, "en").otherwise("multilingual").alias("decision"))
+
+
 def embedding_text(label: Column, signature: Column, docstring: Column, snippet: Column) -> Column:
     """Label, signature and docstring (else the first 300 characters of the snippet), at most 1,500 characters."""
     empty = lambda c: F.when(F.coalesce(c, F.lit("")) == "", None).otherwise(c)

@@ -33,7 +33,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     ``personalization`` (id, bias). Iteration stops when the L1 change is below
     ``tolerance`` times the number of nodes, or after ``exactly`` rounds; if it
     doesn't converge in ``most`` rounds every node gets 1/N. Edges are partitioned
-    by source once; each round is a join, a grouped sum and a staged table.
+    by source once; each round is a join, a grouped sum, a staged table and one row of its sums.
     """
     ids = nodes.select("id").distinct()
     n = ids.count()
@@ -49,14 +49,16 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         total = personalization.agg(F.sum("bias")).first()[0]
         base = base.join(personalization.groupBy("id").agg((F.sum("bias") / total).alias("teleport")), "id", "left").fillna(0.0, ["teleport"])
     rank = Staged(base.select("id", "teleport", F.coalesce("leads", F.lit(False)).alias("leads"), F.lit(1.0 / n).alias("pagerank")), "pagerank")
+    dangling = rank.df.filter("not leads").agg(F.sum("pagerank")).first()[0] or 0.0
     rounds = most if exactly is None else exactly
     for _ in range(rounds):
-        dangling = rank.df.filter("not leads").agg(F.sum("pagerank")).first()[0] or 0.0
-        flow = rank.df.select(F.col("id").alias("source"), "pagerank").join(steps, "source").groupBy("target").agg(F.sum(F.col("pagerank") * F.col("share")).alias("flow"))
-        joined = rank.df.join(flow, F.col("id") == F.col("target"), "left")
-        new = F.lit(damping) * (F.coalesce("flow", F.lit(0.0)) + F.lit(dangling) * F.col("teleport")) + F.lit(1 - damping) * F.col("teleport")
-        moved = Staged(joined.select("id", "teleport", "leads", new.alias("pagerank"), F.col("pagerank").alias("before")), "pagerank")
-        change = moved.df.agg(F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()[0]
+        flow = rank.df.select(F.col("id").alias("source"), "pagerank").join(steps, "source").select(F.col("target").alias("id"), (F.col("pagerank") * F.col("share")).alias("flow"))
+        # a node's own row goes along with what flows to it: one shuffle for both
+        own = rank.df.select("id", F.lit(0.0).alias("flow"), "teleport", "leads", F.col("pagerank").alias("before"))
+        sums = own.unionByName(flow, allowMissingColumns=True).groupBy("id").agg(F.sum("flow").alias("flow"), F.max("teleport").alias("teleport"), F.max("leads").alias("leads"), F.max("before").alias("before")).filter("before is not null")
+        new = F.lit(damping) * (F.col("flow") + F.lit(dangling) * F.col("teleport")) + F.lit(1 - damping) * F.col("teleport")
+        moved = Staged(sums.select("id", "teleport", "leads", new.alias("pagerank"), "before"), "pagerank")
+        dangling, change = moved.df.agg(F.coalesce(F.sum(F.when(~F.col("leads"), F.col("pagerank"))), F.lit(0.0)), F.sum(F.abs(F.col("pagerank") - F.col("before")))).first()
         rank.drop()
         rank = moved
         if exactly is None and change < tolerance * n:
@@ -165,27 +167,32 @@ def _brandes(sources: list[int], start: np.ndarray, targets: np.ndarray, n: int)
     return score
 
 
+def _pivots(nodes: DataFrame, pivots: int | None, seed: int) -> DataFrame:
+    ids = nodes.select("id").distinct()
+    return ids if pivots is None else ids.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(pivots)
+
+
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, most_edges: int = 5_000_000, seed: int = 0) -> DataFrame:
-    """id, betweenness (normalised, directed) from at most ``pivots`` source nodes; exact if there are no more nodes, or with None.
+    """id, betweenness (normalised, directed) from at most ``pivots`` source nodes, chosen by a hash; exact if there are no more nodes, or with None.
 
-    Pivots are spread over tasks; each runs breadth-first passes over the adjacency
-    in compressed form. That form is sent to the tasks, so graphs above
-    ``most_edges`` are refused rather than broadcast.
+    Graphs of up to ``most_edges`` edges, and as many nodes, are sent to the tasks in compressed form, and
+    pivots are spread over tasks, each with its own breadth-first passes. Larger graphs
+    are never gathered: :func:`joined_betweenness` takes all pivots along in joins.
     """
     spark = nodes.sparkSession
-    m = edges.count()
-    if m > most_edges:
-        raise ValueError(f"{m} edges; betweenness takes up to {most_edges}")
+    pairs = edges.select("source", "target").distinct()
+    if pairs.limit(most_edges + 1).count() > most_edges or nodes.limit(most_edges + 1).count() > most_edges:
+        return joined_betweenness(nodes, edges, pivots, seed)
     ids = np.array(sorted(r[0] for r in nodes.select("id").distinct().toLocalIterator()), object)
     n = len(ids)
     if not n:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
     place = {x: k for k, x in enumerate(ids)}
-    pairs = np.array([(place[a], place[b]) for a, b in edges.select("source", "target").distinct().toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
+    pairs = np.array([(place[a], place[b]) for a, b in pairs.toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
     start = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=n))])
-    k = n if pivots is None else min(pivots, n)
-    chosen = np.sort(np.random.default_rng(seed).choice(n, k, replace=False)) if k < n else np.arange(n)
+    chosen = np.array(sorted(place[r[0]] for r in _pivots(nodes, pivots, seed).collect()), np.int64)  # no more than there are nodes
+    k = len(chosen)
     chosen = chosen[start[chosen + 1] > start[chosen]]  # no path begins at the others
     shared = spark.sparkContext.broadcast((start, pairs[:, 1]))
 
@@ -196,13 +203,52 @@ def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, mo
             at = np.flatnonzero(score)
             yield pd.DataFrame({"at": at, "part": score[at]})
 
-    work = spark.createDataFrame([(int(x),) for x in chosen], "pivot long").repartition(min(k, spark.sparkContext.defaultParallelism))
+    work = spark.createDataFrame([(int(x),) for x in chosen], "pivot long").repartition(max(1, min(k, spark.sparkContext.defaultParallelism)))
     sums = work.mapInPandas(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("part"))
     scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 1.0
     names = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "at long, id string")
     return names.join(sums, "at", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
 
 
+def joined_betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, seed: int = 0) -> DataFrame:
+    """:func:`betweenness` by joins: one staged table of (pivot, id, paths) for each distance, there and back.
+
+    The rows are at most pivots times nodes; nothing is gathered on the driver.
+    """
+    ids = Staged(nodes.select("id").distinct(), "between-ids").df
+    n = ids.count()
+    known = ids.withColumnRenamed("id", "source"), ids.withColumnRenamed("id", "target")
+    arcs = edges.select("source", "target").filter("source <> target").distinct().join(known[0], "source", "left_semi").join(known[1], "target", "left_semi")
+    arcs = Staged(arcs.select("source", "target"), "between-arcs").df
+    chosen = Staged(_pivots(ids, pivots, seed).select(F.col("id").alias("pivot")), "between-pivots").df
+    k = chosen.count()
+    levels = [Staged(chosen.select("pivot", F.col("pivot").alias("id"), F.lit(1.0).alias("paths")), "between-level").df]
+    reached = levels[0].select("pivot", "id")
+    while True:
+        step = levels[-1].join(arcs, F.col("id") == F.col("source")).groupBy("pivot", F.col("target").alias("id")).agg(F.sum("paths").alias("paths"))
+        front = Staged(step.join(reached, ["pivot", "id"], "left_anti"), "between-level").df
+        if front.isEmpty():
+            break
+        levels.append(front)
+        reached = reached.unionByName(front.select("pivot", "id"))
+    total = None
+    below: DataFrame | None = None  # pivot, id, paths, part of the level below
+    for front in levels[:0:-1]:
+        if below is None:
+            here = front.withColumn("part", F.lit(0.0))
+        else:
+            lower = below.select("pivot", F.col("id").alias("target"), ((1 + F.col("part")) / F.col("paths")).alias("give"))
+            gain = lower.join(arcs, "target").groupBy("pivot", F.col("source").alias("id")).agg(F.sum("give").alias("give"))
+            here = front.join(gain, ["pivot", "id"], "left").select("pivot", "id", "paths", (F.col("paths") * F.coalesce("give", F.lit(0.0))).alias("part"))
+        below = Staged(here, "between-parts").df
+        total = below if total is None else total.unionByName(below)
+    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 1.0
+    if total is None:
+        return ids.select("id", F.lit(0.0).alias("betweenness"))
+    sums = total.groupBy("id").agg(F.sum("part").alias("part"))
+    return ids.join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+
+
 def bounded_paths(edges: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFrame:
     """seed, id, distance, path (array of ids): shortest undirected paths of at most ``hops`` from each seed, ties to the smallest path.
 

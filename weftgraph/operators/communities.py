@@ -12,8 +12,13 @@ from pyspark.sql.window import Window
 
 from weftgraph.operators.analytics import hubs, undirected
 from weftgraph.operators.components import components
+from weftgraph.staging import Staged
 
 RESOLUTIONS = (0.25, 0.5, 1.0, 2.0)
+# Pairs of a component that one task holds (about 100 bytes each); larger ones are made smaller in joins first.
+MOST_PAIRS = 5_000_000
+SETTLED = 0.001
+SHRINKS = 0.9
 
 
 def _one_level(start, ends, weight, strength, gamma: float, part, allowed=None) -> np.ndarray:
@@ -54,14 +59,21 @@ def _csr(n: int, a, b, w):
     return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]), b[order], w[order]
 
 
-def leiden(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+def _weighted(n: int, a, b, weights, strengths):
+    """Arcs in both directions with their weights, and the strengths of the nodes (with loops, where they are given)."""
+    source, target = np.concatenate([a, b]), np.concatenate([b, a])
+    weight = np.ones(len(source)) if weights is None else np.concatenate([weights, weights])
+    strength = np.bincount(source, weights=weight, minlength=n).astype(float) if strengths is None else np.asarray(strengths, float)
+    return source, target, weight, strength
+
+
+def leiden(n: int, a: np.ndarray, b: np.ndarray, gamma: float, weights: np.ndarray | None = None, strengths: np.ndarray | None = None) -> np.ndarray:
     """Communities of an undirected graph of n nodes and edges a-b: local moves, refinement inside communities, aggregation.
 
     Deterministic: nodes are visited in order and ties go to the smallest community.
     """
-    source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    weight, final = np.ones(len(source)), np.arange(n)
-    strength = np.bincount(source, weights=weight, minlength=n).astype(float)
+    final = np.arange(n)
+    source, target, weight, strength = _weighted(n, a, b, weights, strengths)
     part = np.arange(n)
     while True:
         count = len(strength)
@@ -89,11 +101,10 @@ def leiden(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
         part = coarse
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+def louvain(n: int, a: np.ndarray, b: np.ndarray, gamma: float, weights: np.ndarray | None = None, strengths: np.ndarray | None = None) -> np.ndarray:
     """Communities by local moves and aggregation only, without refinement; deterministic as :func:`leiden`."""
-    source, target = np.concatenate([a, b]), np.concatenate([b, a])
-    weight, final = np.ones(len(source)), np.arange(n)
-    strength = np.bincount(source, weights=weight, minlength=n).astype(float)
+    final = np.arange(n)
+    source, target, weight, strength = _weighted(n, a, b, weights, strengths)
     while True:
         count = len(strength)
         start, ends, w = _csr(count, source, target, weight)
@@ -112,12 +123,59 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
             return final
 
 
+def _moves(pairs: DataFrame, strengths: DataFrame, gamma: float, total: float) -> DataFrame:
+    """id, community after local moves of very large graphs: pairs a, b, w and strengths id, k.
+
+    In each round the nodes of one half, by a hash, go to the neighbouring community of the
+    largest gain (ties to the smallest); the halves take turns, so two nodes never
+    change places. It ends when fewer than SETTLED of the nodes move in two rounds.
+    """
+    arcs = Staged(pairs.select(F.col("a").alias("u"), F.col("b").alias("v"), "w").unionByName(pairs.select(F.col("b").alias("u"), F.col("a").alias("v"), "w")), "moves-arcs").df
+    state = Staged(strengths.select("id", "k", F.col("id").alias("community")), "moves").df
+    n, turn, last = state.count(), 0, None
+    while True:
+        mine = state.filter(F.pmod(F.xxhash64("id"), F.lit(2)) == turn % 2)
+        links = arcs.join(state.select(F.col("id").alias("v"), "community"), "v").select("u", "community", "w")
+        links = links.unionByName(mine.select(F.col("id").alias("u"), "community", F.lit(0.0).alias("w"))).groupBy("u", "community").agg(F.sum("w").alias("w"))
+        sizes = state.groupBy("community").agg(F.sum("k").alias("size"))
+        offers = links.join(mine.select(F.col("id").alias("u"), "k", F.col("community").alias("here")), "u").join(sizes, "community")
+        others = F.col("size") - F.when(F.col("community") == F.col("here"), F.col("k")).otherwise(0.0)
+        offers = offers.withColumn("gain", F.round(F.col("w") - gamma * F.col("k") * others / (2 * total), 9))
+        best = offers.groupBy("u").agg(F.min_by("community", F.struct(-F.col("gain"), F.col("community"))).alias("to"), F.max("gain").alias("most"), F.max(F.when(F.col("community") == F.col("here"), F.col("gain"))).alias("stay"))
+        going = best.filter("most > stay").select(F.col("u").alias("id"), "to")
+        after = state.join(going, "id", "left").select("id", "k", F.coalesce("to", "community").alias("community"), F.col("to").isNotNull().alias("moved"))
+        after = Staged(after, "moves").df
+        moved, state, turn = after.filter("moved").count(), after.drop("moved"), turn + 1
+        if last is not None and moved + last <= SETTLED * n:
+            return state.select("id", "community")
+        last = moved
+
+
+def _coarse(pairs: DataFrame, gamma: float, total: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(id, community; pairs a, b, w of communities; strengths id, k of them) of components too large for a task, moved and summed until they are small or don't shrink."""
+    ends = pairs.select(F.col("a").alias("id"), "w").unionByName(pairs.select(F.col("b").alias("id"), "w"))
+    strengths = Staged(ends.groupBy("id").agg(F.sum("w").alias("k")), "coarse-strengths").df
+    of = strengths.select("id", F.col("id").alias("community"))
+    while True:
+        found = Staged(_moves(pairs, strengths, gamma, total), "coarse-communities").df
+        side = lambda c: found.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
+        named = pairs.join(side("a"), "a").join(side("b"), "b").filter("ca <> cb")
+        less = Staged(named.groupBy(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).agg(F.sum("w").alias("w")), "coarse-pairs").df
+        of = Staged(of.withColumnRenamed("community", "before").join(found.withColumnRenamed("id", "before"), "before").select("id", "community"), "coarse-members").df
+        strengths = Staged(strengths.join(found, "id").groupBy(F.col("community").alias("id")).agg(F.sum("k").alias("k")), "coarse-strengths").df
+        before, now = pairs.count(), less.count()
+        pairs = less
+        if now <= MOST_PAIRS or now > SHRINKS * before:
+            return of, pairs, strengths
+
+
 def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] = RESOLUTIONS, least: int = 2, filter_hubs: bool = True, kernel=leiden) -> DataFrame:
     """level, resolution, community (smallest member id), id; communities below ``least`` members are left out.
 
-    Hubs are taken out first. Components are independent, so each is one task's
+    Hubs are taken out first. Components are independent, so each of up to MOST_PAIRS pairs is one task's
     work; communities of a component never depend on another one, given its
-    edges, because the resolution is scaled by the graph's total weight.
+    edges, because the resolution is scaled by the graph's total weight. Larger
+    components are first made smaller by local moves in joins, then finished by the same kernel on the communities found.
     """
     if filter_hubs:
         hub = hubs(nodes, edges).select("id")
@@ -126,18 +184,49 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
     pairs = undirected(edges)
     total = pairs.count()
     label = components(pairs, "a", "b")
-    part = pairs.join(label.withColumnRenamed("node", "b"), "b").select("component", "a", "b")
+    part = Staged(pairs.join(label.withColumnRenamed("node", "b"), "b").select("component", "a", "b"), "level-pairs").df
+    size = part.groupBy("component").agg(F.count("*").alias("n"))
+    large = [r["component"] for r in size.filter(F.col("n") > MOST_PAIRS).select("component").collect()]  # no more than pairs / MOST_PAIRS
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def found_in(pdf: pd.DataFrame, gamma: float, strengths: dict | None) -> tuple[np.ndarray, np.ndarray]:
         ids, place = np.unique(np.concatenate([pdf["a"], pdf["b"]]).astype(str), return_inverse=True)
         a, b = place[: len(pdf)], place[len(pdf) :]
+        if strengths is None:
+            return ids, kernel(len(ids), a, b, gamma * len(pdf) / total)
+        k = np.array([strengths[x] for x in ids])
+        return ids, kernel(len(ids), a, b, gamma * k.sum() / 2 / total, pdf["w"].to_numpy(), k)
+
+    def named(ids: np.ndarray, found: np.ndarray) -> np.ndarray:
+        _, first, inverse = np.unique(found, return_index=True, return_inverse=True)
+        return ids[first][inverse]  # ids are sorted: the first member is the smallest
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, gamma in enumerate(resolutions):
-            found = kernel(len(ids), a, b, gamma * len(pdf) / total)
-            out.append(pd.DataFrame({"level": k, "resolution": gamma, "community": [ids[np.flatnonzero(found == c)[0]] for c in found] if len(ids) < 2000 else ids[[np.argmax(found == c) for c in range(found.max() + 1)]][found], "id": ids}))
+            ids, found = found_in(pdf, gamma, None)
+            out.append(pd.DataFrame({"level": k, "resolution": gamma, "community": named(ids, found), "id": ids}))
         return pd.concat(out)
 
-    rows = part.groupBy("component").applyInPandas(run, "level int, resolution double, community string, id string")
+    shape = "level int, resolution double, community string, id string"
+    rows = part.filter(~F.col("component").isin(large)).groupBy("component").applyInPandas(run, shape)
+    for k, gamma in enumerate(resolutions) if large else []:
+        of, few, strengths = _coarse(part.filter(F.col("component").isin(large)).select("a", "b", F.lit(1.0).alias("w")), gamma, total)
+        ends = few.join(strengths.select(F.col("id").alias("a"), F.col("k").alias("ka")), "a").join(strengths.select(F.col("id").alias("b"), F.col("k").alias("kb")), "b")
+        group = components(few, "a", "b")
+        ends = Staged(ends.join(group.withColumnRenamed("node", "b"), "b"), "coarse-ends").df
+        alike = ends.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_PAIRS).select("component")
+
+        def finish(pdf: pd.DataFrame, gamma: float = gamma) -> pd.DataFrame:
+            strength = dict(zip(pdf["a"], pdf["ka"], strict=True)) | dict(zip(pdf["b"], pdf["kb"], strict=True))
+            ids, found = found_in(pdf, gamma, strength)
+            return pd.DataFrame({"part": ids, "joined": named(ids, found)})
+
+        joined = ends.join(alike, "component", "left_semi").groupBy("component").applyInPandas(finish, "part string, joined string")
+        whole = of.join(joined, of["community"] == joined["part"], "left").select("id", F.coalesce("joined", "community").alias("g"))
+        whole = Staged(whole, "coarse-levels").df
+        name = whole.groupBy("g").agg(F.min("id").alias("community"))
+        rows = rows.unionByName(whole.join(name, "g").select(F.lit(k).alias("level"), F.lit(float(gamma)).alias("resolution"), "community", "id"))
+    rows = Staged(rows, "levels").df
     sizes = rows.groupBy("level", "community").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
     return rows.join(sizes.select("level", "community"), ["level", "community"], "left_semi")
 

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from weftgraph.functions.text import Porter, stemmed, term_frequency, tokens
 from weftgraph.model import STOPWORDS
+from weftgraph.staging import Staged
 
 K1, B = 1.2, 0.75
 
@@ -28,7 +29,8 @@ def bm25(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", colu
     """id, score of the best documents, ties by id: BM25 with k1 1.2, b 0.75, all columns of one weight.
 
     A term of several tokens is a phrase inside one column. One pass over the
-    documents counts the query's terms only; totals are one row.
+    documents counts the query's terms only and stages the counts; totals are one row.
+    For many searches of one table build :func:`postings` instead.
     """
     phrases = _phrases(terms, stem)
     if not phrases:
@@ -43,6 +45,7 @@ def bm25(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", colu
     sums = words.select("id", *[counted(k).alias(f"c{k}") for k in range(len(columns))])
     cell = lambda i: sum((F.col(f"c{k}")[i] for k in range(1, len(columns))), F.col("c0")[i])
     flat = sums.select("id", cell(0).alias("size"), *[cell(j + 1).alias(f"f{j}") for j in range(len(phrases))])
+    flat = Staged(flat, "bm25").df
     total = flat.agg(F.count("*").alias("docs"), F.avg("size").alias("mean"), *[F.count(F.when(F.col(f"f{j}") > 0, 1)).alias(f"n{j}") for j in range(len(phrases))])
     hit = flat.filter(F.greatest(F.lit(0), *[F.col(f"f{j}") for j in range(len(phrases))]) > 0).crossJoin(F.broadcast(total))  # total is one row
     score = F.lit(0.0)

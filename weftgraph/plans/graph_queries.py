@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weftgraph.operators import analytics as A
+from weftgraph.operators.components import components
 from weftgraph.plans.adapters import GRAPH_SQL, graph, vectors
 
 
@@ -78,13 +79,32 @@ def node_lookup(spark, sf_dir):
     return A.lookup(nodes, "AN", most=5)
 
 
+def node_lookup_label(spark, sf_dir):
+    """By a part of labels, in other case than theirs: no id is the text, so all that hold it."""
+    nodes, _ = graph(spark, sf_dir)
+    return A.lookup(nodes, "Nation_1", most=None)
+
+
+def components_of_path(spark, sf_dir):
+    """All parts in one line: part k hangs on part k + 1."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
+    found = components(part.select(F.col("p_partkey").alias("a"), (F.col("p_partkey") + 1).alias("b")))
+    return found.select(F.col("node").alias("id"), "component")
+
+
+def result_edges(spark, sf_dir):
+    """Edges among the regions, nations and first suppliers, by label."""
+    nodes, edges = graph(spark, sf_dir)
+    return A.result_edges(nodes, edges, nodes.filter("kind in ('region', 'nation') or id in ('s1', 's2', 's3')").select("id"))
+
+
 def neighbourhood(spark, sf_dir):
     return A.neighbourhood(*graph(spark, sf_dir), "n7")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (pagerank, degrees, god_nodes, connected_components, clustering_coeff, graph_quality, graph_stats, betweenness, surprising_edges, hub_filter, edge_weights, shortest_paths, seed_subgraph, node_lookup, neighbourhood)
+    for f in (pagerank, degrees, god_nodes, connected_components, clustering_coeff, graph_quality, graph_stats, betweenness, surprising_edges, hub_filter, edge_weights, shortest_paths, seed_subgraph, node_lookup, node_lookup_label, components_of_path, result_edges, neighbourhood)
 }
 
 _DEGREES = """
@@ -131,6 +151,16 @@ q AS (SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges)
   (SELECT round(avg((confidence = 'AMBIGUOUS')::INT::DOUBLE), 4) FROM edges) AS ambiguous_ratio,
   (SELECT count(DISTINCT component) FROM labels) AS components)
 """
+# shortest paths of this graph have four steps at most (from a nation over a supplier, its region and another nation); the fifth level shows that none is longer
+_STEP = "l{k} AS (SELECT l.s, e.t, {k} AS d, sum(g) AS g FROM l{j} l JOIN e ON l.t = e.s ANTI JOIN p{j} p ON p.s = l.s AND p.t = e.t GROUP BY l.s, e.t), p{k} AS (SELECT * FROM p{j} UNION ALL SELECT * FROM l{k})"
+_BETWEEN = f"""
+e AS (SELECT DISTINCT source AS s, target AS t FROM edges WHERE source <> target),
+p0 AS (SELECT id AS s, id AS t, 0 AS d, 1.0::DOUBLE AS g FROM nodes),
+l0 AS (SELECT * FROM p0),
+{", ".join(_STEP.format(k=k, j=k - 1) for k in range(1, 6))},
+through AS (SELECT v.t AS id, sum(v.g * w.g / p.g) AS n FROM p5 v JOIN p5 w ON w.s = v.t JOIN p5 p ON p.s = v.s AND p.t = w.t AND p.d = v.d + w.d WHERE v.d > 0 AND w.d > 0 GROUP BY v.t),
+between_ AS (SELECT nodes.id, coalesce(n, 0) / ((SELECT count(*) FROM nodes) - 1) / ((SELECT count(*) FROM nodes) - 2) AS betweenness FROM nodes LEFT JOIN through USING (id))
+"""
 _WITH = f"WITH RECURSIVE {GRAPH_SQL}"
 ORACLES = {
     "degrees": f"{_WITH}, {_DEGREES} SELECT id, in_degree, out_degree, in_degree + out_degree AS degree FROM d",
@@ -166,6 +196,11 @@ ORACLES = {
       w2 AS (SELECT * FROM w1 UNION SELECT seed, v, 2 FROM w1 JOIN arcs ON u = id WHERE d = 1),
       w3 AS (SELECT * FROM w2 UNION SELECT seed, v, 3 FROM w2 JOIN arcs ON u = id WHERE d = 2)
       SELECT seed, id, min(d)::BIGINT AS distance FROM w3 GROUP BY seed, id""",
+    "betweenness": f"{_WITH}, {_BETWEEN} SELECT id, round(betweenness, 6) AS betweenness FROM between_ ORDER BY between_.betweenness DESC, id LIMIT 10",
+    "node_lookup_label": f"{_WITH} SELECT * FROM nodes WHERE contains(lower(label), 'nation_1') OR contains(lower(id), 'nation_1')",
+    "components_of_path": "SELECT unnest(range(min(p_partkey) + 1, max(p_partkey) + 2)) AS id, min(p_partkey) AS component FROM part HAVING count(*) = max(p_partkey) - min(p_partkey) + 1",
+    "result_edges": f"""{_WITH}, chosen AS (SELECT id, label FROM nodes WHERE kind IN ('region', 'nation') OR id IN ('s1', 's2', 's3'))
+      SELECT a.label AS "from", b.label AS "to", min(relation) AS rel FROM edges JOIN chosen a ON a.id = source JOIN chosen b ON b.id = target GROUP BY source, target, a.label, b.label""",
     "node_lookup": f"{_WITH} SELECT * FROM nodes WHERE contains(lower(id), 'an') OR contains(lower(label), 'an') ORDER BY id LIMIT 5",
     "neighbourhood": f"""{_WITH} SELECT direction, n.id, label, relation, confidence FROM (
       SELECT 'out' AS direction, target AS id, relation, confidence FROM edges WHERE source = 'n7'

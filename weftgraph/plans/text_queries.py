@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions import text as X
 from weftgraph.operators import cochange as C
+from weftgraph.operators import embedding as E
 from weftgraph.operators import retrieval as R
 from weftgraph.plans.adapters import COMMITS_SQL, commits, table, vectors
+from weftgraph.staging import Staged
 
 QUERY = "erou thened with tionblewh and hati onandwh"
 
@@ -31,21 +33,16 @@ def script_counts(spark, sf_dir):
 
 def language_decision(spark, sf_dir):
     """By the lang column: English only or not, from all texts of up to 200 documents with the smallest ids."""
-    docs = table(spark, sf_dir, "documents")
-    counts = X.script_counts(F.col("text"))
     # the sample of 200 texts is the operator's own definition
-    ids = docs.groupBy("lang").agg(F.slice(F.sort_array(F.collect_set("doc_id")), 1, 200).alias("ids")).select("lang", F.explode("ids").alias("doc_id"))
-    sums = docs.join(ids, ["lang", "doc_id"]).select("lang", *[c.alias(n) for n, c in counts.items()]).groupBy("lang").agg(F.sum("latin").alias("latin"), F.sum(F.col("cjk") + F.col("cyrillic") + F.col("other")).alias("foreign"))
-    english = (F.col("latin") + F.col("foreign") == 0) | ((F.col("latin") / (F.col("latin") + F.col("foreign")) >= 0.9) & (F.col("foreign") < 10))
-    return sums.select("lang", "latin", "foreign", F.when(english, "en").otherwise("multilingual").alias("decision"))
+    return X.language_decisions(table(spark, sf_dir, "documents"), "lang", "doc_id", "text")
 
 
 def embed_text(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     kind = F.when(F.col("doc_id") % 3 == 0, "section").when(F.col("doc_id") % 3 == 1, "function").otherwise("module")
     body = X.embedding_text(F.col("source"), F.col("lang"), F.lit(""), F.col("text"))
-    rows = docs.select("doc_id", kind.alias("kind"), F.concat(F.lit("passage: "), body).alias("text"))
-    return rows.filter(F.col("kind").isin("section", "function")).select("doc_id", F.when(F.col("kind") == "section", "text").otherwise("code").alias("model_type"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
+    rows = docs.select("doc_id", kind.alias("kind"), E.prefixed(body, "e5", "passage").alias("text"))
+    return rows.filter(F.col("kind").isin(E.EMBED_KINDS)).select("doc_id", E.model_type(F.col("kind")).alias("model_type"), F.sha2("text", 256).alias("text_sha256"), F.length("text").cast("bigint").alias("n_chars"))
 
 
 def search_terms(spark, sf_dir):
@@ -65,6 +62,22 @@ def bm25_search(spark, sf_dir):
     return R.bm25(_docs(spark, sf_dir), R.query_terms(QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
+_INDEXES: dict[tuple[str, str], object] = {}
+
+
+def _index(spark, sf_dir):
+    """Postings of the documents: built once for a session and folder, as a store does at build time."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = Staged(R.postings(_docs(spark, sf_dir)), "postings")
+    return _INDEXES[key].df
+
+
+def bm25_indexed(spark, sf_dir):
+    """The keyword search from postings; the same result as from the texts."""
+    return R.bm25_indexed(_index(spark, sf_dir), R.query_terms(QUERY), 20).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
+
+
 def scan_search(spark, sf_dir):
     return R.scan(_docs(spark, sf_dir), R.query_terms(QUERY), 20, columns=["text"]).select(F.col("id").alias("doc_id"), "score")
 
@@ -94,6 +107,13 @@ def cochange_edges(spark, sf_dir):
     return C.enrich(edges, _pairs(spark, sf_dir))
 
 
+def rename_chain_long(spark, sf_dir):
+    """Every part renamed to the next: one chain through all of them."""
+    part = table(spark, sf_dir, "part")
+    name = lambda n: F.concat(F.lit("p"), n.cast("string"))
+    return C.resolve_renames(part.select(F.col("p_partkey").alias("seq"), name(F.col("p_partkey")).alias("old"), name(F.col("p_partkey") + 1).alias("new")))
+
+
 def rename_chain(spark, sf_dir):
     """Parts renamed along their size: part k of a brand becomes the next larger one."""
     part = table(spark, sf_dir, "part").filter("p_partkey % 10 < 8")
@@ -115,7 +135,7 @@ def incremental_diff(spark, sf_dir):
     return diff(before, after)
 
 
-QUERIES = {f.__name__: f for f in (script_counts, language_decision, embed_text, search_terms, vector_topk, vector_dedupe_label, bm25_search, scan_search, rrf_fusion, hybrid_search, cochange_pairs, cochange_edges, rename_chain, content_hash_manifest, incremental_diff)}
+QUERIES = {f.__name__: f for f in (script_counts, language_decision, embed_text, search_terms, vector_topk, vector_dedupe_label, bm25_search, bm25_indexed, scan_search, rrf_fusion, hybrid_search, cochange_pairs, cochange_edges, rename_chain, rename_chain_long, content_hash_manifest, incremental_diff)}
 
 _SCRIPTS = r"""
 plain AS (SELECT doc_id, lang, regexp_replace(coalesce(text, ''), '[\s\x00-\x40\x5b-\x60\x7b-\x7f\p{Nd}]', '', 'g') AS t FROM documents),
@@ -163,6 +183,8 @@ ORACLES = {
     "vector_dedupe_label": f"""WITH {_VECTOR}, hits AS (SELECT * FROM near ORDER BY score DESC, vec_id LIMIT 60)
       SELECT label, vec_id, round(score, 3) AS score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS k FROM hits) WHERE k = 1 ORDER BY hits.score DESC, label LIMIT 10""".replace("ORDER BY hits.score", "ORDER BY 3"),
     "bm25_search": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 20)",
+    "bm25_indexed": f"WITH {_BM25} SELECT doc_id, round(score, 6) AS score FROM (SELECT * FROM scores ORDER BY score DESC, doc_id LIMIT 20)",
+    "rename_chain_long": "SELECT 'p' || p_partkey AS old, 'p' || (SELECT max(p_partkey) + 1 FROM part) AS new FROM part",
     "scan_search": f"SELECT doc_id, n AS score FROM (SELECT doc_id, {' + '.join(f'contains(lower(text), {t!r})::BIGINT' for t in _TERMS)} AS n FROM documents) WHERE n > 0 ORDER BY n DESC, doc_id LIMIT 20",
     "rrf_fusion": f"WITH {_BM25}, {_VECTOR}, {_FUSED} SELECT doc_id, round(vector + keyword, 8) AS score, round(vector, 8) AS vector, round(keyword, 8) AS keyword FROM fused",
     "hybrid_search": f"WITH {_BM25}, {_VECTOR}, {_FUSED} SELECT doc_id, round(score, 4) AS score FROM (SELECT doc_id, vector + keyword AS score FROM fused ORDER BY score DESC, doc_id LIMIT 10)",
