@@ -30,6 +30,6 @@ def join_hot(left: DataFrame, right: DataFrame, key: str, n_left: int, how: str
     hot = Staged(hot, "hot-keys").df
     few = F.broadcast(right.join(F.broadcast(hot), key, "left_semi"))
     wide = left.join(F.broadcast(hot), key, "left_semi").join(few, key, how)
-    rest = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right, key, how)
+    rest = left.filter(F.col(key).isNotNull()).join(F.broadcast(hot), key, "left_anti").join(right.hint("merge"), key, how)  # the same plan at every size
     out = wide.unionByName(rest)
     return out if how == "inner" else out.unionByName(left.filter(F.col(key).isNull()), allowMissingColumns=True)

@@ -4,8 +4,7 @@ Shingles are 64-bit hashes. Two sets that reach the threshold share at least k
 shingles among the first ``n - ceil(t n) + k`` of each, in any common order, so
 documents are dealt out by those; shingles that very many documents have come last
 in the order. k grows with n (``shared``): a document with fewer repeated shingles
-in its prefix than any link needs is linked with nothing and leaves, which leaves
-shingles of one document only, and so on for some rounds. Runs of one shingle, cut
+in its prefix than any link needs, shared with texts of a size that a link allows, is linked with nothing and leaves. Runs of one shingle, cut
 where neighbouring sizes differ too much, connect what stays to clusters: every
 true link lies inside one cluster. Runs of hot shingles are salted, and what the
 parts of a run cover is connected afterwards. Each cluster is joined exactly
@@ -16,7 +15,9 @@ the sum of minima of two points bounds theirs, and pairs that survive are verifi
 by their sets. Pairs already connected aren't looked at again, so a group of near
 copies costs no list of all pairs.
 
-A cluster that is too large for a unit is joined in three rounds: its chunks each for
+Clusters that are too large for a unit are dealt out by size: sizes grow by a link's ratio
+from one class to the next, so links are inside a class or between neighbours, and two classes
+make a unit. What is still too large is joined in three rounds: its chunks each for
 itself, then one text of each component found so far, then all others against the
 largest component and among themselves, without pairs that are connected already.
 
@@ -27,12 +28,14 @@ the leaves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Staged, join_hot, text_or_empty
@@ -40,17 +43,17 @@ from weftgraph.operators.components import components
 
 WORDS = 5
 PERCENT = 80
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 # A shingle in one of HOT_SHARE documents or more is hot: at most HOT_SHARE times the mean set size can be.
 HOT_SHARE = 1_000
-BLOCK_SHINGLES = 1 << 22
-UNIT_SHINGLES = 1 << 22
+BLOCK_SHINGLES = 1 << 21
+UNIT_SHINGLES = 1 << 21
 # Bits of the filter of texts that are read again: 8 MB at any size of the input.
 FILTER_BITS = 1 << 26
 LEAF = 32
-PEELS = 1
-# The run of a hot shingle is dealt out to so many tasks.
+# The run of a hot shingle is dealt out to so many tasks, below 1 << SALT_BITS.
 SALTS = 64
+SALT_BITS = 8
 # Texts whose 64-bit hash is another text's too: 10^11 texts have about 300.
 MOST_CLASHES = 100_000
 
@@ -127,7 +130,7 @@ class Shingler:
                 out.append(np.zeros(0, _U))
         return out
 
-    def __call__(self, texts: list[str]) -> Iterator[tuple[int, np.ndarray]]:
+    def __call__(self, texts: Iterable[str]) -> Iterator[tuple[int, np.ndarray]]:
         """(index, set) for each text."""
         some: list[bytes] = []
         first = size = 0
@@ -151,7 +154,7 @@ class Shingler:
             else:
                 some.append(raw)
                 size += len(raw) + 1
-        yield from flush(len(texts))
+        yield from flush(first + len(some))
 
 
 def shared(n):
@@ -163,8 +166,8 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + shared(n)
 
 
-def _texts(batch: pa.RecordBatch, column: int) -> list[str]:
-    return batch.column(column).to_pylist()
+def _texts(batch: pa.RecordBatch, column: int) -> Iterator[str]:
+    return (x.as_py() for x in batch.column(column))  # one text in memory beside the batch
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +180,14 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "print", "second", "n", "token", "docs"])
 
     def frequent() -> pa.RecordBatch:
-        tokens, counts = np.unique(np.concatenate(held), return_counts=True)
+        tokens = np.concatenate(held)
+        held.clear()
+        tokens.sort()
+        at = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+        counts = np.diff(np.append(at, len(tokens)))
         some = counts >= max(3, docs // HOT_SHARE)
-        found = tokens[some].view(np.int64)
-        none = [None] * len(found)
+        found = tokens[at[some]].view(np.int64)
+        none = pa.nulls(len(found), pa.int64())
         return rows(none, none, none, none, found, counts[some])
 
     for batch in batches:
@@ -192,15 +199,15 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs += 1
             if size >= BLOCK_SHINGLES:
                 yield frequent()
-                held, size, docs = [], 0, 0
-        none = [None] * batch.num_rows
+                size = docs = 0
+        none = pa.nulls(batch.num_rows, pa.int64())
         yield rows(batch.column(0), batch.column(1), batch.column(2), ns, none, none)
     if held:
         yield frequent()
 
 
 def _prefixes(hot: np.ndarray):
-    """(token, salt, tid, n) for the prefix of each text, copies in one task once; salt is 0, or 1 to SALTS for hot tokens."""
+    """(token, tid, ns) for the prefix of each text, copies in one task once; ns is n and a salt, 0 or 1 to SALTS for hot tokens, in the last SALT_BITS."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingler(), set()
@@ -211,12 +218,12 @@ def _prefixes(hot: np.ndarray):
                     seen.add(tid)
                     kept.append(tid)
                     texts.append(batch.column(1)[k].as_py())
-            out, owners, ns, salts = [], [], [], []
+            out, owners, ns = [], [], []
             for k, s in shingles(texts):
                 n = len(s)
                 if not n:
                     continue
-                salt = np.zeros(len(s), np.int32)
+                salt = np.zeros(len(s), np.int64)
                 if len(hot):
                     is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
                     if is_hot.any():
@@ -224,11 +231,10 @@ def _prefixes(hot: np.ndarray):
                         salt[len(s) - int(is_hot.sum()) :] = 1 + kept[k] % SALTS
                 s, salt = s[: prefix_length(n)], salt[: prefix_length(n)]
                 out.append(s)
-                salts.append(salt)
                 owners.append(np.full(len(s), kept[k], np.int64))
-                ns.append(np.full(len(s), n, np.int32))
+                ns.append((n << SALT_BITS) + salt)
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(salts)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "salt", "tid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "tid", "ns"])
 
     return run
 
@@ -238,10 +244,13 @@ def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by token, salt and tid: each tid once, of tokens with two tids or more; salted rows all stay."""
-    names = ("token", "salt", "tid", "n")
+    """From rows sorted by token, salt, n and tid: each tid once, where another tid of the token has a size that a link allows; salted rows all stay.
+
+    Sizes are in order, so the nearest sizes are those of the rows before and after.
+    """
+    names = ("token", "tid", "ns")
     held: list[np.ndarray] | None = None  # the last row: what follows decides
-    shares = False  # the last row has the token of the one before
+    near = False  # the last row's size is near enough to that of the one before
 
     def given(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=list(names))
@@ -252,19 +261,22 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = _columns(batch, names)
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        token, salt, tid, _ = cols
+        token, tid, ns = cols
+        salt = ns & ((1 << SALT_BITS) - 1)
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         fresh = np.concatenate([[True], ~(same & (tid[1:] == tid[:-1]))])
         if not fresh.all():
-            cols = [c[fresh] for c in cols]
-            token, salt, tid, _ = cols
+            cols, salt = [c[fresh] for c in cols], salt[fresh]
+            token, tid, ns = cols
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
-        before = np.concatenate([[shares], same])
-        keep = (before[:-1] | same) | (salt[:-1] > 0)
+        n = ns >> SALT_BITS
+        close = same & (100 * n[:-1] >= PERCENT * n[1:])
+        before = np.concatenate([[near], close])
+        keep = (before[:-1] | close) | (salt[:-1] > 0)
         yield given([c[:-1] for c in cols], keep)
-        held, shares = [c[-1:] for c in cols], bool(before[-1])
+        held, near = [c[-1:] for c in cols], bool(before[-1])
     if held is not None:
-        yield given(held, np.array([shares or held[1][0] > 0]))
+        yield given(held, np.array([near or held[2][0] % (1 << SALT_BITS) > 0]))
 
 
 # Rows of _chains: pairs of a token with other documents, a token's only pair, what a chain of a salted run covers.
@@ -286,7 +298,8 @@ def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, salt, n, tid = _columns(batch, ("token", "salt", "n", "tid"))
+        token, ns, tid = _columns(batch, ("token", "ns", "tid"))
+        salt, n = ns & ((1 << SALT_BITS) - 1), ns >> SALT_BITS
         ahead = 0
         if state:
             rows = [state["head"]] if state["head"] == state["last"] else [state["head"], state["last"]]
@@ -346,19 +359,27 @@ def _bridges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edge_batch(*zip(*out, strict=True))
 
 
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc, tid, and the text in compressed form for the shuffles."""
+    coder = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [coder.compress(t.as_py().encode()) for t in batch.column(2)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], names=["doc", "tid", "packed"])
+
+
+def _unpacked(texts: Iterable[bytes]) -> Iterator[str]:
+    coder = zstandard.ZstdDecompressor()
+    return (coder.decompress(t).decode() for t in texts)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shingles, seen = Shingler(), set()
+    """(tid, cluster, chunks, tokens) from rows with packed texts."""
+    shingles = Shingler()
     for batch in batches:
-        fresh = []
-        for k, tid in enumerate(batch.column(0).to_pylist()):
-            if tid not in seen:
-                seen.add(tid)
-                fresh.append(k)
-        some = batch.take(pa.array(fresh, pa.int64()))
-        sets = [b""] * len(fresh)
-        for k, s in shingles(_texts(some, 1)):
+        sets = [b""] * batch.num_rows
+        for k, s in shingles(_unpacked(batch.column(1).to_pylist())):
             sets[k] = s.tobytes()
-        yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), some.column(3), pa.array(sets, pa.binary())], names=["tid", "cluster", "chunks", "tokens"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(sets, pa.binary())], names=["tid", "cluster", "chunks", "tokens"])
 
 
 def _boxes(points: np.ndarray, ns: np.ndarray, order: np.ndarray) -> list[dict[str, np.ndarray]]:
@@ -454,15 +475,21 @@ def join_unit(tids: list[int], sets: list[np.ndarray], labels: list[int] | None
 
 
 def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cluster, i, j, tid, tokens, label, side) sorted by unit (cluster, i, j): joins each unit as soon as it is read. Null labels and sides say nothing."""
+    """Rows (cluster, i, j, tid, packed text or set, label, side) sorted by unit (cluster, i, j): joins each unit as soon as it is read. Null labels and sides say nothing."""
     unit, tids, sets, labels, sides = None, [], [], [], []
+    shingles = None
 
     def done() -> pa.RecordBatch:
+        if shingles:
+            for k, found in shingles(_unpacked(list(sets))):
+                sets[k] = found
         pairs = join_unit(tids, sets, None if None in labels else labels, None if None in sides else sides)
         made = list(zip(*pairs, strict=True)) if pairs else [[], []]
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in made], names=["a", "b"])
 
     for batch in batches:
+        if batch.schema.field(4).name == "packed" and not shingles:
+            shingles = Shingler()
         c, i, j, t, s, g, w = (batch.column(k).to_pylist() for k in range(7))
         for k in range(batch.num_rows):
             if (c[k], i[k], j[k]) != unit:
@@ -471,21 +498,72 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 unit, tids, sets, labels, sides = (c[k], i[k], j[k]), [], [], [], []
             if not tids or tids[-1] != t[k]:  # copies of a text follow each other
                 tids.append(t[k])
-                sets.append(np.frombuffer(s[k], _U))
+                sets.append(s[k] if shingles else np.frombuffer(s[k], _U))
                 labels.append(g[k])
                 sides.append(w[k])
     if len(tids) > 1:
         yield done()
 
 
-def _joined(sets: DataFrame, label: str = "cast(null as bigint)", side: str = "cast(null as int)") -> DataFrame:
-    """Links (a, b) found in the units of rows cluster, i, j, tid, tokens."""
-    rows = sets.selectExpr("cluster", "i", "j", "tid", "tokens", f"{label} as label", f"{side} as side")
+def _joined(rows: DataFrame, what: str = "tokens", label: str = "cast(null as bigint)", side: str = "cast(null as int)") -> DataFrame:
+    """Links (a, b) found in the units of rows cluster, i, j, tid and a text (packed) or set (tokens)."""
+    rows = rows.selectExpr("cluster", "i", "j", "tid", what, f"{label} as label", f"{side} as side")
     units = rows.repartition("cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "tid")
     return units.mapInArrow(_units, "a bigint, b bigint")
 
 
-def _large(sets: DataFrame) -> DataFrame:
+TOKENS = "token bigint, tid bigint, ns bigint"
+
+
+def _clusters(tokens: DataFrame) -> DataFrame:
+    """tid, n, cluster of texts that may be linked, from their prefixes (TOKENS): every link is inside one cluster."""
+    salt = F.expr(f"ns & {(1 << SALT_BITS) - 1}")
+    runs = tokens.repartition("token", salt).sortWithinPartitions("token", salt, "ns", "tid")
+    runs = Staged(runs.mapInArrow(_repeated, TOKENS), "jaccard-tokens").df
+    least_n = F.ceil(F.shiftright("ns", SALT_BITS) * PERCENT / 100)  # of a linked partner
+    kept = runs.withColumn("c", F.count("*").over(Window.partitionBy("tid"))).filter(F.col("c") >= shared(least_n)).select("token", "tid", "ns")
+    runs = kept.repartition("token", salt).sortWithinPartitions("token", salt, "ns", "tid")
+    edges = runs.mapInArrow(_chains, "a bigint, na bigint, b bigint, nb bigint, kind bigint")
+    summed = edges.groupBy("a", "na", "b", "nb", (F.col("kind") == COVERS).alias("covers")).agg(F.sum((F.col("kind") == ALONE).cast("int")).alias("alone"), F.sum((F.col("kind") == MORE).cast("int")).alias("more"))
+    summed = Staged(summed, "jaccard-chains").df
+    covers, summed = summed.filter("covers"), summed.filter("not covers").drop("covers")
+    bridges = covers.select("a", "na", "b", "nb").repartition("b").sortWithinPartitions("b", "na", "a").mapInArrow(_bridges, "a bigint, na bigint, b bigint, nb bigint, kind bigint").drop("kind")
+    # a pair seen only alone has that many common tokens, but for runs of three and more
+    ends = summed.filter("more > 0")
+    others = ends.select(F.col("a").alias("t"), "more").unionByName(ends.select(F.col("b").alias("t"), "more")).groupBy("t").agg(F.sum("more").alias("others"))
+    others = Staged(others, "jaccard-others").df
+    joined = join_hot(summed, others.select(F.col("t").alias("a"), F.col("others").alias("oa")), "a", summed.count())
+    joined = joined.join(others.select(F.col("t").alias("b"), F.col("others").alias("ob")).hint("merge"), "b", "left")
+    common = F.col("alone") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
+    coarse = joined.filter((F.col("more") > 0) | (common >= shared(F.least("na", "nb")))).select("a", "na", "b", "nb")
+    coarse = Staged(coarse.unionByName(bridges), "jaccard-coarse").df
+    sizes = coarse.select(F.col("a").alias("tid"), F.col("na").alias("n")).unionByName(coarse.select(F.col("b").alias("tid"), F.col("nb").alias("n"))).distinct()
+    cluster = components(coarse.select("a", "b")).withColumnsRenamed({"node": "tid", "component": "cluster"})
+    member = sizes.join(cluster.hint("merge"), "tid", "left").select("tid", "n", F.coalesce("cluster", "tid").alias("cluster"))
+    return Staged(member, "jaccard-clusters").df
+
+
+def _dealt(member: DataFrame) -> DataFrame:
+    """tid, cluster, part, chunks from rows tid, n, cluster: the units that a text is in, and in how many chunks a unit is too large.
+
+    Clusters of up to UNIT_SHINGLES are one unit, part 0. A text of a larger one is in the
+    units of its size class and of the class below.
+    """
+    total = Staged(member.groupBy("cluster").agg(F.sum("n").alias("all")), "jaccard-totals").df
+    named = Staged(join_hot(member, total, "cluster", member.count()), "jaccard-sized").df
+    whole = named.filter(F.col("all") <= UNIT_SHINGLES).select("tid", "cluster", F.lit(0).alias("part"), F.lit(1).alias("chunks"))
+    # a little below the ratio, so that rounding of logarithms parts no sizes that may be linked
+    width = math.log(100 / PERCENT) * (1 + 1e-9)
+    level = F.floor(F.log(F.col("n").cast("double")) / width).cast("int")
+    large = named.filter(F.col("all") > UNIT_SHINGLES).withColumn("part", F.explode(F.array(level + 1, level)))
+    large = Staged(large.select("tid", "n", "cluster", "part"), "jaccard-parts").df
+    sizes = large.groupBy("cluster", "part").agg(F.ceil(F.sum("n") / (UNIT_SHINGLES // 2)).cast("int").alias("chunks"))
+    chunks = F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks")
+    # as many rows as a cluster has size classes
+    return whole.unionByName(large.join(F.broadcast(sizes), ["cluster", "part"]).select("tid", "cluster", "part", chunks))
+
+
+def _rounds(sets: DataFrame) -> DataFrame:
     """Links of clusters that are cut into chunks: rows tid, cluster, chunks, tokens."""
     sets = Staged(sets.withColumn("n", (F.octet_length("tokens") / 8).cast("bigint")), "jaccard-sets").df
 
@@ -513,14 +591,14 @@ def _large(sets: DataFrame) -> DataFrame:
     rest = rows.filter("label <> main").withColumn("own", dealt("rest", F.col("r")))
     across = rest.withColumn("i", F.explode(up_to(F.col("g")))).withColumn("i", -1 - F.col("i")).withColumn("j", F.col("own")).withColumn("side", F.lit(0))
     columns = ["cluster", "i", "j", "tid", "tokens", "label", "side"]
-    three = _joined(mains.select(*columns).unionByName(across.select(*columns)), "label", "side")
+    three = _joined(mains.select(*columns).unionByName(across.select(*columns)), "tokens", "label", "side")
     among = rest.withColumn("other", F.explode(up_to(F.col("r")))).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    return links_.unionByName(three).unionByName(_joined(among, "label"))
+    return links_.unionByName(three).unionByName(_joined(among, "tokens", "label"))
 
 
 def _maybe(df: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``df`` whose tid may be in ``ids``: a bitmap of FILTER_BITS hash values, so most others never meet the join's shuffle."""
-    key = F.pmod(F.xxhash64("tid"), F.lit(FILTER_BITS))
+    """Rows of ``df`` whose tid and doc may be in ``ids``: a bitmap of FILTER_BITS hash values, so most others never meet the join's shuffle."""
+    key = F.pmod(F.xxhash64("tid", "doc"), F.lit(FILTER_BITS))
     bits = ids.select(key.alias("k")).groupBy(F.expr("bitmap_bucket_number(k)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(k))").alias("bits"))
     place = F.expr("bitmap_bit_position(k)")
     byte = F.conv(F.hex(F.substring("bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
@@ -556,57 +634,24 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     rows = seen.filter("token is null").select("doc_id", "print", "second", "n")
     clashes = _clashes(rows)
     tid = F.when(F.col("print").isin(clashes), F.col("second")).otherwise(F.col("print")) if clashes else F.col("print")
-    rows, base = rows.withColumn("tid", tid), base.select(tid.alias("tid"), "body")
+    doc = F.coalesce("doc_id", F.lit(-1).cast("bigint")).alias("doc")
+    rows, base = rows.withColumn("tid", tid), base.select(doc, tid.alias("tid"), "body")
     n_docs = rows.count()
     frequent = seen.filter("token is not null").groupBy("token").agg(F.sum("docs").alias("docs"))
     least = max(16, n_docs // HOT_SHARE)
     # bounded: the sum of all set sizes divided by least
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("docs") >= least).select("token").collect()], np.int64).view(_U))
 
-    shape = "token bigint, salt int, tid bigint, n int"
-    runs = base.mapInArrow(_prefixes(hot), shape).repartition("token", "salt").sortWithinPartitions("token", "salt", "tid")
-    rows_left = Staged(runs.mapInArrow(_repeated, shape), "jaccard-tokens")
-    for _ in range(PEELS):
-        least_n = F.ceil(F.col("n") * PERCENT / 100)  # of a linked partner
-        enough = rows_left.df.groupBy("tid", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= shared(least_n)).select("tid")
-        kept = rows_left.df.join(enough, "tid", "left_semi").select("token", "salt", "tid", "n")
-        again = kept.filter("salt = 0").groupBy("token").agg(F.count("*").alias("c")).filter("c > 1").select("token")
-        # hot tokens stay: their runs are long
-        peeled = kept.filter("salt = 0").join(again, "token", "left_semi").unionByName(kept.filter("salt > 0"))
-        peeled = Staged(peeled, "jaccard-tokens")
-        rows_left.drop()
-        rows_left = peeled
-    runs = rows_left.df.repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "tid")
-    edges = runs.mapInArrow(_chains, "a bigint, na bigint, b bigint, nb bigint, kind bigint")
-    summed = edges.groupBy("a", "na", "b", "nb", (F.col("kind") == COVERS).alias("covers")).agg(F.sum((F.col("kind") == ALONE).cast("int")).alias("alone"), F.sum((F.col("kind") == MORE).cast("int")).alias("more"))
-    summed = Staged(summed, "jaccard-chains").df
-    covers, summed = summed.filter("covers"), summed.filter("not covers").drop("covers")
-    bridges = covers.select("a", "na", "b", "nb").repartition("b").sortWithinPartitions("b", "na", "a").mapInArrow(_bridges, "a bigint, na bigint, b bigint, nb bigint, kind bigint").drop("kind")
-    # a pair seen only alone has that many common tokens, but for runs of three and more
-    ends = summed.filter("more > 0")
-    others = ends.select(F.col("a").alias("t"), "more").unionByName(ends.select(F.col("b").alias("t"), "more")).groupBy("t").agg(F.sum("more").alias("others"))
-    others = Staged(others, "jaccard-others").df
-    joined = join_hot(summed, others.select(F.col("t").alias("a"), F.col("others").alias("oa")), "a", summed.count())
-    joined = joined.join(others.select(F.col("t").alias("b"), F.col("others").alias("ob")).hint("merge"), "b", "left")
-    common = F.col("alone") + F.least(F.coalesce("oa", F.lit(0)), F.coalesce("ob", F.lit(0)))
-    coarse = joined.filter((F.col("more") > 0) | (common >= shared(F.least("na", "nb")))).select("a", "na", "b", "nb")
-    coarse = Staged(coarse.unionByName(bridges), "jaccard-coarse").df
-    sizes = coarse.select(F.col("a").alias("tid"), F.col("na").alias("n")).unionByName(coarse.select(F.col("b").alias("tid"), F.col("nb").alias("n"))).distinct()
-    sizes = Staged(sizes, "jaccard-sizes").df
-    cluster = components(coarse.select("a", "b")).withColumnsRenamed({"node": "tid", "component": "cluster"})
-    member = sizes.join(cluster.hint("merge"), "tid", "left").select("tid", "n", F.coalesce("cluster", "tid").alias("cluster"))
-    member = Staged(member, "jaccard-clusters").df
-    total = member.groupBy("cluster").agg(F.ceil(F.sum("n") / (UNIT_SHINGLES // 2)).cast("int").alias("chunks"))
-    total = Staged(total, "jaccard-units").df
-    chunks = F.when(F.col("chunks") <= 2, 1).otherwise(F.col("chunks")).alias("chunks")
-    member = Staged(join_hot(member, total, "cluster", member.count()).select("tid", "cluster", chunks), "jaccard-members").df
-
-    some = _maybe(base, member).join(member.hint("merge"), "tid").select("tid", "body", "cluster", "chunks")
-    shape = "tid bigint, cluster bigint, chunks int, tokens binary"
-    whole = some.filter("chunks = 1").mapInArrow(_set_rows, shape).withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    forest = _joined(whole)
-    if not total.filter("chunks > 2").isEmpty():
-        forest = forest.unionByName(_large(some.filter("chunks > 1").mapInArrow(_set_rows, shape)))
+    member = _dealt(_clusters(base.select("tid", "body").mapInArrow(_prefixes(hot), TOKENS)))
+    # of the copies of a text one is read again
+    copy = rows.groupBy("tid").agg(F.min("doc_id").alias("doc")).fillna(-1, ["doc"])
+    member = Staged(member.join(copy.hint("merge"), "tid"), "jaccard-members").df
+    some = _maybe(base, member).select("doc", "tid", "body").mapInArrow(_packed, "doc bigint, tid bigint, packed binary")
+    some = some.join(member.hint("merge"), ["tid", "doc"]).select("tid", "packed", "cluster", "part", "chunks")
+    forest = _joined(some.filter("chunks = 1").withColumn("i", F.col("part")).withColumn("j", F.lit(0)), "packed")
+    if not member.filter("chunks > 1").isEmpty():
+        large = some.filter("chunks > 1").withColumn("cluster", F.xxhash64("cluster", "part")).select("tid", "packed", "cluster", "chunks")
+        forest = forest.unionByName(_rounds(large.mapInArrow(_set_rows, "tid bigint, cluster bigint, chunks int, tokens binary")))
     forest = Staged(forest, "jaccard-links").df
     label = Staged(components(forest).withColumnsRenamed({"node": "tid", "component": "label"}), "jaccard-groups").df
     out = join_hot(rows, label, "tid", n_docs)
