@@ -5,8 +5,10 @@ from __future__ import annotations
 import secrets
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftgraph.llm import decontaminate, exact_dedup, html_text, jaccard, line_dedup, packing, pii, quality, sharding, warc
+from weftgraph.llm.common import Staged
 
 
 RANDOM_KEY = secrets.token_hex(32)
@@ -49,6 +51,24 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_table(spark, sf_dir, "documents"), shards=24)
 
 
+def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of op3_sharding what must hold whatever the cuts: rows, bytes, shards, gapless slots, equal texts together, no shard beyond its share by more than the largest group."""
+    docs = _table(spark, sf_dir, "documents")
+    rows = Staged(sharding.shard(docs, shards=24), "sharding-rows").df
+    each = rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("bytes"))
+    group = rows.groupBy("text_crc32", "size").agg(F.sum("size").alias("bytes"), F.countDistinct("shard").alias("shards"))
+    text = F.coalesce("text", F.lit(""))
+    largest = docs.groupBy(F.sha2(text, 256).alias("h")).agg(F.sum(F.octet_length(text) + 8).alias("g")).agg(F.max("g").alias("largest"))
+    totals = each.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.min((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("gapless"), F.max("bytes").alias("most"))
+    out = totals.crossJoin(F.broadcast(largest)).crossJoin(F.broadcast(group.agg(F.max("shards").alias("apart"))))  # one row each
+    return out.select("n_rows", "bytes", "shards", "gapless", (F.col("apart") == 1).alias("together"), (F.col("most") <= F.col("bytes") / 24 + F.col("largest")).alias("fair"))
+
+
+SHARDING_SQL = """
+SELECT count(*) AS n_rows, sum(octet_length(encode(coalesce(text, ''))) + 8)::BIGINT AS bytes, 24::BIGINT AS shards, true AS gapless, true AS together, true AS fair FROM documents
+"""
+
+
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of contaminated document and benchmark item, over all documents."""
     docs, bench = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")
@@ -153,9 +173,10 @@ def queries() -> dict:
         "op8_line_dedup": op8_line_dedup,
         "op9_packing": op9_packing,
         "op10_pii": op10_pii,
+        "sharding_totals": sharding_totals,
         "verbatim_windows": verbatim_windows,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "verbatim_windows": VERBATIM_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_warc": OP2_SQL, "op6_jaccard": OP6_SQL, "op8_line_dedup": OP8_SQL, "sharding_totals": SHARDING_SQL, "verbatim_windows": VERBATIM_SQL}
