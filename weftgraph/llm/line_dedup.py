@@ -6,7 +6,8 @@ sorted, so one very frequent line spreads over many tasks. Each task streams its
 rows: it decides every line whose run lies inside the task. The first and last
 run of a task may go on in its neighbours, so those are settled by adding up
 counts: a run that is frequent already is dropped at once, the few rows of others
-wait for the sum. The result is one compressed bitmap for each document.
+wait for the sum, as do rows of a run that is undecided for more than ROWS_HELD of them.
+The result is one compressed bitmap for each document.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from weftgraph.llm.common import Staged, text_or_empty
 
 BLANKS = b" \t\n\x0b\x0c\r"
 ROWS_OUT = 100_000
+ROWS_HELD = 100_000
 
 
 def line_keys(text: bytes) -> list[bytes]:
@@ -59,7 +61,7 @@ def _runs(least_docs: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []  # rows of the present run that aren't given out: of fewer than least_docs documents
-        now, doc, docs, first, frequent = None, object(), 0, True, False
+        now, doc, docs, first, frequent, waits = None, object(), 0, True, False, False
         out: list[tuple] = []
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -67,11 +69,11 @@ def _runs(least_docs: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["h", "doc_id", "print", "pos", "docs", "open"])
 
         def end(edge: bool) -> None:
-            nonlocal held, frequent
-            if edge and now is not None:
+            nonlocal held, frequent, waits
+            if (edge or waits) and now is not None:
                 out.extend((x, *y, z, 0, True) for x, y, z in held)
                 out.append((now, None, None, None, docs, True))
-            held, frequent = [], False
+            held, frequent, waits = [], False, False
 
         for batch in batches:
             for h, d, f, p in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
@@ -92,9 +94,12 @@ def _runs(least_docs: int):
                     out.append((h, *d, p, 0, False))
                 else:
                     held.append((h, d, p))
-            if len(out) >= ROWS_OUT:
-                yield batch_of(out)
-                out = []
+                    if len(held) > ROWS_HELD:  # of few documents that repeat the line very often
+                        out.extend((x, *y, z, 0, True) for x, y, z in held)
+                        held, waits = [], True
+                if len(out) >= ROWS_OUT:
+                    yield batch_of(out)
+                    out = []
         end(True)
         yield batch_of(out)
 
@@ -124,7 +129,9 @@ def drop_bitmaps(docs: DataFrame, least_docs: int = 10, least_points: int = 1, d
     rows = _rows(docs, doc_id, text)
     lines = rows.mapInArrow(_hash_lines(least_points), "doc_id bigint, print bigint, h binary, pos int")
     order = ["h", "doc_id", "print", "pos"]
-    dealt = lines.select(*order).repartitionByRange(*order[:3]).sortWithinPartitions(*order)
+    # staged, so that finding the ranges doesn't hash all lines once more
+    lines = Staged(lines.select(*order), "line-hashes").df
+    dealt = lines.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
     seen = Staged(dealt.mapInArrow(_runs(least_docs), "h binary, doc_id bigint, print bigint, pos int, docs bigint, open boolean"), "line-runs").df
     waiting = seen.filter("open")
     frequent = waiting.groupBy("h").agg(F.sum("docs").alias("docs")).filter(F.col("docs") >= least_docs).select("h")
