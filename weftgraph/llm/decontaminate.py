@@ -130,14 +130,12 @@ def _windows(df: DataFrame, keep: list[str], widths: list[int], known: DataFrame
         row, bit = _filter_bits(F.col("h"))
         rows = rows.withColumn("f_row", row).join(F.broadcast(known), "f_row").filter(F.call_function("shiftrightunsigned", F.col("f_bits"), bit).bitwiseAND(F.lit(1)) == 1)
     # which of the arrays a place belongs to, by their sizes
-    width, first, template = F.lit(0), F.lit(0), F.lit(True)
-    end = F.lit(0)
-    ends = []
+    end, ends = F.lit(0), []
     for w, is_template in [*((w, False) for w in widths), *((w, True) for w in wide)]:
         size = F.greatest(F.col("size") - (w - 1), F.lit(0))
         begin, end = end, end + (F.when(F.col("open"), size).otherwise(0) if is_template else size)
         ends.append((w, is_template, begin, end))
-    first = end
+    width, first, template = F.lit(0), end, F.lit(True)  # behind them all: the template as a whole
     for w, is_template, begin, end in reversed(ends):
         here = F.col("at") < end
         width, first, template = F.when(here, w).otherwise(width), F.when(here, begin).otherwise(first), F.when(here, is_template).otherwise(template)

@@ -14,7 +14,7 @@ copies is sent once from each task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftgraph.llm.common import Staged, text_or_empty
@@ -117,8 +117,20 @@ def dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without copies of the text of a row that stays."""
-    stay = dedup(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("__w_id"), F.col("text_sha256").alias("__w_sha"))
-    body = text_or_empty(docs, text)
-    on = docs[doc_id].eqNullSafe(stay["__w_id"]) & (F.sha2(body.cast("binary"), 256) == stay["__w_sha"])
-    return docs.join(stay, on, "left_semi")
+    """The rows of ``docs``, all columns, without copies of the text of a row that stays.
+
+    Of rows repeated in id and text one stays, whatever their other columns hold.
+    """
+    found = Staged(dedup(docs, doc_id, text), "dedup-found").df
+    stay = found.filter("kept").select(F.col("doc_id").alias("__w_id"), F.col("text_sha256").alias("__w_sha"))
+    sha = F.sha2(text_or_empty(docs, text).cast("binary"), 256)
+    on = docs[doc_id].eqNullSafe(stay["__w_id"]) & (sha == stay["__w_sha"])
+    repeated = found.filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = Staged(repeated.select(F.col("doc_id").alias("__w_rid"), F.col("text_sha256").alias("__w_rsha")), "dedup-repeated").df
+    if repeated.isEmpty():
+        return docs.join(stay, on, "left_semi")
+    again = stay.join(repeated, stay["__w_id"].eqNullSafe(repeated["__w_rid"]) & (stay["__w_sha"] == repeated["__w_rsha"]), "left_semi")
+    once = stay.join(repeated, stay["__w_id"].eqNullSafe(repeated["__w_rid"]) & (stay["__w_sha"] == repeated["__w_rsha"]), "left_anti")
+    row = F.row_number().over(Window.partitionBy("__w_id", "__w_sha").orderBy("__w_id"))
+    first = docs.join(again, on).withColumn("__w_row", row).filter("__w_row = 1").select(*[docs[c] for c in docs.columns])
+    return docs.join(once, on, "left_semi").unionByName(first)

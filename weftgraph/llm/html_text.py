@@ -27,7 +27,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 WINDOW = 3
 LEAST_SHARE = 0.15
@@ -180,7 +179,7 @@ def lines_of(page: str) -> Lines:
             depth = max(0, depth - 1)
 
     def close(name: str) -> None:
-        # an end tag closes what is open inside it, but none of an article's from within a table cell or the like
+        # an end tag closes all that is open inside its element; without a start it closes nothing
         if open_[name]:
             while stack[-1][0] != name:
                 pop()
