@@ -86,6 +86,26 @@ def test_searches_of_all_ways(spark, built):
     assert engine.community_graph(community)[0].count() >= 2
 
 
+def test_tool_server(spark, built):
+    import io
+
+    from weftgraph.serve import serve
+
+    ask = lambda k, method, **params: json.dumps({"jsonrpc": "2.0", "id": k, "method": method, "params": params})
+    lines = [ask(1, "initialize"), json.dumps({"jsonrpc": "2.0", "method": "notifications/initialized"}), ask(2, "tools/list"), "no json", ask(3, "other")]
+    lines += [ask(4, "tools/call", name=n, arguments=a) for n, a in (("search", {"query": "check login"}), ("node", {"id": "auth.py:17"}), ("stats", {}), ("communities", {}), ("search", {}), ("none", {}))]
+    out = io.StringIO()
+    serve(spark, str(built / ".weftgraph"), io.StringIO("\n".join(lines) + "\n"), out)
+    got = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert len(got) == 10 and {t["name"] for t in got[1]["result"]["tools"]} == {"search", "node", "stats", "communities", "build"}
+    assert got[2]["error"]["code"] == -32700 and got[3]["error"]["code"] == -32601
+    assert got[4]["result"]["content"][0]["text"].startswith("seeds:") and all(not r["result"]["isError"] for r in got[4:8])
+    assert json.loads(got[5]["result"]["content"][0]["text"])["found"] and [r["error"]["code"] for r in got[8:]] == [-32602] * 2
+    missing = io.StringIO()
+    serve(spark, str(built / "nowhere"), io.StringIO(ask(1, "tools/call", name="stats", arguments={}) + "\n"), missing)
+    assert json.loads(missing.getvalue())["result"]["isError"]
+
+
 def test_command_line(spark, built, capsys, monkeypatch):
     monkeypatch.setattr(cli, "session", lambda: spark)
     monkeypatch.chdir(built / "pkg")

@@ -1,10 +1,12 @@
 """Chains, paths and logs longer than any fixed number of rounds."""
 
 import subprocess
+import time
 
 import pytest
 
 from weftgraph.operators import analytics, build, cochange, communities, retrieval
+from weftgraph.operators import components as connected
 from weftgraph.operators.components import components
 from weftgraph.sources import files, gitlog
 
@@ -15,13 +17,31 @@ def test_rename_chain_of_a_thousand(spark):
     assert len(got) == 1000 and set(got.values()) == {"p1000"}
 
 
-def test_components_of_a_long_path(spark):
+@pytest.mark.parametrize("small", [500_000, 100])
+def test_components_of_a_long_path(spark, monkeypatch, small):
+    monkeypatch.setattr(connected, "SMALL", small)
     edges = spark.range(10_000).selectExpr("(id * 7919) % 10007 as a", "((id + 1) * 7919) % 10007 as b")
     got = components(edges)
     assert got.count() == 10_000 and got.select("component").distinct().count() == 1
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("small", [500_000, 3])
+def test_components_of_random_graphs(spark, monkeypatch, small):
+    import random
+
+    monkeypatch.setattr(connected, "SMALL", small)
+    rng = random.Random(5)
+    pairs = [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(170)]
+    label = {}
+    for a, b in pairs:
+        old, new = label.get(a, a), label.get(b, b)
+        label |= {a: old, b: new}
+        label = {k: min(old, new) if v in (old, new) else v for k, v in label.items()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(pairs, "a string, b string")).collect()}
+    assert got == {k: v for k, v in label.items() if k != v}
+
+
 def test_chain_of_small_nodes(spark):
     kinds = ["class"] + ["property"] * 40
     nodes = spark.createDataFrame([(f"n{k:02d}", f"l{k}", kind, "f.py") for k, kind in enumerate(kinds)] + [("x", "x", "variable", "f.py"), ("y", "y", "variable", "f.py"), ("t", "t", "function", "g.py")], "id string, label string, kind string, file_path string")
@@ -118,3 +138,41 @@ def test_communities_of_components_beyond_a_task(spark, monkeypatch):
         found = sets()
         assert {s for k, s in found if k == 1} == {frozenset(c) for c in cliques}
         assert sum(len(s) for k, s in found if k == 0) == 48
+
+
+def test_stream_keeps_the_newest(spark, tmp_path):
+    import datetime
+
+    from weftgraph.streaming import incremental
+    from weftgraph.store import GraphStore
+
+    shape = "path string, version string, ts timestamp, content string"
+    at = lambda k: datetime.datetime(2024, 1, 1 + k)
+    store, source = GraphStore(spark, f"file://{tmp_path}/store"), f"file://{tmp_path}/in"
+    assert incremental.load(store).count() == 0
+    parts = [[("a", "1", at(0), "x"), ("b", "1", at(3), "y")], [("a", "2", at(1), "z"), ("b", "0", at(2), "late")], [("c", "1", at(0), "w")]]
+    for rows in parts:
+        spark.createDataFrame(rows, shape).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(shape).parquet(source)
+        incremental.follow(stream, store, f"file://{tmp_path}/progress", compact_every=2).awaitTermination()
+    got = {r.path: r.version for r in incremental.load(store).collect()}
+    assert got == {"a": "2", "b": "1", "c": "1"} and store.load("versions").count() == 2
+
+
+def test_watch_brings_the_store_up_to_date(spark, tmp_path):
+    from weftgraph.store import GraphStore
+    from weftgraph.streaming import incremental
+
+    src = tmp_path / "src"
+    src.mkdir()
+    (src / "a.py").write_text("def f():\n    pass\n")
+    query = incremental.watch(spark, str(src), f"file://{tmp_path}/store", f"file://{tmp_path}/progress", every="1 second")
+    store, began = GraphStore(spark, f"file://{tmp_path}/store"), time.time()
+    try:
+        while store.get_meta("source_dir") is None and time.time() - began < 240:
+            assert query.exception() is None
+            time.sleep(1)
+        labels = {r.label for r in store.load("nodes").collect()}
+    finally:
+        query.stop()
+    assert {"a", "f"} <= labels

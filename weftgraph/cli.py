@@ -9,6 +9,7 @@ import sys
 
 from weftgraph.engine import Engine, build_graph_store
 from weftgraph.operators import embedding
+from weftgraph.serve import serve
 from weftgraph.session import session
 from weftgraph.store import FOLDER, GraphStore, resolve
 
@@ -51,6 +52,7 @@ def run(argv: list[str] | None = None) -> int:
     commands.add_parser("doctor")
     commands.add_parser("clean").add_argument("-y", "--yes", action="store_true")
     commands.add_parser("query")
+    commands.add_parser("serve", help="answer tool calls on standard input and output")
     c = commands.add_parser("communities")
     c.add_argument("--level", type=int)
     c.add_argument("--search", default="")
@@ -70,6 +72,9 @@ def run(argv: list[str] | None = None) -> int:
         GraphStore(spark, target).set_meta("lang", a.lang)
         print(json.dumps(counts, separators=(",", ":")))
         return 0
+    if a.command == "serve":
+        serve(spark, resolve(a.store) or a.store or FOLDER)
+        return 0
     where = resolve(a.store)
     if where is None or GraphStore(spark, where).load("nodes") is None:
         raise LookupError(f"no graph in {a.store or FOLDER}")
@@ -89,7 +94,7 @@ def run(argv: list[str] | None = None) -> int:
                 break
             print(shown(engine.stats()) if word == ":stats" else shown(engine.node(rest)[0]) if word == ":node" else engine.search(line.strip(), 30).text(source))
     elif a.command.startswith("search-"):
-        ways = {"vector": lambda q, k: engine.vector(q, k, a.fast), "keyword": engine.keyword, "graph": engine.expand, "community": engine.community_members}
+        ways = {"vector": lambda q, k: engine.vector(q, k, a.fast), "keyword": engine.keyword_rows, "graph": engine.expand, "community": engine.community_members}
         print(shown(ways[a.command.removeprefix("search-")](a.query, a.top_k)))
     elif a.command == "stats":
         print(shown(engine.stats()))

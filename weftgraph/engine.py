@@ -145,7 +145,7 @@ class Engine:
         found = None
         for kind in sorted(kinds):
             vector = self.query_vectors(query, "text" if fast or kind not in self.query_vectors.encoders else kind)
-            hits = retrieval.vector_topk(self.vectors.filter(F.col("model_type") == kind), vector, top, id_="node_id")
+            hits = retrieval.vector_topk(self.vectors.filter(F.col("model_type") == kind), vector, top, id_="node_id", unit=True)
             found = hits if found is None else found.unionByName(hits)
         if found is None:
             return self.vectors.select(F.col("node_id").alias("id"), F.lit(0.0).alias("score")).limit(0)
@@ -158,6 +158,12 @@ class Engine:
             return retrieval.scan(self.nodes.join(self.rank, "id", "left"), terms, top, rank="pagerank")
         return retrieval.bm25_indexed(self.postings, terms, top, stem=True)
 
+    def keyword_rows(self, query: str, top: int = 20) -> DataFrame:
+        """The keyword hits with what a reader wants to see of them: id, label, kind, file_path, pagerank, score (3 digits)."""
+        hits = self.keyword(query, top)
+        rows = hits.join(self.nodes.select("id", "label", "kind", "file_path"), "id").join(self.rank, "id", "left")
+        return rows.select("id", "label", "kind", "file_path", "pagerank", F.round("score", 3).alias("score")).orderBy(F.desc("score"), F.desc("pagerank"), "id")
+
     def vector(self, query: str, top: int = 10, fast: bool = False) -> DataFrame:
         hits = self._vector_hits(query, 4 * top, fast).join(self.nodes.select("id", "label"), "id")
         return retrieval.dedupe_by_label(hits, top)

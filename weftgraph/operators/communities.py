@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -207,6 +205,14 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
             out.append(pd.DataFrame({"level": k, "resolution": gamma, "community": named(ids, found), "id": ids}))
         return pd.concat(out)
 
+    def finish(gamma: float):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            strength = dict(zip(pdf["a"], pdf["ka"], strict=True)) | dict(zip(pdf["b"], pdf["kb"], strict=True))
+            ids, found = found_in(pdf, gamma, strength)
+            return pd.DataFrame({"part": ids, "joined": named(ids, found)})
+
+        return run
+
     shape = "level int, resolution double, community string, id string"
     rows = part.filter(~F.col("component").isin(large)).groupBy("component").applyInPandas(run, shape)
     for k, gamma in enumerate(resolutions) if large else []:
@@ -216,12 +222,7 @@ def levels(nodes: DataFrame, edges: DataFrame, resolutions: tuple[float, ...] =
         ends = Staged(ends.join(group.withColumnRenamed("node", "b"), "b"), "coarse-ends").df
         alike = ends.groupBy("component").agg(F.count("*").alias("n")).filter(F.col("n") <= MOST_PAIRS).select("component")
 
-        def finish(pdf: pd.DataFrame, gamma: float = gamma) -> pd.DataFrame:
-            strength = dict(zip(pdf["a"], pdf["ka"], strict=True)) | dict(zip(pdf["b"], pdf["kb"], strict=True))
-            ids, found = found_in(pdf, gamma, strength)
-            return pd.DataFrame({"part": ids, "joined": named(ids, found)})
-
-        joined = ends.join(alike, "component", "left_semi").groupBy("component").applyInPandas(finish, "part string, joined string")
+        joined = ends.join(alike, "component", "left_semi").groupBy("component").applyInPandas(finish(gamma), "part string, joined string")
         whole = of.join(joined, of["community"] == joined["part"], "left").select("id", F.coalesce("joined", "community").alias("g"))
         whole = Staged(whole, "coarse-levels").df
         name = whole.groupBy("g").agg(F.min("id").alias("community"))

@@ -58,7 +58,7 @@ class QueryVectors:
         key = (model_type, query)
         if key not in self._found:
             text = f"query: {query}" if "e5" in self.models[model_type].lower() else query
-            self._found[key] = self.encoders[model_type]([text])[0].astype(float).tolist()
+            self._found[key] = unit(self.encoders[model_type]([text]))[0].tolist()
             while len(self._found) > self.kept:
                 self._found.popitem(last=False)
         return self._found[key]
@@ -75,11 +75,18 @@ def prefixed(text, model: str, use: str):
     return F.concat(F.lit(f"{use}: "), text) if "e5" in model.lower() else text
 
 
+def unit(vectors: np.ndarray) -> np.ndarray:
+    """Rows of length one, so that a dot product is the cosine; rows without length stay."""
+    rows = np.asarray(vectors, float)
+    norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    return rows / np.where(norm == 0, 1, norm)
+
+
 def _batched(encode: Encoder, size: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             parts = [encode(texts.iloc[k : k + size].tolist()) for k in range(0, len(texts), size)]
-            yield pd.Series([row for part in parts for row in part.astype(float).tolist()])
+            yield pd.Series([row for part in parts for row in unit(part).tolist()])
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return run

@@ -114,18 +114,26 @@ def scan(docs: DataFrame, terms: list[str], top: int = 20, id_: str = "id", colu
     return scored.filter("score > 0").orderBy(F.desc("score"), F.desc("rank"), "id").limit(top).select("id", "score")
 
 
+def dot(vector, query: list[float]):
+    """Dot product of a column of arrays of doubles and a fixed vector."""
+    q = F.array(*[F.lit(float(x)) for x in query])
+    return F.aggregate(F.zip_with(vector, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+
+
 def cosine(vector, query: list[float]):
     """Cosine of a column of arrays of doubles and a fixed vector, 0 where either has no length."""
     norm = sum(x * x for x in query) ** 0.5
-    q = F.array(*[F.lit(float(x)) for x in query])
-    dot = F.aggregate(F.zip_with(vector, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     own = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x * x))
-    return F.coalesce(dot / F.nullif(own * F.lit(norm), F.lit(0.0)), F.lit(0.0))
+    return F.coalesce(dot(vector, query) / F.nullif(own * F.lit(norm), F.lit(0.0)), F.lit(0.0))
+
 
+def vector_topk(vectors: DataFrame, query: list[float], top: int = 10, id_: str = "id", vector: str = "vector", keep: list[str] = (), unit: bool = False) -> DataFrame:
+    """id, score: the nearest vectors by cosine, exactly; ties by id. Each task keeps its best, the driver none.
 
-def vector_topk(vectors: DataFrame, query: list[float], top: int = 10, id_: str = "id", vector: str = "vector", keep: list[str] = ()) -> DataFrame:
-    """id, score: the nearest vectors by cosine, exactly; ties by id. Each task keeps its best, the driver none."""
-    scored = vectors.select(F.col(id_).alias("id"), *keep, F.round(cosine(F.col(vector), query), 6).alias("score"))
+    unit: all vectors and the query have length one (or none), as stored embeddings do, so the dot product is enough.
+    """
+    near = dot(F.col(vector), query) if unit else cosine(F.col(vector), query)
+    scored = vectors.select(F.col(id_).alias("id"), *keep, F.round(near, 6).alias("score"))
     return scored.orderBy(F.desc("score"), "id").limit(top)
 
 

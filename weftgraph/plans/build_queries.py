@@ -146,7 +146,7 @@ def events_incremental(spark, sf_dir):
     base = f"{shared_dir(spark)}/events-{uuid.uuid4().hex}"
     store = GraphStore(spark, f"{base}/store")
     incremental.follow(rows, store, f"{base}/progress").awaitTermination()
-    return store.load("versions").select("path", "version", "sha256")
+    return incremental.load(store).select("path", "version", "sha256")
 
 
 QUERIES = {
