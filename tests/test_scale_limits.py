@@ -123,6 +123,19 @@ def test_betweenness_by_joins_equals_the_kernel(spark):
     assert max(plain.values()) > 0 and analytics.joined_betweenness(nodes, edges.limit(0)).count() == 42
 
 
+def test_seed_subgraph_on_the_driver_equals_the_joins(spark):
+    import random
+
+    rng = random.Random(9)
+    rows = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}", rng.choice(["calls", "defines"])) for _ in range(80)]
+    edges = spark.createDataFrame(rows, "source string, target string, relation string")
+    near = analytics.Adjacency.of(edges)
+    assert analytics.Adjacency.of(edges, 10) is None
+    for _ in range(4):
+        seeds = [f"n{rng.randrange(64)}" for _ in range(6)]
+        assert analytics.seed_subgraph(edges, seeds, 4, near) == analytics.seed_subgraph(edges, seeds, 4)
+
+
 def test_communities_of_components_beyond_a_task(spark, monkeypatch):
     import itertools
 

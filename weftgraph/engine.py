@@ -68,7 +68,7 @@ def build_graph_store(
     """Scan, extract, build, merge, add co-change, rank, embed, weigh, cluster, summarise, index and store; returns counts.
 
     Each file is read and parsed once, where it is read; an incremental build reads all files for
-    their hashes and parses only files whose contents changed, keeps the raw
+    their hashes (and is done if none changed), parses only files whose contents changed, keeps the raw
     rows of the others and resolves all references again, so no edge into or out
     of an unchanged file is lost and deleted files go.
     """
@@ -79,6 +79,8 @@ def build_graph_store(
         todo = Staged(todo, "scan").df
         now = Staged(files.manifest(todo), "manifest").df
         changes = Staged(files.diff(before, now), "changes").df
+        if changes.filter("change <> 'unchanged'").isEmpty() and store.load("communities") is not None:
+            return {"files": now.count(), "parsed": 0, "nodes": store.load("nodes").count(), "edges": store.load("edges").count(), "communities": store.load("communities").count()}
         todo = todo.join(changes.filter("change in ('added', 'changed')"), "path", "left_semi")
     rows = Staged(parsers.parsed(todo), "parsed").df
     fresh = rows.filter("kind_of_row = 'file'").select(F.col("file_path").alias("path"), "sha256")
@@ -136,14 +138,16 @@ class Engine:
         load = self.store.load
         self.nodes, self.edges, self.rank = load("nodes").cache(), load("edges").cache(), load("pagerank").cache()
         self.vectors, self.postings, self.weights = load("embeddings"), load("postings"), load("weights")
+        self.near = analytics.Adjacency.of(self.edges)  # None for large graphs, whose paths are found by joins
+        self.kinds: list[str] = []
         if self.vectors is not None:
             self.vectors = self.vectors.cache()
+            self.kinds = sorted(r[0] for r in self.vectors.select("model_type").distinct().collect())  # two, or one
 
     def _vector_hits(self, query: str, top: int, fast: bool = False) -> DataFrame:
         """The best of the code and the text vectors, merged; fast: one encoder call, the text model's vector for both."""
-        kinds = [r[0] for r in self.vectors.select("model_type").distinct().collect()]  # two, or one
         found = None
-        for kind in sorted(kinds):
+        for kind in self.kinds:
             vector = self.query_vectors(query, "text" if fast or kind not in self.query_vectors.encoders else kind)
             hits = retrieval.vector_topk(self.vectors.filter(F.col("model_type") == kind), vector, top, id_="node_id", unit=True)
             found = hits if found is None else found.unionByName(hits)
@@ -179,7 +183,7 @@ class Engine:
         fused = retrieval.rrf(signals, weights={"vector": weights[0], "keyword": weights[1]})
         real = self.nodes.filter(~F.col("kind").isin("external", "directory")).select("id")
         seeds = fused.join(real, "id", "left_semi").orderBy(F.desc("score"), "id").limit(top).collect()
-        between, edges, alone = analytics.seed_subgraph(self.edges, [r["id"] for r in seeds], hops)
+        between, edges, alone = analytics.seed_subgraph(self.edges, [r["id"] for r in seeds], hops, self.near)
         found = Found([(r["id"], round(r["score"], 4)) for r in seeds], between, edges, alone, {r["id"]: r["contributions"] for r in seeds})
         self._results[key] = found
         while len(self._results) > self.kept:

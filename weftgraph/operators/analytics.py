@@ -268,21 +268,66 @@ def bounded_paths(edges: DataFrame, seeds: DataFrame, hops: int = 5) -> DataFram
     return reached
 
 
-def seed_subgraph(edges: DataFrame, seeds: list[str], hops: int = 5) -> tuple[list[str], list[tuple[str, str, str]], list[str]]:
+class Adjacency:
+    """A graph of a stated size on the driver, for answers in milliseconds: what :func:`seed_subgraph` needs of it."""
+
+    def __init__(self, edges: DataFrame):
+        rows = sorted({(r["source"], r["target"], r["relation"]) for r in edges.select("source", "target", "relation").toLocalIterator()}, key=str)
+        self.around: dict[str, set[str]] = {}
+        self.between: dict[tuple[str, str], list[tuple[str, str, str]]] = {}
+        for source, target, relation in rows:
+            pair = min(source, target), max(source, target)
+            self.between.setdefault(pair, []).append((source, target, relation))
+            if source != target:
+                self.around.setdefault(source, set()).add(target)
+                self.around.setdefault(target, set()).add(source)
+
+    @classmethod
+    def of(cls, edges: DataFrame, most: int = 500_000) -> Adjacency | None:
+        """None for graphs of more than ``most`` edges."""
+        return cls(edges) if edges.limit(most + 1).count() <= most else None
+
+    def paths(self, seeds: list[str], hops: int) -> list[tuple[str, str, int, list[str]]]:
+        """(seed, other seed, distance, path): shortest paths as :func:`bounded_paths` finds them."""
+        wanted, out = set(seeds), []
+        for seed in seeds:
+            front, reached = {seed: [seed]}, {seed}
+            for hop in range(1, hops + 1):
+                step: dict[str, list[str]] = {}
+                for u, path in front.items():
+                    for v in self.around.get(u, ()):
+                        if v not in reached and (v not in step or path < step[v][:-1]):
+                            step[v] = [*path, v]
+                reached |= step.keys()
+                out += [(seed, v, hop, path) for v, path in step.items() if v in wanted]
+                front = step
+                if not front or wanted <= reached:
+                    break
+        return out
+
+    def edges(self, used: list[tuple[str, str]]) -> list[tuple[str, str, str, str]]:
+        return [(a, s, t, r) for a, b in used for s, t, r in self.between.get((a, b), [])]
+
+
+def seed_subgraph(edges: DataFrame, seeds: list[str], hops: int = 5, near: Adjacency | None = None) -> tuple[list[str], list[tuple[str, str, str]], list[str]]:
     """(intermediate ids, edges (source, relation, target), isolated seeds): Kruskal's tree over the seeds' bounded paths.
 
     There are at most as many pairs as ``seeds`` allows, so the tree is built on
     the driver. With fewer than two seeds nothing is isolated; without any path
     all are. Directions and relations are those of the graph, a before b first.
+    With ``near``, the same graph held on the driver, no job runs.
     """
     seeds = list(dict.fromkeys(seeds))
     if len(seeds) < 2:
         return [], [], []
     spark = edges.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in seeds], "id string")
-    paths = bounded_paths(edges, wanted, hops).join(F.broadcast(wanted), "id", "left_semi").collect()
     index = {s: k for k, s in enumerate(seeds)}
-    pairs = sorted((r["distance"], index[r["seed"]], index[r["id"]], r["path"]) for r in paths if index[r["seed"]] < index[r["id"]])
+    if near is not None:
+        paths = near.paths(seeds, hops)
+    else:
+        wanted = spark.createDataFrame([(s,) for s in seeds], "id string")
+        paths = [(r["seed"], r["id"], r["distance"], r["path"]) for r in bounded_paths(edges, wanted, hops).join(F.broadcast(wanted), "id", "left_semi").collect()]
+    pairs = sorted((d, index[s], index[t], path) for s, t, d, path in paths if index[s] < index[t])
     if not pairs:
         return [], [], seeds
     root = list(range(len(seeds)))
@@ -302,12 +347,15 @@ def seed_subgraph(edges: DataFrame, seeds: list[str], hops: int = 5) -> tuple[li
         between += [x for x in path[1:-1] if x not in index]
         used |= {tuple(sorted(p)) for p in zip(path, path[1:], strict=False)}
     if used:
-        some = spark.createDataFrame(sorted(used), "a string, b string")
-        on = (F.least("source", "target") == F.col("a")) & (F.greatest("source", "target") == F.col("b"))
-        rows = edges.join(F.broadcast(some), on).select("a", "source", "target", "relation").collect()
+        if near is not None:
+            rows = near.edges(sorted(used))
+        else:
+            some = spark.createDataFrame(sorted(used), "a string, b string")
+            on = (F.least("source", "target") == F.col("a")) & (F.greatest("source", "target") == F.col("b"))
+            rows = [tuple(r) for r in edges.join(F.broadcast(some), on).select("a", "source", "target", "relation").collect()]
         best: dict[tuple[str, str], tuple] = {}
-        for r in sorted(rows, key=lambda r: (r["source"] != r["a"], r["source"], r["target"], r["relation"])):
-            best.setdefault(tuple(sorted((r["source"], r["target"]))), (r["source"], r["relation"], r["target"]))
+        for _, source, target, relation in sorted(rows, key=lambda r: (r[1] != r[0], r[1], r[2], r[3])):
+            best.setdefault(tuple(sorted((source, target))), (source, relation, target))
         kept = [best[u] for u in sorted(used)]
     else:
         kept = []
