@@ -87,5 +87,12 @@ def test_store_and_exports(spark, tmp_path):
     assert d3["metadata"] == {"node_count": 2, "link_count": 1, "kind_groups": {"class": 0, "function": 1}} and size["a"] == 20 > size["b"]
     assert len(ET.fromstring(export.graphml(nodes, edges))[-1]) == 3
     assert len(json.loads(export.node_link_json(nodes, edges))["links"]) == 1 and "<canvas" in export.page(json.dumps(d3))
+    odd = nodes.unionByName(spark.createDataFrame([('c"&<', "é < & > \x01", "class", None)], nodes.schema))
+    export.graphml_to(odd, edges, f"file://{tmp_path}/xml")
+    parts = sorted(p for p in (tmp_path / "xml").iterdir() if p.suffix == ".txt")
+    tree = ET.fromstring("\n".join(p.read_text() for p in parts if p.stat().st_size))
+    assert len(tree[-1]) == 4 and {n.get("id") for n in tree[-1] if n.tag.endswith("node")} == {"a", "b", 'c"&<'}
+    export.node_link(nodes, edges, f"file://{tmp_path}/json")
+    assert spark.read.json(f"file://{tmp_path}/json/links").count() == 1
     store.clean()
     assert store.load("nodes") is None

@@ -58,6 +58,7 @@ def run(argv: list[str] | None = None) -> int:
     c.add_argument("--search", default="")
     e = commands.add_parser("export")
     e.add_argument("--format", choices=["json", "graphml", "d3"], default="json")
+    e.add_argument("-o", "--output", help="folder that the executors write to (json, graphml), for large graphs")
     v = commands.add_parser("visualize")
     v.add_argument("--max-nodes", type=int, default=500)
     v.add_argument("--offline", action="store_true", help="the page never loads anything, so this is how it always is")
@@ -106,6 +107,8 @@ def run(argv: list[str] | None = None) -> int:
         found, near = engine.node(a.id)
         print(shown(found))
         print(shown(near) if near is not None else "[]")
+    elif getattr(a, "output", None):
+        engine.export_to(a.output, a.format)
     else:
         print(engine.export(a.format if a.command == "export" else "html", getattr(a, "max_nodes", 500)))
     return 0

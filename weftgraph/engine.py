@@ -245,9 +245,11 @@ class Engine:
         d3 = export.d3_json(nodes, edges, self.rank)
         return export.page(d3) if kind == "html" else d3
 
-    def export_to(self, path: str) -> None:
-        """Nodes and links as JSON lines below ``path``, written by the executors: for graphs of any size."""
-        export.node_link(self.nodes, self.weighted_edges(), path)
+    def export_to(self, path: str, kind: str = "json") -> None:
+        """Nodes and links as JSON lines, or GraphML in parts, below ``path``, written by the executors: for graphs of any size."""
+        if kind not in ("json", "graphml"):
+            raise ValueError(f"no export of {kind} to a folder")
+        (export.graphml_to if kind == "graphml" else export.node_link)(self.nodes, self.weighted_edges(), path)
 
     def doctor(self) -> dict[str, bool]:
         """Whether each table is there, and whether edges and members name known nodes."""

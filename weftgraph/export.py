@@ -63,6 +63,32 @@ def graphml(nodes: DataFrame, edges: DataFrame) -> str:
     return "\n".join([*out, "</graph>", "</graphml>"])
 
 
+def _escaped(value):
+    """A string column as XML text; characters that XML can't hold are left out."""
+    out = F.regexp_replace(value, r"[\x00-\x08\x0b\x0c\x0e-\x1f]", "")
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        out = F.replace(out, F.lit(sign), F.lit(name))
+    return out
+
+
+def graphml_to(nodes: DataFrame, edges: DataFrame, path: str) -> None:
+    """GraphML below ``path`` in parts, written by the executors: the parts in the order of their names are the document."""
+
+    def text(df: DataFrame, own: list[str], mark: str, tag: str, attributes: dict[str, str]) -> DataFrame:
+        shown = lambda c, kind: F.to_json(c) if kind.startswith(("array", "map", "struct")) else F.col(c).cast("string")
+        data = [F.coalesce(F.concat(F.lit(f'<data key="{mark}{c}">'), _escaped(shown(c, kind)), F.lit("</data>")), F.lit("")) for c, kind in df.dtypes if c not in own]
+        head = [F.concat(F.lit(f' {name}="'), _escaped(F.col(c)), F.lit('"')) for name, c in attributes.items()]
+        return df.select(F.concat(F.lit(f"<{tag}"), *head, F.lit(">"), *data, F.lit(f"</{tag}>")).alias("value"))
+
+    keys = [f'<key id="n_{c}" for="node" attr.name="{c}" attr.type="string"/>' for c in nodes.columns if c != "id"]
+    keys += [f'<key id="e_{c}" for="edge" attr.name="{c}" attr.type="string"/>' for c in edges.columns if c not in ("source", "target")]
+    head = "\n".join(['<?xml version="1.0" encoding="UTF-8"?>', '<graphml xmlns="http://graphml.graphdrawing.org/xmlns">', *keys, '<graph edgedefault="directed">'])
+    spark = nodes.sparkSession
+    ends = spark.createDataFrame([(0, head), (3, "</graph>\n</graphml>")], "k int, value string")
+    body = text(nodes, ["id"], "n_", "node", {"id": "id"}).withColumn("k", F.lit(1)).unionByName(text(edges, ["source", "target"], "e_", "edge", {"source": "source", "target": "target"}).withColumn("k", F.lit(2)))
+    ends.unionByName(body).orderBy("k", "value").select("value").write.mode("overwrite").text(path)
+
+
 def page(d3: str, title: str = "graph") -> str:
     """A page that draws a D3 document with a small force layout and no outside script."""
     return (
