@@ -416,6 +416,32 @@ def test_jaccard_join_of_one_group_in_small_units(spark, monkeypatch):
     assert got == linked(some)
 
 
+def test_jaccard_clusters_by_chance_are_parted(spark, monkeypatch):
+    rng = random.Random(7)
+    shared = [[f"s{k}x{i}" for i in range(30)] for k in range(12)]
+    some = []
+    for d in range(60):  # 50 of 110 words are in other texts too, and every text leads to the next
+        own = [f"w{d}x{i}" for i in range(60)]
+        some.append((d, " ".join(own[:30] + shared[d % 12] + own[30:] + shared[(d + 1) % 12][:20])))
+    for d in range(60, 70):  # near copies of texts inside that cluster
+        words = some[d - 60][1].split()
+        words[rng.randrange(10)] = "edited"
+        some.append((d, " ".join(words)))
+    units = []
+    dealt = jaccard._dealt
+
+    def seen(member):
+        units.extend(r["count"] for r in member.groupBy("cluster").count().collect())
+        return dealt(member)
+
+    monkeypatch.setattr(jaccard, "_dealt", seen)
+    monkeypatch.setattr(jaccard, "UNIT_TEXTS", 20, raising=False)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.join(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=str)
+    assert got == linked(some)
+    assert sum(d != c for d, _, c in got) == 10
+    assert max(units) < 20
+
+
 def test_jaccard_join_where_hashes_clash(spark, monkeypatch, rows):
     some = [(r[0], r[1]) for r in rows if r[0] is not None]
     plain = sorted(map(tuple, jaccard.keep_one(spark.createDataFrame(some, "doc_id long, text string")).collect()), key=str)

@@ -15,7 +15,8 @@ the sum of minima of two points bounds theirs, and pairs that survive are verifi
 by their sets. Pairs already connected aren't looked at again, so a group of near
 copies costs no list of all pairs.
 
-Clusters that are too large for a unit are dealt out by size: sizes grow by a link's ratio
+Large clusters are mostly chance: their texts are read again and dealt out anew by whole
+sets, rarest shingles first (``_finer``). Clusters that are still too large for a unit are dealt out by size: sizes grow by a link's ratio
 from one class to the next, so links are inside a class or between neighbours, and two classes
 make a unit. What is still too large is joined in three rounds: its chunks each for
 itself, then one text of each component found so far, then all others against the
@@ -48,6 +49,8 @@ CHUNK = 1 << 18
 HOT_SHARE = 1_000
 BLOCK_SHINGLES = 1 << 21
 UNIT_SHINGLES = 1 << 21
+# Clusters of more texts than this, or of more shingles than a unit has, are dealt out anew by their whole sets.
+UNIT_TEXTS = 1_000
 # Bits of the filter of texts that are read again: 8 MB at any size of the input.
 FILTER_BITS = 1 << 26
 LEAF = 32
@@ -206,6 +209,43 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield frequent()
 
 
+def _marked(s: np.ndarray, tid: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A set with its hot tokens last, and the salts: 0, or 1 to SALTS for hot tokens."""
+    salt = np.zeros(len(s), np.int64)
+    if len(hot):
+        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
+        if is_hot.any():
+            s = np.concatenate([s[~is_hot], s[is_hot]])
+            salt[len(s) - int(is_hot.sum()) :] = 1 + tid % SALTS
+    return s, salt
+
+
+def _token_batches(sets: Iterable[tuple[int, np.ndarray]], hot: np.ndarray, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Batches (token, tid, ns) of the prefixes of (tid, set), or of the whole sets, of CHUNK rows and one text's more."""
+    out, owners, ns = [], [], []
+    size = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "tid", "ns"])
+
+    for tid, s in sets:
+        n = len(s)
+        if not n:
+            continue
+        s, salt = _marked(s, tid, hot)
+        if not whole:
+            s, salt = s[: prefix_length(n)], salt[: prefix_length(n)]
+        out.append(s)
+        owners.append(np.full(len(s), tid, np.int64))
+        ns.append((n << SALT_BITS) + salt)
+        size += len(s)
+        if size >= CHUNK:
+            yield batch()
+            out, owners, ns, size = [], [], [], 0
+    if out:
+        yield batch()
+
+
 def _prefixes(hot: np.ndarray):
     """(token, tid, ns) for the prefix of each text, copies in one task once; ns is n and a salt, 0 or 1 to SALTS for hot tokens, in the last SALT_BITS."""
 
@@ -218,56 +258,52 @@ def _prefixes(hot: np.ndarray):
                     seen.add(tid)
                     kept.append(tid)
                     texts.append(batch.column(1)[k].as_py())
-            out, owners, ns = [], [], []
-            for k, s in shingles(texts):
-                n = len(s)
-                if not n:
-                    continue
-                salt = np.zeros(len(s), np.int64)
-                if len(hot):
-                    is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-                    if is_hot.any():
-                        s = np.concatenate([s[~is_hot], s[is_hot]])
-                        salt[len(s) - int(is_hot.sum()) :] = 1 + kept[k] % SALTS
-                s, salt = s[: prefix_length(n)], salt[: prefix_length(n)]
-                out.append(s)
-                owners.append(np.full(len(s), kept[k], np.int64))
-                ns.append((n << SALT_BITS) + salt)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(ns))], names=["token", "tid", "ns"])
+            yield from _token_batches(((kept[k], s) for k, s in shingles(texts)), hot, False)
+
+    return run
+
+
+def _wholes(hot: np.ndarray):
+    """(token, tid, ns) as of _prefixes, for the whole sets of rows tid, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingler()
+        for batch in batches:
+            tids = batch.column(0).to_pylist()
+            yield from _token_batches(((tids[k], s) for k, s in shingles(_unpacked(batch.column(1).to_pylist()))), hot, True)
 
     return run
 
 
-def _columns(batch: pa.RecordBatch, names: tuple[str, ...]) -> list[np.ndarray]:
+def _columns(batch: pa.RecordBatch, names: Iterable[str]) -> list[np.ndarray]:
     return [batch.column(n).to_numpy(zero_copy_only=False) for n in names]
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by token, salt, n and tid: each tid once, where another tid of the token has a size that a link allows; salted rows all stay.
 
-    Sizes are in order, so the nearest sizes are those of the rows before and after.
+    Sizes are in order, so the nearest sizes are those of the rows before and after. Columns after token, tid and ns stay as they are.
     """
-    names = ("token", "tid", "ns")
     held: list[np.ndarray] | None = None  # the last row: what follows decides
     near = False  # the last row's size is near enough to that of the one before
 
     def given(cols: list[np.ndarray], keep: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=list(names))
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names=names)
 
     for batch in batches:
         if not batch.num_rows:
             continue
+        names = batch.schema.names
         cols = _columns(batch, names)
         if held is not None:
             cols = [np.concatenate([h, c]) for h, c in zip(held, cols, strict=True)]
-        token, tid, ns = cols
+        token, tid, ns = cols[:3]
         salt = ns & ((1 << SALT_BITS) - 1)
         same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         fresh = np.concatenate([[True], ~(same & (tid[1:] == tid[:-1]))])
         if not fresh.all():
             cols, salt = [c[fresh] for c in cols], salt[fresh]
-            token, tid, ns = cols
+            token, tid, ns = cols[:3]
             same = (token[1:] == token[:-1]) & (salt[1:] == salt[:-1])
         n = ns >> SALT_BITS
         close = same & (100 * n[:-1] >= PERCENT * n[1:])
@@ -543,6 +579,35 @@ def _clusters(tokens: DataFrame) -> DataFrame:
     return Staged(member, "jaccard-clusters").df
 
 
+def _finer(member: DataFrame, texts: DataFrame, hot: np.ndarray) -> DataFrame:
+    """Rows tid, n, cluster with large clusters dealt out anew by the whole sets of their texts: every link stays inside one cluster.
+
+    ``texts``: rows tid, packed. Clusters grow with the table by chance: prefixes that repeat
+    in part connect texts of which most occurs nowhere else. A set of n shingles has
+    at least PERCENT of n in common with any linked one, so a text with fewer repeated
+    shingles leaves. Of the c repeated shingles of a text that stays the rarest
+    c - ceil(PERCENT n) + k make the new prefix, which shares k with that of any linked text.
+    """
+    total = member.groupBy("cluster").agg(F.sum("n").alias("all"), F.count("*").alias("texts"))
+    large = Staged(total.filter((F.col("all") > UNIT_SHINGLES) | (F.col("texts") > UNIT_TEXTS)).select("cluster"), "jaccard-large").df
+    if large.isEmpty():
+        return member
+    # one name for more than UNIT_TEXTS texts or UNIT_SHINGLES shingles
+    chosen = Staged(member.join(F.broadcast(large), "cluster", "left_semi").select("tid"), "jaccard-chosen").df
+    salt, n = F.expr(f"ns & {(1 << SALT_BITS) - 1}"), F.shiftright("ns", SALT_BITS)
+    tokens = texts.join(chosen.hint("merge"), "tid", "left_semi").select("tid", "packed").mapInArrow(_wholes(hot), TOKENS)
+    runs = tokens.repartition("token", salt).sortWithinPartitions("token", salt, "ns", "tid")
+    # one order for all texts: by the number of rows of a shingle, hot ones last
+    runs = runs.withColumn("rows", F.when(salt > 0, F.lit(1 << 62)).otherwise(F.count("*").over(Window.partitionBy("token", salt))))
+    of_text = Window.partitionBy("tid")
+    runs = runs.mapInArrow(_repeated, TOKENS + ", rows bigint")
+    runs = runs.withColumn("c", F.count("*").over(of_text)).withColumn("place", F.row_number().over(of_text.orderBy("rows", "token")))
+    common = F.ceil(n * PERCENT / 100)  # with any linked partner
+    prefix = runs.filter((F.col("c") >= common) & (F.col("place") <= F.col("c") - common + shared(n))).select("token", "tid", "ns")
+    rest = member.join(F.broadcast(large), "cluster", "left_anti").select("tid", "n", "cluster")
+    return rest.unionByName(_clusters(prefix))
+
+
 def _dealt(member: DataFrame) -> DataFrame:
     """tid, cluster, part, chunks from rows tid, n, cluster: the units that a text is in, and in how many chunks a unit is too large.
 
@@ -642,12 +707,14 @@ def links(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     # bounded: the sum of all set sizes divided by least
     hot = np.sort(np.array([r[0] for r in frequent.filter(F.col("docs") >= least).select("token").collect()], np.int64).view(_U))
 
-    member = _dealt(_clusters(base.select("tid", "body").mapInArrow(_prefixes(hot), TOKENS)))
+    member = _clusters(base.select("tid", "body").mapInArrow(_prefixes(hot), TOKENS))
     # of the copies of a text one is read again
     copy = rows.groupBy("tid").agg(F.min("doc_id").alias("doc")).fillna(-1, ["doc"])
-    member = Staged(member.join(copy.hint("merge"), "tid"), "jaccard-members").df
-    some = _maybe(base, member).select("doc", "tid", "body").mapInArrow(_packed, "doc bigint, tid bigint, packed binary")
-    some = some.join(member.hint("merge"), ["tid", "doc"]).select("tid", "packed", "cluster", "part", "chunks")
+    wanted = Staged(member.select("tid").join(copy.hint("merge"), "tid"), "jaccard-wanted").df
+    texts = _maybe(base, wanted).select("doc", "tid", "body").mapInArrow(_packed, "doc bigint, tid bigint, packed binary")
+    texts = Staged(texts.join(wanted.hint("merge"), ["tid", "doc"]).select("tid", "packed"), "jaccard-texts").df
+    member = Staged(_dealt(_finer(member, texts, hot)), "jaccard-members").df
+    some = texts.join(member.hint("merge"), "tid").select("tid", "packed", "cluster", "part", "chunks")
     forest = _joined(some.filter("chunks = 1").withColumn("i", F.col("part")).withColumn("j", F.lit(0)), "packed")
     if not member.filter("chunks > 1").isEmpty():
         large = some.filter("chunks > 1").withColumn("cluster", F.xxhash64("cluster", "part")).select("tid", "packed", "cluster", "chunks")
