@@ -189,3 +189,31 @@ def test_watch_brings_the_store_up_to_date(spark, tmp_path):
     finally:
         query.stop()
     assert {"a", "f"} <= labels
+
+
+def test_betweenness_of_nodes_alike(spark):
+    """Classes of nodes with the same arcs count as one, pivots inside a class too; against the joins, which know no classes."""
+    edges = [(f"h{k}", f"{c}{j}") for k in range(4) for j in range(30) for c in "ab" if (k + (c == "b")) % 2] + [(f"a{j}", f"t{j % 3}") for j in range(30)]
+    edges += [(f"t{k}", f"h{k}") for k in range(3)] + [("h0", "h1"), ("h3", "h3"), ("h3", "gone"), ("h2", "a1"), ("h2", "a1")]
+    df = spark.createDataFrame([(*e, "calls") for e in edges], "source string, target string, relation string")
+    nodes = spark.createDataFrame([(x,) for x in sorted({y for e in edges for y in e} - {"gone"}) + ["alone", "lone", "h1"]], "id string")
+    for pivots in (None, 50):
+        plain = {r.id: round(r.betweenness, 9) for r in analytics.joined_betweenness(nodes, df, pivots).collect()}
+        assert {r.id: round(r.betweenness, 9) for r in analytics.betweenness(nodes, df, pivots).collect()} == plain
+        assert max(plain.values()) > 0
+
+
+def test_passes_of_betweenness_do_not_grow_with_nodes_alike(spark, monkeypatch, tmp_path):
+    kernel, log = analytics._brandes, tmp_path / "passes"
+
+    def counted(pivots, *rest):
+        with log.open("a") as f:
+            f.write("x" * len(pivots))
+        return kernel(pivots, *rest)
+
+    monkeypatch.setattr(analytics, "_brandes", counted)
+    edges = spark.range(600).selectExpr("concat('h', id % 3) as source", "concat('s', id) as target").union(spark.range(600).selectExpr("concat('s', id)", "concat('h', (id + 1) % 3)"))
+    nodes = edges.select("source").distinct().withColumnRenamed("source", "id")
+    got = {r.id: r.betweenness for r in analytics.betweenness(nodes, edges, None).collect()}
+    assert len(got) == 603 and len({round(v, 12) for v in got.values()}) == 2
+    assert len(log.read_text()) == 6  # of 603 pivots

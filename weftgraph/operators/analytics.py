@@ -137,34 +137,60 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def _brandes(sources: list[int], start: np.ndarray, targets: np.ndarray, n: int) -> np.ndarray:
-    score = np.zeros(n)
-    for s in sources:
-        sigma, dist = np.zeros(n), np.full(n, -1)
-        sigma[s], dist[s] = 1.0, 0
-        levels = [np.array([s])]
+def _brandes(pivots: list[tuple[int, int]], start: np.ndarray, targets: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of classes of ``size`` nodes alike: what one of a class's nodes gets from the pivots (class, how many) of other classes, and from one of its own class."""
+    n = len(size)
+    score, own = np.zeros(n), np.zeros(n)
+    for s, times in pivots:
+        # the pivot is node n; the others of its class stay class s
+        many = np.append(size, 1.0)
+        many[s] -= 1
+        sigma, dist = np.zeros(n + 1), np.full(n + 1, -1)
+        sigma[n], dist[n] = 1.0, 0
+        if size[s] == 1:
+            dist[s] = 0
+        levels = [np.array([n])]
+
+        def arcs(front: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at = np.where(front == n, s, front)  # noqa: B023
+            count = start[at + 1] - start[at]
+            head = targets[np.repeat(start[at] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            return np.repeat(front, count), head
+
         while len(levels[-1]):
-            front = levels[-1]
-            count = start[front + 1] - start[front]
-            tail = np.repeat(front, count)
-            head = targets[np.repeat(start[front] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            tail, head = arcs(levels[-1])
             fresh = np.unique(head[dist[head] < 0])
-            dist[fresh] = dist[s] + len(levels)
+            dist[fresh] = len(levels)
             on = dist[head] == len(levels)
-            np.add.at(sigma, head[on], sigma[tail[on]])
+            np.add.at(sigma, head[on], sigma[tail[on]] * many[tail[on]])
             levels.append(fresh)
-        delta = np.zeros(n)
+        delta = np.zeros(n + 1)
         for front in levels[::-1]:
             if not len(front):
                 continue
-            count = start[front + 1] - start[front]
-            tail = np.repeat(front, count)
-            head = targets[np.repeat(start[front] - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())]
+            tail, head = arcs(front)
             on = dist[head] == dist[tail] + 1
-            np.add.at(delta, tail[on], sigma[tail[on]] / sigma[head[on]] * (1 + delta[head[on]]))
+            np.add.at(delta, tail[on], sigma[tail[on]] / sigma[head[on]] * many[head[on]] * (1 + delta[head[on]]))
+        own[s] = delta[s]
         delta[s] = 0
-        score += delta
-    return score
+        score += times * delta[:n]
+    return score, own
+
+
+def _alike(ids: DataFrame, arcs: DataFrame) -> DataFrame:
+    """id, like: the smallest node with the same arcs in and the same arcs out, by two 64-bit hashes of each set.
+
+    ``arcs`` are distinct, without loops and between nodes of ``ids``, so nodes alike have no arc among them.
+    """
+
+    def side(end: str, other: str, k: str) -> DataFrame:
+        hashes = [F.bit_xor(F.xxhash64(F.lit(seed), other)).alias(f"{k}{seed}") for seed in (1, 2)]
+        return arcs.groupBy(F.col(end).alias("id")).agg(F.count("*").alias(f"{k}0"), *hashes)
+
+    signs = [f"{k}{j}" for k in "oi" for j in range(3)]
+    signed = ids.join(side("source", "target", "o").hint("merge"), "id", "left").join(side("target", "source", "i").hint("merge"), "id", "left").fillna(0, signs)
+    signed = Staged(signed, "between-signs").df
+    return signed.join(signed.groupBy(*signs).agg(F.min("id").alias("like")).hint("merge"), signs).select("id", "like")
 
 
 def _pivots(nodes: DataFrame, pivots: int | None, seed: int) -> DataFrame:
@@ -175,39 +201,55 @@ def _pivots(nodes: DataFrame, pivots: int | None, seed: int) -> DataFrame:
 def betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, most_edges: int = 5_000_000, seed: int = 0) -> DataFrame:
     """id, betweenness (normalised, directed) from at most ``pivots`` source nodes, chosen by a hash; exact if there are no more nodes, or with None.
 
-    Graphs of up to ``most_edges`` edges, and as many nodes, are sent to the tasks in compressed form, and
-    pivots are spread over tasks, each with its own breadth-first passes. Larger graphs
+    Nodes with the same arcs in and out have the same paths but for their own ends,
+    so each class of them is one node that counts as many times (:func:`_alike`), and one pass
+    stands for all its pivots. If no more than ``most_edges`` arcs and classes are left, they
+    are sent to the tasks in compressed form, and pivots are spread over tasks, each with
+    its own breadth-first passes. Larger graphs
     are never gathered: :func:`joined_betweenness` takes all pivots along in joins.
     """
     spark = nodes.sparkSession
-    pairs = edges.select("source", "target").distinct()
-    if pairs.limit(most_edges + 1).count() > most_edges or nodes.limit(most_edges + 1).count() > most_edges:
-        return joined_betweenness(nodes, edges, pivots, seed)
-    ids = np.array(sorted(r[0] for r in nodes.select("id").distinct().toLocalIterator()), object)
-    n = len(ids)
+    ids = Staged(nodes.select("id").distinct(), "between-ids").df
+    n = ids.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("betweenness"))
-    place = {x: k for k, x in enumerate(ids)}
-    pairs = np.array([(place[a], place[b]) for a, b in pairs.toLocalIterator() if a in place and b in place], np.int64).reshape(-1, 2)
+    known = ids.withColumnRenamed("id", "source").hint("merge"), ids.withColumnRenamed("id", "target").hint("merge")
+    arcs = edges.select("source", "target").filter("source <> target").distinct().join(known[0], "source", "left_semi").join(known[1], "target", "left_semi")
+    arcs = Staged(arcs.select("source", "target"), "between-arcs").df
+    like = Staged(_alike(ids, arcs), "between-like").df
+    if pivots is None:
+        like = like.withColumn("is_pivot", F.lit(1))
+    else:
+        like = like.join(_pivots(ids, pivots, seed).withColumn("is_pivot", F.lit(1)).hint("merge"), "id", "left").fillna(0, ["is_pivot"])
+    classes = Staged(like.groupBy("like").agg(F.count("*").alias("size"), F.sum("is_pivot").alias("pivots")), "between-classes").df
+    ends = classes.select(F.col("like").alias("source")).hint("merge"), classes.select(F.col("like").alias("target")).hint("merge")
+    pairs = Staged(arcs.join(ends[0], "source", "left_semi").join(ends[1], "target", "left_semi").select("source", "target"), "between-pairs").df
+    if pairs.count() > most_edges or classes.count() > most_edges:
+        return joined_betweenness(nodes, edges, pivots, seed)
+    rows = sorted(tuple(r) for r in classes.toLocalIterator())
+    names = np.array([r[0] for r in rows], object)
+    size, times = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], np.int64)
+    place = {x: k for k, x in enumerate(names)}
+    pairs = np.array([(place[a], place[b]) for a, b in pairs.toLocalIterator()], np.int64).reshape(-1, 2)
     pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
-    start = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=n))])
-    chosen = np.array(sorted(place[r[0]] for r in _pivots(nodes, pivots, seed).collect()), np.int64)  # no more than there are nodes
-    k = len(chosen)
-    chosen = chosen[start[chosen + 1] > start[chosen]]  # no path begins at the others
-    shared = spark.sparkContext.broadcast((start, pairs[:, 1]))
+    start = np.concatenate([[0], np.cumsum(np.bincount(pairs[:, 0], minlength=len(names)))])
+    chosen = np.flatnonzero((times > 0) & (start[1:] > start[:-1]))  # no path begins at the others
+    k = int(times.sum())
+    shared = spark.sparkContext.broadcast((start, pairs[:, 1], size, names))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads, targets = shared.value
+        heads, targets, size, names = shared.value
         for batch in batches:
-            score = _brandes(batch["pivot"].tolist(), heads, targets, n)
-            at = np.flatnonzero(score)
-            yield pd.DataFrame({"at": at, "part": score[at]})
-
-    work = spark.createDataFrame([(int(x),) for x in chosen], "pivot long").repartition(max(1, min(k, spark.sparkContext.defaultParallelism)))
-    sums = work.mapInPandas(run, "at long, part double").groupBy("at").agg(F.sum("part").alias("part"))
-    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    names = spark.createDataFrame([(k, x) for k, x in enumerate(ids)], "at long, id string")
-    return names.join(sums, "at", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
+            score, own = _brandes(list(zip(batch["pivot"], batch["times"], strict=True)), heads, targets, size)
+            at = np.flatnonzero((score > 0) | (own > 0))
+            yield pd.DataFrame({"like": names[at], "part": score[at], "own": own[at]})
+
+    work = spark.createDataFrame([(int(x), int(times[x])) for x in chosen], "pivot long, times long").repartition(max(1, min(len(chosen), spark.sparkContext.defaultParallelism)))
+    sums = work.mapInPandas(run, f"like {dict(classes.dtypes)['like']}, part double, own double").groupBy("like").agg(F.sum("part").alias("part"), F.sum("own").alias("own"))
+    sums = classes.join(sums.hint("merge"), "like", "left").select("like", "pivots", F.coalesce("part", F.lit(0.0)).alias("part"), F.coalesce("own", F.lit(0.0)).alias("own"))
+    scale = (n / k) / ((n - 1) * (n - 2)) if n > 2 and k else 1.0
+    got = F.col("part") + F.col("own") * (F.col("pivots") - F.col("is_pivot"))  # no pivot is between itself and others
+    return like.join(sums.hint("merge"), "like").select("id", (got * scale).alias("betweenness"))
 
 
 def joined_betweenness(nodes: DataFrame, edges: DataFrame, pivots: int | None = 100, seed: int = 0) -> DataFrame:
