@@ -820,3 +820,27 @@ def test_pseudonyms_of_single_letters_never_stay(spark):
     letters = [f"{c}@x.org" for c in "abcdefghijklmnopqrstuvwxyz"]
     out = pii.pseudonymise(spark.createDataFrame(list(enumerate(letters)), "doc_id long, text string"), "key").select("text").distinct()
     assert out.count() == 26
+
+
+def test_sharding_totals_of_texts_with_one_checksum(spark, tmp_path):
+    """Two different texts of one size and CRC-32 in two shards aren't equal texts apart."""
+    import hashlib
+    import random
+    import zlib
+
+    from weftgraph.llm import queries
+
+    rng, seen, pairs = random.Random(1), {}, []
+    for _ in range(400_000):
+        t = "".join(rng.choices("abcdefghijklmnop", k=12))
+        if (other := seen.setdefault(zlib.crc32(t.encode()), t)) != t:
+            pairs.append((other, t))
+    place = lambda t: int(hashlib.sha256(t.encode()).hexdigest()[:8], 16)
+    texts = [x for p in sorted(pairs, key=lambda p: -abs(place(p[0]) - place(p[1])))[:2] for x in p]
+    texts += [f"text {k}" for k in range(100)] + texts[:1] + [None, ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = queries.op3_sharding(spark, f"file://{tmp_path}")
+    shards = {r.doc_id: r.shard for r in rows.collect()}
+    assert shards[0] != shards[1] and shards[0] == shards[104] and "text_key" not in rows.columns
+    got = queries.sharding_totals(spark, f"file://{tmp_path}").first()
+    assert tuple(got) == (len(texts), sum(len(t or "") + 8 for t in texts), 24, True, True, True)

@@ -54,9 +54,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sharding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of op3_sharding what must hold whatever the cuts: rows, bytes, shards, gapless slots, equal texts together, no shard beyond its share by more than the largest group."""
     docs = _table(spark, sf_dir, "documents")
-    rows = Staged(sharding.shard(docs, shards=24), "sharding-rows").df
+    rows = Staged(sharding.shard(docs, shards=24, keys=True), "sharding-rows").df
     each = rows.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last"), F.sum("size").alias("bytes"))
-    group = rows.groupBy("text_crc32", "size").agg(F.sum("size").alias("bytes"), F.countDistinct("shard").alias("shards"))
+    # different texts of one size may have one checksum: among many documents some do
+    group = rows.groupBy("text_key", "text_crc32", "size").agg(F.sum("size").alias("bytes"), F.countDistinct("shard").alias("shards"))
     text = F.coalesce("text", F.lit(""))
     largest = docs.groupBy(F.sha2(text, 256).alias("h")).agg(F.sum(F.octet_length(text) + 8).alias("g")).agg(F.max("g").alias("largest"))
     totals = each.agg(F.sum("n").alias("n_rows"), F.sum("bytes").alias("bytes"), F.count("*").alias("shards"), F.min((F.col("slots") == F.col("n")) & (F.col("last") == F.col("n") - 1)).alias("gapless"), F.max("bytes").alias("most"))

@@ -117,14 +117,14 @@ def cut_keys(capacity: int, ranges: Ranges, shards: int) -> list[int]:
     return keys
 
 
-def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", keys: bool = False) -> DataFrame:
     """Put every row into one of ``shards`` shards under the law ``bytes`` (sizes near equal).
 
     Size is the UTF-8 length of the text (null: none) plus 8. Equal texts share a
     shard; null and empty texts are equal. Slots count from 0 in each shard
     without gaps, repeated rows and null ids included. An empty table gives an
     empty result; other columns don't matter and are left out. ``grown_shard`` is
-    null under this law.
+    null under this law. With ``keys`` text_key, the key of the row's text, follows.
     """
     body = text_or_empty(docs, text)
     rows = docs.select(
@@ -156,4 +156,5 @@ def shard(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str =
         "shard",
         (F.col("start") + F.row_number().over(within) - 1).cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
+        *([F.col("key").alias("text_key")] if keys else []),
     )
