@@ -217,3 +217,19 @@ def test_passes_of_betweenness_do_not_grow_with_nodes_alike(spark, monkeypatch,
     got = {r.id: r.betweenness for r in analytics.betweenness(nodes, edges, None).collect()}
     assert len(got) == 603 and len({round(v, 12) for v in got.values()}) == 2
     assert len(log.read_text()) == 6  # of 603 pivots
+
+
+def test_postings_are_made_without_a_shuffle(spark, tmp_path):
+    texts = ["b a b c", None, "", "--", "a", "c c c a"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").repartition(2)
+    index = retrieval.postings(df)
+    plan = index._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == df._jdf.queryExecution().executedPlan().toString().count("Exchange")
+    got = sorted((r.id, r.term, r.field, r.places, r["size"], r.docs, r.mean) for r in index.collect())
+    mean = 9 / 6
+    assert got == [(0, "a", 0, [1], 4, 6, mean), (0, "b", 0, [0, 2], 4, 6, mean), (0, "c", 0, [3], 4, 6, mean), (4, "a", 0, [0], 1, 6, mean), (5, "a", 0, [3], 4, 6, mean), (5, "c", 0, [0, 1, 2], 4, 6, mean)]
+    index.write.parquet(f"file://{tmp_path}/index")
+    for part in tmp_path.glob("index/*.parquet"):
+        terms = [r.term for r in spark.read.parquet(f"file://{part}").collect()]
+        assert terms == sorted(terms)
+    assert retrieval.postings(df.limit(0)).count() == 0

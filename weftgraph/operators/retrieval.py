@@ -67,17 +67,26 @@ def postings(docs: DataFrame, id_: str = "id", columns: list[str] = ("text",), s
     """term, id, field (number of the column), places, size (tokens of all columns of the document), docs and mean (of the whole table): the index that :func:`bm25_indexed` reads.
 
     Built once for a table; sorted by term in each file, so a search reads the
-    row groups of its terms only.
+    pages of its terms only. A document's postings are made where it is read and each task
+    writes a file of its own, so nothing is shuffled; the totals are one row.
     """
     words = docs.select(F.col(id_).alias("id"), *[tokens(F.col(c)).alias(f"w{k}") for k, c in enumerate(columns)])
     if stem:
         words = words.select("id", *[stemmed(F.col(f"w{k}")).alias(f"w{k}") for k in range(len(columns))])
     size = sum((F.size(f"w{k}") for k in range(1, len(columns))), F.size("w0"))
-    total = words.agg(F.count("*").alias("docs"), F.avg(size).alias("mean"))
+    total = words.agg(F.count("*").alias("docs"), F.avg(size).alias("mean")).first()
     fields = F.array(*[F.struct(F.lit(k).alias("field"), F.col(f"w{k}").alias("words")) for k in range(len(columns))])
-    each = words.select("id", size.alias("size"), F.explode(fields).alias("f")).select("id", "size", "f.field", F.posexplode("f.words").alias("place", "term"))
-    found = each.groupBy("term", "id", "field", "size").agg(F.sort_array(F.collect_list("place")).alias("places"))
-    return found.crossJoin(F.broadcast(total)).repartition("term").sortWithinPartitions("term", "id")  # total is one row
+    each = words.select("id", size.alias("size"), F.explode(fields).alias("f")).select("id", "size", "f.field", F.explode(_by_term(F.col("f.words"))).alias("p"))
+    found = each.select("p.term", "id", "field", "size", "p.places").sortWithinPartitions("term", "id")
+    return found.select("term", "id", "field", "size", "places", F.lit(total["docs"]).cast("bigint").alias("docs"), F.lit(total["mean"]).cast("double").alias("mean"))
+
+
+def _by_term(words):
+    """(term, places) of each different term of an array of tokens."""
+    in_order = F.sort_array(F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("place"))))
+    first = lambda s: F.filter(F.transform(s, lambda x, i: i), lambda i: (i == 0) | (F.get(s, i - 1)["term"] != F.get(s, i)["term"]))
+    places = lambda s, at, p, k: F.transform(F.slice(s, p + 1, F.coalesce(F.get(at, k + 1), F.size(s)) - p), lambda x: x["place"])
+    return _let(in_order, lambda s: _let(first(s), lambda at: F.transform(at, lambda p, k: F.struct(F.get(s, p)["term"].alias("term"), places(s, at, p, k).alias("places")))))
 
 
 def bm25_indexed(index: DataFrame, terms: list[str], top: int = 20, stem: bool = False) -> DataFrame:
