@@ -42,8 +42,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Each round hangs every node's larger neighbours on its smallest one, then
     every node on its smallest smaller neighbour, until nothing moves. Both steps
     are a grouped minimum and an equi-join, so a node with very many neighbours is
-    summed up before the shuffle and its join can be split. Graphs of up to SMALL
-    edges are joined in one task. Self-loops and null
+    summed up before the shuffle and its join can be split; neither side is broadcast,
+    as a staged table of few different values is a small file of many rows. Graphs of up to SMALL
+    edges are joined in one task; of larger ones each task first joins a range of the edges
+    into stars, which connect the same nodes, so a long path is short before the rounds begin. Self-loops and null
     ends are left out; repeated edges do no harm.
     """
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct()
@@ -51,15 +53,19 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if state.df.limit(SMALL + 1).count() <= SMALL:
         kind = dict(state.df.dtypes)["u"]
         return Staged(state.df.coalesce(1).mapInPandas(_joined, f"node {kind}, component {kind}"), "components").df
-    mark = None
+    ranges = state.df.count() // max(1, SMALL // 4) + 1
+    kind = dict(state.df.dtypes)["u"]
+    stars = Staged(state.df.repartitionByRange(ranges, "v", "u").mapInPandas(_joined, f"node {kind}, component {kind}").toDF("u", "v"), "components")
+    state.drop()
+    state, mark = stars, None
     while True:  # the rounds grow with the logarithm of the longest path
         both = state.df.unionByName(state.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = Staged(large, "components")
         state.drop()
         low = large.df.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.df.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        moved = large.df.join(low.hint("merge"), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = Staged(low.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "components")
         large.drop()
         state = small
