@@ -2,6 +2,9 @@
 
 import contextlib
 
+import pytest
+
+from weftgraph.operators import cochange
 from weftgraph.operators import components as connected
 
 
@@ -35,3 +38,12 @@ def test_rounds_of_components_do_not_grow_with_a_path(spark, monkeypatch):
     with plans_of(spark) as plans:
         assert connected.components(edges).count() == 20_000
     assert len(plans) < 30  # each round has three
+
+
+@pytest.mark.parametrize("cycle", [False, True])
+def test_renames(spark, cycle):
+    rows = [(k, f"p{k}", f"p{k + 1}") for k in range(300)] + ([(300, "p300", "p280")] if cycle else [])
+    df = spark.createDataFrame(rows, "seq long, old string, new string").repartition(3)
+    with plans_of(spark) as plans:
+        got = {r.old: r.new for r in cochange.resolve_renames(df).collect()}
+    assert len(got) == len(rows) and plans and not broadcasts(plans)

@@ -15,13 +15,14 @@ def _followed(step: DataFrame) -> DataFrame:
     """old, new: the end of each path's chain; of one that runs into a cycle, a path on the cycle.
 
     Pointer jumping: each round doubles the length of the chain that is followed,
-    until nothing moves or the length reaches the number of rows.
+    until nothing moves or the length reaches the number of rows. The staged rows are
+    a small file, so the join is told not to broadcast them.
     """
     at, hops = step, 1
     rows = step.count()
     while hops < rows:
         then = at.select(F.col("old").alias("via"), F.col("new").alias("next"))
-        jumped = at.join(then, at["new"] == then["via"], "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
+        jumped = at.join(then.hint("merge"), at["new"] == then["via"], "left").select("old", F.coalesce("next", "new").alias("new"), F.col("next").isNotNull().alias("moved"))
         jumped = Staged(jumped, "renames").df
         at, hops = jumped.drop("moved"), 2 * hops
         if not jumped.filter("moved").head(1):
@@ -36,13 +37,13 @@ def resolve_renames(renames: DataFrame) -> DataFrame:
     """
     last = Staged(renames.groupBy("old").agg(F.max_by("new", "seq").alias("new")).filter("old <> new"), "renames").df
     at = _followed(last)
-    cycle = at.join(last.select(F.col("old").alias("on")), F.col("new") == F.col("on"), "left_semi").select(F.col("new").alias("on")).distinct()
+    cycle = at.join(last.select(F.col("old").alias("on")).hint("merge"), F.col("new") == F.col("on"), "left_semi").select(F.col("new").alias("on")).distinct()
     cycle = Staged(cycle, "renames").df
     if not cycle.head(1):
         return at
-    ends = _followed(last.join(cycle, last["old"] == cycle["on"], "left_anti"))
-    before = last.join(cycle, last["old"] == cycle["on"], "left_semi").select(F.col("new").alias("node"), F.col("old").alias("end"))
-    tails = ends.join(before, ends["new"] == before["node"], "left").select("old", F.coalesce("end", "new").alias("new"))
+    ends = _followed(last.join(cycle.hint("merge"), last["old"] == cycle["on"], "left_anti"))
+    before = last.join(cycle.hint("merge"), last["old"] == cycle["on"], "left_semi").select(F.col("new").alias("node"), F.col("old").alias("end"))
+    tails = ends.join(before.hint("merge"), ends["new"] == before["node"], "left").select("old", F.coalesce("end", "new").alias("new"))
     return tails.unionByName(before.select(F.col("node").alias("old"), F.col("end").alias("new")))
 
 
