@@ -4,7 +4,8 @@ import contextlib
 
 import pytest
 
-from weftgraph.operators import cochange
+from weftgraph import export
+from weftgraph.operators import analytics, cochange
 from weftgraph.operators import components as connected
 
 
@@ -47,3 +48,27 @@ def test_renames(spark, cycle):
     with plans_of(spark) as plans:
         got = {r.old: r.new for r in cochange.resolve_renames(df).collect()}
     assert len(got) == len(rows) and plans and not broadcasts(plans)
+
+
+def _ring(spark):
+    nodes = spark.createDataFrame([(f"n{k}", f"l{k}", "function") for k in range(40)], "id string, label string, kind string")
+    edges = spark.createDataFrame([(f"n{k}", f"n{(k * 3 + 1) % 40}", "calls", "EXTRACTED") for k in range(40)], "source string, target string, relation string, confidence string")
+    return nodes, edges
+
+
+@pytest.mark.parametrize(
+    "query",
+    [
+        lambda n, e: analytics.pagerank(n, e, exactly=2),
+        lambda n, e: analytics.god_nodes(analytics.degrees(n, e), analytics.pagerank(n, e, exactly=2), 3),
+        lambda n, e: export.d3_nodes(n, analytics.pagerank(n, e, exactly=2)),
+        analytics.component_labels,
+        analytics.quality,
+    ],
+    ids=["pagerank", "god_nodes", "d3_nodes", "component_labels", "quality"],
+)
+def test_graph_queries(spark, query):
+    nodes, edges = _ring(spark)
+    with plans_of(spark) as plans:
+        assert query(nodes, edges).count() in (1, 3, 40)
+    assert plans and not broadcasts(plans)

@@ -84,7 +84,7 @@ def hubs(nodes: DataFrame, edges: DataFrame, percentile: float = 0.97, least: fl
 def component_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id, component (smallest id) of every node."""
     found = components(edges, "source", "target")
-    return nodes.select("id").join(found, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.select("id").join(found.hint("merge"), F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def triangles(edges: DataFrame) -> DataFrame:
