@@ -23,7 +23,7 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ends = edges.select(F.col("source").alias("id"), F.lit(0).alias("i"), F.lit(1).alias("o")).unionByName(edges.select(F.col("target").alias("id"), F.lit(1).alias("i"), F.lit(0).alias("o")))
     sums = ends.groupBy("id").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-    return nodes.select("id").join(sums, "id", "left").select("id", zero("in_degree"), zero("out_degree")).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
+    return nodes.select("id").join(sums.hint("merge"), "id", "left").select("id", zero("in_degree"), zero("out_degree")).withColumn("degree", F.col("in_degree") + F.col("out_degree"))
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, tolerance: float = 1e-6, most: int = 200, weight: str | None = None, personalization: DataFrame | None = None, exactly: int | None = None) -> DataFrame:
