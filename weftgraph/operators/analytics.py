@@ -70,7 +70,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
 
 def god_nodes(degree: DataFrame, rank: DataFrame, top: int = 10) -> DataFrame:
     """id, degree, pagerank (6 digits) of the nodes with the largest degree times PageRank, ties by id."""
-    scored = degree.join(rank, "id").withColumn("score", F.col("degree") * F.col("pagerank"))
+    scored = degree.join(rank.hint("merge"), "id").withColumn("score", F.col("degree") * F.col("pagerank"))
     return scored.orderBy(F.desc("score"), "id").limit(top).select("id", "degree", F.round("pagerank", 6).alias("pagerank"))
 
 
