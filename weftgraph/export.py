@@ -15,7 +15,7 @@ def d3_nodes(nodes: DataFrame, rank: DataFrame) -> DataFrame:
     kind = F.coalesce("kind", F.lit("unknown"))
     kinds = nodes.select(kind.alias("kind")).distinct().agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
     most = rank.agg(F.max("pagerank").alias("most"))
-    rows = nodes.withColumn("kind", kind).join(rank, "id", "left").crossJoin(F.broadcast(kinds)).crossJoin(F.broadcast(most))  # one row each
+    rows = nodes.withColumn("kind", kind).join(rank.hint("merge"), "id", "left").crossJoin(F.broadcast(kinds)).crossJoin(F.broadcast(most))  # one row each
     size = F.when(F.col("most") > 0, 4 + 16 * F.coalesce("pagerank", F.lit(0.0)) / F.col("most")).otherwise(4.0)
     return rows.select("id", F.coalesce("label", "id").alias("label"), "kind", (F.array_position("kinds", F.col("kind")) - 1).alias("group"), F.round(size, 6).alias("size"))
 
