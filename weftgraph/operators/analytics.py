@@ -33,7 +33,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
     ``personalization`` (id, bias). Iteration stops when the L1 change is below
     ``tolerance`` times the number of nodes, or after ``exactly`` rounds; if it
     doesn't converge in ``most`` rounds every node gets 1/N. Edges are partitioned
-    by source once; each round is a join, a grouped sum, a staged table and one row of its sums.
+    by source once; each round is a join, a grouped sum, a staged table and one row of its sums. No table
+    that grows with the graph is broadcast.
     """
     ids = nodes.select("id").distinct()
     n = ids.count()
@@ -41,18 +42,18 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, toleranc
         return ids.select("id", F.lit(0.0).alias("pagerank"))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     out = edges.groupBy("source").agg(F.sum(w).alias("total"))
-    steps = Staged(edges.join(out, "source").filter("total > 0").select("source", "target", (w / F.col("total")).alias("share")).groupBy("source", "target").agg(F.sum("share").alias("share")), "pagerank-steps").df
-    base = ids.join(steps.select(F.col("source").alias("id")).distinct().withColumn("leads", F.lit(True)), "id", "left")
+    steps = Staged(edges.join(out.hint("merge"), "source").filter("total > 0").select("source", "target", (w / F.col("total")).alias("share")).groupBy("source", "target").agg(F.sum("share").alias("share")), "pagerank-steps").df
+    base = ids.join(steps.select(F.col("source").alias("id")).distinct().withColumn("leads", F.lit(True)).hint("merge"), "id", "left")
     if personalization is None:
         base = base.withColumn("teleport", F.lit(1.0 / n))
     else:
         total = personalization.agg(F.sum("bias")).first()[0]
-        base = base.join(personalization.groupBy("id").agg((F.sum("bias") / total).alias("teleport")), "id", "left").fillna(0.0, ["teleport"])
+        base = base.join(personalization.groupBy("id").agg((F.sum("bias") / total).alias("teleport")).hint("merge"), "id", "left").fillna(0.0, ["teleport"])
     rank = Staged(base.select("id", "teleport", F.coalesce("leads", F.lit(False)).alias("leads"), F.lit(1.0 / n).alias("pagerank")), "pagerank")
     dangling = rank.df.filter("not leads").agg(F.sum("pagerank")).first()[0] or 0.0
     rounds = most if exactly is None else exactly
     for _ in range(rounds):
-        flow = rank.df.select(F.col("id").alias("source"), "pagerank").join(steps, "source").select(F.col("target").alias("id"), (F.col("pagerank") * F.col("share")).alias("flow"))
+        flow = rank.df.filter("leads").select(F.col("id").alias("source"), "pagerank").join(steps.hint("merge"), "source").select(F.col("target").alias("id"), (F.col("pagerank") * F.col("share")).alias("flow"))
         # a node's own row goes along with what flows to it: one shuffle for both
         own = rank.df.select("id", F.lit(0.0).alias("flow"), "teleport", "leads", F.col("pagerank").alias("before"))
         sums = own.unionByName(flow, allowMissingColumns=True).groupBy("id").agg(F.sum("flow").alias("flow"), F.max("teleport").alias("teleport"), F.max("leads").alias("leads"), F.max("before").alias("before")).filter("before is not null")
